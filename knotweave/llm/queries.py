@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, urls
+from . import ann, bpe, packing, sharding, substrings, urls, vafile
 
 SHARDS = 24
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -35,11 +35,30 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable_vectors(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    return ann.nearest(vectors, vectors.where("key % 50 = 0"), k=5)
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vafile.integer_vectors(_table(spark, sf_dir, "embeddings"), "embedding", 64, "vec_id")
+    return vafile.top_inner_products(vectors, vectors.where("key % 20 = 0"), k=20)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=20, rejoin=True)
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return cut.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jump_sharding": op2_jump_sharding,
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_multiprobe_neighbours": op7_multiprobe_neighbours,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 
@@ -50,6 +69,14 @@ def _terms(terms) -> str:
 _BOUNDED = "regexp_matches(u, '(^|[^\\p{L}\\p{N}])' || t || '([^\\p{L}\\p{N}]|$)')"
 
 ORACLE_SQL = {
+    "op8_exact_top_k": """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0),
+v AS (SELECT vec_id, list_transform(e, lambda c: CAST(floor(64 * c) AS BIGINT)) AS v FROM x WHERE len(list_filter(e, lambda c: c IS NOT NULL AND isfinite(c))) = len(e)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op3_url_filter": f"""
 WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, lower(coalesce(url, '')) AS u FROM pages),
