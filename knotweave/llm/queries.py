@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, packing, sharding, substrings, urls, vafile
+from . import ann, bpe, langid, packing, sharding, substrings, urls, vafile
 
 SHARDS = 24
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -45,6 +45,14 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_inner_products(vectors, vectors.where("key % 20 = 0"), k=20)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    samples = langid.learn(docs, remainder != 1)
+    named = langid.identify(docs.select("doc_id", "text", F.coalesce(remainder == 1, F.lit(False)).alias("held_out")), samples)
+    return named.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=20, rejoin=True)
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
@@ -58,6 +66,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op7_multiprobe_neighbours": op7_multiprobe_neighbours,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
