@@ -48,9 +48,12 @@ class Words:
     from it to its text's end; ``begin``: each text's first word.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, fold: np.ndarray | None = None):
+        """``fold`` maps bytes before words are cut, if given."""
         at, raw, _ = string_buffers(column)
         n = len(raw)
+        if fold is not None:
+            raw = fold[raw]
         space = _SPACE[raw]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
