@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import retrieval, structure
 
-QUERIES = {**retrieval.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **structure.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **structure.ORACLE_SQL}
