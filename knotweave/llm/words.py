@@ -22,7 +22,7 @@ _BASES = tuple(np.uint64(int(b) | 1) for b in _rng.integers(2**62, 2**63, 3, dty
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes of text that one step of arrays covers, unless one text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
