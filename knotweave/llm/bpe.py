@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 
 #: A worker forgets its words beyond this many; that costs time, never results.
 CACHE_WORDS = 400_000
@@ -183,7 +183,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary())], [key, "ids"])
 
-    return docs.select(key, text).mapInArrow(encode, schema)
+    return small_batches(docs).select(key, text).mapInArrow(encode, schema)
 
 
 def decode_ids(ids: Column, ranks: str, pattern: str) -> Column:
@@ -211,7 +211,7 @@ def round_trip_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def fold_words_native(words: DataFrame, word: str, ranks: dict[bytes, int], buckets: int = 4096) -> DataFrame:

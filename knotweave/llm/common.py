@@ -1,47 +1,25 @@
-"""Helpers that the operators share: saved tables, row blocks, hashes."""
+"""Helpers that the operators share: worker caches, Arrow buffers, hashes."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 
+from knotweave.storage import forget, saved
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests, one
-    machine) does a temporary folder stand in.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="knotweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["forget", "mix64", "saved", "small_batches", "string_buffers", "worker_cache"]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here.
+def small_batches(df):
+    """``df``, with the session's Arrow batches bounded by bytes and rows.
 
-    A lost executor then costs a reread, not a recomputation, and what looks at
-    the table twice sees the same rows.
+    Texts of any length pass between the JVM and Python in pieces of a few
+    megabytes then, on both sides, however many rows a partition has.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/knotweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table that ``saved`` wrote, once nothing reads it any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        assert folder.getParent().getName() == "knotweave"
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    return df
 
 
 def worker_cache(name: str, make):

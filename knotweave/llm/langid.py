@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import string_buffers, worker_cache
+from .common import small_batches, string_buffers, worker_cache
 from .words import chunks
 
 #: The sample that a language is learned from: documents, and bytes of each.
@@ -79,24 +79,24 @@ class CrossParser:
         self.pad = len(seen) + 1
         width = len(seen) + 2
         self.weight = np.array([np.log2(len(folded[k]) + 2) for k in self.languages])
-        tables, self.roots, base = [], [], 0
-        for k in self.languages:
-            step = suffix_automaton(self.symbol[folded[k]].tolist())
+        steps = [suffix_automaton(self.symbol[folded[k]].tolist()) for k in self.languages]
+        rows = sum(len(step) + 1 for step in steps)
+        kind = np.int32 if rows * width < 1 << 30 else np.int64
+        # An entry is twice the place of the next state's row, plus 1 if a phrase begins.
+        table, self.roots, base = np.empty((rows, width), kind), [], 0
+        for step in steps:
             lost = len(step)  # the state after a symbol that begins no match
-            table = np.full((lost + 1, width), -1, np.int64)
+            own = table[base : base + lost + 1]
+            own[:] = (base + lost) * width << 1 | 1
+            for c, to in step[0].items():
+                own[:, c] = (base + to) * width << 1 | 1
             for state, to in enumerate(step):
-                table[state, list(to)] = list(to.values())
-            fresh = np.where(table[0] < 0, lost, table[0])
-            same = np.arange(lost + 1)
-            missing = table < 0
-            missing[lost] = True
-            target = np.where(missing, fresh, table)
-            missing[:, self.pad], target[:, self.pad] = False, same
-            tables.append(((target + base) * width) << 1 | missing)
+                own[state, list(to)] = (np.fromiter(to.values(), kind, len(to)) + kind(base)) * kind(width) << 1
+            own[:, self.pad] = (base + np.arange(lost + 1)) * width << 1
             self.roots.append((base + lost) * width)
             base += lost + 1
-        self.table = np.concatenate(tables).ravel().astype(np.int32 if base * width < 1 << 30 else np.int64) if tables else np.zeros(0, np.int32)
-        self.roots = np.array(self.roots, self.table.dtype)
+        self.table = table.ravel()
+        self.roots = np.array(self.roots, kind)
 
     def phrases(self, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
         """[language, text]: phrases of each text, by Arrow offsets and bytes."""
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") ->
     is no second. Columns of those names are replaced; all others stay. There is
     no shuffle.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     key = hashlib.sha1(json.dumps({k: v.hex() for k, v in samples.items()}, sort_keys=True).encode()).hexdigest()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
     names = docs.columns

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, saved, small_batches
 from .tokens import word_ids
 
 #: Pieces in one partition of a packing round.
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: 5 + with_ids], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names)  # noqa: B905
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import Words, chunks, sliding_argmin
 
 #: Where a null doc_id stands in the order of documents.
@@ -168,6 +169,17 @@ def repeated_windows(docs: DataFrame, window: int, start: int | None = None) ->
     return places.select("doc", "places", F.lit(False).alias("all")).unionByName(copies.select("doc", F.array().cast("array<struct<pos:int,n:int>>").alias("places"), "all"))
 
 
+def _uncovered(runs: list[dict], window: int, n: int) -> list[bool]:
+    """Which of n words no run of windows covers."""
+    cover = np.zeros(n + 1, np.int32)
+    for run in runs:
+        a, b = run["pos"], run["pos"] + run["n"] - 1 + window
+        if b <= n:  # another row of this doc_id may be longer
+            cover[a] += 1
+            cover[b] -= 1
+    return (np.cumsum(cover[:n]) == 0).tolist()
+
+
 def remove_repeats(docs: DataFrame, window: int = 20, start: int | None = None, rejoin: bool = False) -> DataFrame:
     """``docs`` without the words that repeated windows cover.
 
@@ -183,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, start: int | None = None,
     others. Rows of one ``doc_id`` are one place in the order: none of them is
     earlier than another but by its start. An empty table stays empty.
     """
-    docs = docs.drop("n_words", "n_removed")
+    docs = small_batches(docs).drop("n_words", "n_removed")
     keyed = docs.withColumn("doc", _key("doc_id")) if "doc" not in docs.columns else docs.withColumnRenamed("doc", "__doc").withColumn("doc", _key("doc_id"))
     texts = keyed.select("doc", "text")
     removed = repeated_windows(texts, window, start)
@@ -199,28 +211,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, start: int | None = None,
     text_at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, places, whole_copy = (batch.column(c).to_pylist() for c in ("text", "places", "all"))
-            out, count, gone = [], [], []
-            for text, runs, copy in zip(texts, places, whole_copy, strict=True):
-                words = text.encode("utf-8").split() if text else []
-                n = len(words)
-                if copy and n >= window:
-                    words = []
-                elif runs:
-                    cover = np.zeros(n + 1, np.int32)
-                    for run in runs:
-                        a, b = run["pos"], run["pos"] + run["n"] - 1 + window
-                        if b <= n:  # another row of this doc_id may be longer
-                            cover[a] += 1
-                            cover[b] -= 1
-                    stay = np.cumsum(cover[:n]) == 0
-                    words = [w for w, on in zip(words, stay.tolist(), strict=True) if on]
-                out.append(text if text is None or (len(words) == n and not rejoin) else b" ".join(words).decode("utf-8"))
-                count.append(n)
-                gone.append(n - len(words))
-            columns = [batch.column(c) for c in inner]
-            columns[text_at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_words", "n_removed"])
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 512):
+                batch = whole_batch.slice(at, 512)
+                texts, places, whole_copy = (batch.column(c).to_pylist() for c in ("text", "places", "all"))
+                out, count, gone = [], [], []
+                for text, runs, copy in zip(texts, places, whole_copy, strict=True):
+                    words = text.encode("utf-8").split() if text else []
+                    n = len(words)
+                    if copy and n >= window:
+                        words = []
+                    elif runs:
+                        words = [w for w, on in zip(words, _uncovered(runs, window, n), strict=True) if on]
+                    out.append(text if text is None or (len(words) == n and not rejoin) else b" ".join(words).decode("utf-8"))
+                    count.append(n)
+                    gone.append(n - len(words))
+                columns = [batch.column(c) for c in inner]
+                columns[text_at] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_words", "n_removed"])
 
     return whole.select(*inner, "places", "all").mapInArrow(cut, schema)
