@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, small_batches
 from .words import Words, chunks
 
 SHINGLE, CONTAINED = 5, 0.8
@@ -81,6 +81,9 @@ class Scanner:
                 step = next(s for s in (k for p in range(30) for k in (1 << p, 3 << p >> 1)) if s >= n and s >= 3)
                 self.groups.setdefault((size, step), []).append((len(self.names), np.unique(words.grams(size)[1])))
                 self.names.append((name, number))
+        # Templates that hold enough of another's shingles to be taken for it.
+        listed = [(t, h, step) for (_, step), members in self.groups.items() for t, h in members]
+        self.variants = {(a, b): max(m, n) for a, x, m in listed for b, y, n in listed if a != b and len(np.intersect1d(x, y)) >= contained * len(x)}
         self.salts: dict[tuple[int, int], np.ndarray] = {}
         self.signs: dict[tuple[int, int], np.ndarray] = {}
         self.known: dict[tuple[int, int], np.ndarray] = {}
@@ -126,14 +129,23 @@ class Scanner:
                     if share >= self.contained:
                         first = a + int(np.flatnonzero(np.isin(own, wanted))[0]) - int(words.begin[t])
                         out.append((t, template, share, first))
-        return out
+        return self._closest(out)
+
+    def _closest(self, hits: list[tuple[int, int, float, int]]) -> list[tuple[int, int, float, int]]:
+        """Hits without those that a variant of their template fits better in the same place."""
+        by_text: dict[int, list[tuple[int, float, int]]] = {}
+        for t, template, share, first in hits:
+            by_text.setdefault(t, []).append((template, share, first))
+        return [(t, a, share, first) for t, a, share, first in hits if not any(more > share and abs(at - first) <= self.variants.get((a, b), -1) for b, more, at in by_text[t])]
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, contained: float = CONTAINED, collide: float = COLLIDE) -> DataFrame:
     """``doc_id license template containment first_word``: licenses in whole texts.
 
     One row for each document row, license and template found, with the largest
-    containment of its windows and the first word of that match (words are runs
+    containment of its windows and the first word of that match; where a variant
+    of a template (another version of a notice) fits better in the same place,
+    only the variant is reported (words are runs
     of ASCII letters and digits in any case, and of bytes beyond ASCII). A null
     or empty text holds none; null and repeated doc_ids are scanned like others;
     other columns are not carried. There is no shuffle.
@@ -152,4 +164,4 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
                 ids = part.column("doc_id").take(pa.array(cols[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64())], ["doc_id", "license", "template", "containment", "first_word"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, template int, containment double, first_word bigint")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, template int, containment double, first_word bigint")
