@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.functions import text as T
+from knotweave.storage import is_small
 
 K1, B = 1.5, 0.75
 
@@ -64,20 +65,26 @@ def query_terms(queries: DataFrame, key: Sequence[str] = ("query_id",), text: st
     return queries.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(queries: DataFrame, post: DataFrame, key: Sequence[str], docs: DataFrame | None = None, corpus: Sequence[str] = (), query_key: Sequence[str] = ("query_id",), k1: float = K1, b: float = B, code: bool = False) -> DataFrame:
-    """``query_key... key... score`` of every document that shares a term with a query."""
+def bm25(queries: DataFrame, post: DataFrame, key: Sequence[str], docs: DataFrame | None = None, corpus: Sequence[str] = (), query_key: Sequence[str] = ("query_id",), k1: float = K1, b: float = B, code: bool = False, lengths: DataFrame | None = None) -> DataFrame:
+    """``query_key... key... score`` of every document that shares a term with a query.
+
+    ``lengths`` (``key... len``) saves counting them from the postings.
+    """
     by = [*corpus]
     asked = query_terms(queries, [*query_key, *(c for c in by if c in queries.columns and c not in query_key)], code=code)
     own = [c for c in by if c in asked.columns]
     # Only postings of terms that are asked for go on; lengths need them all.
     wanted = post.join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi")
-    lengths = document_lengths(post, key, docs)
+    lengths = document_lengths(post, key, docs) if lengths is None else lengths
     totals = corpus_totals(lengths, by)
     terms = term_idf(wanted, totals, by)
-    weighted = wanted.join(terms, [*by, "term"]).join(lengths, [*key])
+    # The postings stream; what travels is the batch of queries and the statistics
+    # of its terms, which are no more than the batch's rows, while those are few.
+    sent = F.broadcast if is_small(asked) else (lambda rows: rows)
+    weighted = wanted.join(sent(terms), [*by, "term"]).join(lengths, [*key])
     weighted = weighted.join(totals, by) if by else weighted.crossJoin(totals)  # one row of totals
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    met = asked.join(weighted.select(*key, "term", part.alias("part")), [*own, "term"])
+    met = weighted.select(*key, "term", part.alias("part")).join(sent(asked), [*own, "term"])
     return met.groupBy(*query_key, *key).agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
 
 

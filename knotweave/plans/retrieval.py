@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from knotweave.functions import text as T
 from knotweave.functions import vectors as V
 from knotweave.operators import chunking, embedding, evaluate, fusion, lexical, retrieve
+from knotweave.storage import broadcast_if_small, saved, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; texts, which cost most for each byte, over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "conversations") else rows
 
 
 def _queries(spark, sf_dir):
@@ -23,7 +26,9 @@ def _postings(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir):
-    return lexical.bm25(_queries(spark, sf_dir), _postings(spark, sf_dir), ["doc_id"], table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    lengths = docs.select("doc_id", F.size(T.tokenize(F.col("text"))).cast("double").alias("len"))
+    return lexical.bm25(_queries(spark, sf_dir), _postings(spark, sf_dir), ["doc_id"], lengths=lengths)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,14 +107,16 @@ def knn_filtered(spark, sf_dir):
 
 
 def _dense(spark, sf_dir):
-    docs = embedding.sparse(table(spark, sf_dir, "documents"), ["doc_id"], "text", 64)
-    asked = embedding.sparse(_queries(spark, sf_dir), ["query_id"], "query", 64)
-    return embedding.cosines(asked, docs, ["query_id"], ["doc_id"])
+    docs = spread(saved(embedding.dense(embedding.sparse(table(spark, sf_dir, "documents"), ["doc_id"], "text", 64), ["doc_id"], 64)))
+    asked = embedding.dense(embedding.sparse(_queries(spark, sf_dir), ["query_id"], "query", 64), ["query_id"], 64)
+    met = docs.crossJoin(broadcast_if_small(asked.withColumnRenamed("v", "q")))  # a stated query set against all rows
+    # Several parts of a fusion read the cosines: they are written once.
+    return saved(met.select("query_id", "doc_id", V.dot(F.col("q"), F.col("v")).alias("cosine")))
 
 
 def _fused(spark, sf_dir):
     dense = _dense(spark, sf_dir)
-    sparse = _bm25(spark, sf_dir).withColumnRenamed("score", "sparse")
+    sparse = saved(_bm25(spark, sf_dir).withColumnRenamed("score", "sparse"))
     return fusion.fuse(dense, sparse, ["doc_id"], fusion.pool_size(8), fusion.NOTES_BETA, dense)
 
 
@@ -123,7 +130,7 @@ def near_duplicate_probe(spark, sf_dir):
 
 def gated_fusion(spark, sf_dir):
     dense = lexical.top(_dense(spark, sf_dir), 50, score="cosine", ties=["doc_id"]).drop("rank")
-    sparse = _bm25(spark, sf_dir).withColumnRenamed("score", "sparse")
+    sparse = saved(_bm25(spark, sf_dir).withColumnRenamed("score", "sparse"))
     share = lexical.coverage(_queries(spark, sf_dir), _postings(spark, sf_dir), ["doc_id"])
     described = table(spark, sf_dir, "documents").select("doc_id")
     hits = fusion.fuse_code(dense, sparse, share, described, ["doc_id"])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,26 @@ def forget(df: DataFrame) -> None:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
         assert folder.getParent().getName() == "knotweave"
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer splits than there are cores.
+
+    A large table is never shuffled by this: it has splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Rows up to which a side of a join is broadcast.
+SMALL_ROWS = 500_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Whether ``df`` is counted to have at most ``rows`` rows; counting stops there."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df
