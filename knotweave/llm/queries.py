@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotweave.storage import spread
+
 from . import ann, bpe, langid, licenses, neardup, packing, sharding, substrings, urls, vafile
 
 SHARDS = 24
@@ -13,7 +15,7 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
