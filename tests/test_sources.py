@@ -98,3 +98,18 @@ def test_describe_queue(spark, tmp_path):
         time.sleep(0.5)
     query.stop()
     assert {(r.symbol, r.body) for r in spark.table("settled").collect()} == {("s", "new"), ("t", "x")}
+
+
+def test_config(spark):
+    import pytest
+
+    from knotweave.sources import config
+
+    assert config.settings({"rerank": False})["rerank"] is False
+    with pytest.raises(ValueError):
+        config.settings({"other": 1})
+    paths = spark.createDataFrame([("/home/a/repo/sub/x.py",), ("/other/y",)], "path string")
+    markers = spark.createDataFrame([("/home/a/repo", "outer"), ("/home/a/repo/sub", "inner")], "root string, project string")
+    assert {r.path: r.project for r in config.nearest_marker(paths, markers).collect()} == {"/home/a/repo/sub/x.py": "inner", "/other/y": None}
+    one = spark.createDataFrame([(None, "", "seed", "d")], "a string, b string, c string, d string")
+    assert one.select(config.project_of(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("p")).first().p == "seed"
