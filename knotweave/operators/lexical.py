@@ -22,10 +22,14 @@ K1, B = 1.5, 0.75
 def postings(docs: DataFrame, key: Sequence[str], text: Column, code: bool = False) -> DataFrame:
     """``key... term tf``: how often each document has each term.
 
-    ``code`` adds the parts of compound names.
+    ``code`` adds the parts of compound names. Texts are dealt by document
+    first: counts, and the scores that are summed for each document later, then
+    need no shuffle of postings, which are many times more rows.
     """
-    terms = F.concat(T.tokenize(text), T.subtokens(text)) if code else T.tokenize(text)
-    return docs.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count("*").cast("double").alias("tf"))
+    read = F.col("__text")
+    terms = F.concat(T.tokenize(read), T.subtokens(read)) if code else T.tokenize(read)
+    dealt = docs.select(*key, text.alias("__text")).repartition(*key)
+    return dealt.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count("*").cast("double").alias("tf"))
 
 
 def enrich(base: DataFrame, key: Sequence[str], terms: DataFrame, weight: float) -> DataFrame:
