@@ -23,6 +23,8 @@ from .words import Words, chunks, sliding_argmin
 
 #: Where a null doc_id stands in the order of documents.
 NULL_ID = -(1 << 63)
+#: Tasks that the copies of one text are dealt to.
+SALTS = 32
 
 
 def _key(column: str) -> Column:
@@ -146,7 +148,10 @@ def repeated_windows(docs: DataFrame, window: int, start: int | None = None) ->
     # Whole copies: all their windows lie in the first copy. They leave here.
     digest = docs.where("text is not null").select("doc", F.md5(F.col("text").cast("binary")).alias("d"))
     first = digest.groupBy("d").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    copies = digest.join(first, "d").where("doc > first").groupBy("doc").agg(F.lit(True).alias("all"))
+    # Copies of one text may be a third of all documents: they meet their first
+    # one in as many tasks as there are salts.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    copies = digest.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(first.withColumn("salt", salts), ["d", "salt"]).where("doc > first").groupBy("doc").agg(F.lit(True).alias("all"))
 
     # One shuffle of the texts serves every later level: the plans share it.
     by_key = docs.select("doc", "text").repartition("doc")
