@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.functions import text as T
-from knotweave.storage import is_small
+from knotweave.storage import is_small, saved
 
 K1, B = 1.5, 0.75
+#: Rows that one range of :func:`numbered` holds on average, and the least number of ranges.
+RANGE_ROWS, MIN_RANGES = 20_000, 16
 
 
 def postings(docs: DataFrame, key: Sequence[str], text: Column, code: bool = False) -> DataFrame:
@@ -110,6 +112,25 @@ def top(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """All rows, with ``rank`` from 1 in each group, however many rows a group has.
+
+    No task sorts a group: rows fall into ranges of group and order, are
+    numbered in their range, and start where their group's ranges before end.
+    The ranges are saved, since a second look would draw other borders.
+    """
+    part, first = "__part", "__first"
+    ranges = max(MIN_RANGES, -(-rows.count() // RANGE_ROWS))
+    dealt = saved(rows.repartitionByRange(ranges, *by, *order).withColumn(part, F.spark_partition_id()))
+    counts = dealt.groupBy(*by, part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [part, *by]
+    starts = counts.select(*(F.col(c).alias(f"__{c}") for c in keys), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    placed = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]  # a null group is a group
+    return placed.join(starts, same).withColumn("rank", (F.col("rank") + F.col(first)).cast("int")).drop(part, first, *(f"__{c}" for c in keys))
+
+
 def bm25f(queries: DataFrame, fields: Sequence[tuple[DataFrame, float]], key: Sequence[str], query_key: Sequence[str] = ("query_id",)) -> DataFrame:
     """Weighted sum of the BM25 scores of several fields' postings."""
     parts = [bm25(queries, post, key, query_key=query_key).withColumn("score", F.col("score") * weight) for post, weight in fields]

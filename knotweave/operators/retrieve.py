@@ -78,13 +78,20 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: Sequence[str], query
     return lexical.top(scored, k, query_key, "cosine", key)
 
 
-def dedupe(hits: DataFrame, mode: str = "section", by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """First hit of each section (occurrences count as one) or file, ranks renewed."""
+def firsts(hits: DataFrame, mode: str = "section", by: Sequence[str] = ("query_id",), order: Sequence[str | Column] = ("rank",)) -> DataFrame:
+    """First hit of each section (occurrences count as one) or file; ``none`` keeps all."""
     keys = {"section": ["store", "relpath", "heading_path"], "file": ["store", "relpath"], "none": None}[mode]
-    out = hits
-    if keys:
-        out = out.withColumn("__n", F.row_number().over(Window.partitionBy(*by, *keys).orderBy("rank"))).where("__n = 1").drop("__n")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("rank")))
+    if not keys:
+        return hits
+    return hits.withColumn("__n", F.row_number().over(Window.partitionBy(*by, *keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def dedupe(hits: DataFrame, mode: str = "section", by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """First hit of each section (occurrences count as one) or file, ranks renewed.
+
+    A query's hits meet in one task: for pools of lookups, not for whole tables.
+    """
+    return firsts(hits, mode, by).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("rank")))
 
 
 def with_spans(hits: DataFrame, line_map: DataFrame) -> DataFrame:

@@ -168,21 +168,26 @@ def rrf_fuse(spark, sf_dir):
 
 def range_matched_rerank(spark, sf_dir):
     rows = _nation_lists(spark, sf_dir)
-    ranked = lexical.top(rows, 1_000_000, ties=["id"])
-    return fusion.rerank(ranked, F.col("spent"), ties=["id"]).select("query_id", "id", "rank")
+    ranked = lexical.numbered(rows, ["query_id"], [F.round("score", 9).desc(), "id"])
+    # Rows behind the head keep their ranks: only heads meet by query.
+    head, rest = ranked.where(F.col("rank") <= fusion.RERANK_HEAD), ranked.where(F.col("rank") > fusion.RERANK_HEAD)
+    out = ["query_id", "id", "rank"]
+    return fusion.rerank(head, F.col("spent"), ties=["id"]).select(*out).union(rest.select(*out))
 
 
-def _talk_hits(spark, sf_dir):
+def _first_talks(spark, sf_dir, mode):
+    """First turn of each section or file by length; all turns are one list, too long for one task."""
     rows = table(spark, sf_dir, "conversations").select(F.lit(0).alias("query_id"), F.lit("notes").alias("store"), F.col("conv_id").cast("string").alias("relpath"), F.col("role").alias("heading_path"), "conv_id", "turn", F.length("text").alias("score"))
-    return lexical.top(rows, 1_000_000, ties=["conv_id", "turn"])
+    order = [F.round("score", 9).desc(), "conv_id", "turn"]
+    return lexical.numbered(retrieve.firsts(rows, mode, order=order), ["query_id"], order)
 
 
 def dedupe_section(spark, sf_dir):
-    return retrieve.dedupe(_talk_hits(spark, sf_dir), "section").select("conv_id", "turn", "heading_path", "rank")
+    return _first_talks(spark, sf_dir, "section").select("conv_id", "turn", "heading_path", "rank")
 
 
 def dedupe_file(spark, sf_dir):
-    return retrieve.dedupe(_talk_hits(spark, sf_dir), "file").select("conv_id", "turn", "rank")
+    return _first_talks(spark, sf_dir, "file").select("conv_id", "turn", "rank")
 
 
 def alias_max_merge(spark, sf_dir):
