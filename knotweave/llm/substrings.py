@@ -23,6 +23,8 @@ from .words import Words, chunks, sliding_argmin
 
 #: Where a null doc_id stands in the order of documents.
 NULL_ID = -(1 << 63)
+#: Columns that the levels work with; a caller's own of these names stand aside.
+KEYS = ("row", "doc")
 #: Tasks that the copies of one text are dealt to.
 SALTS = 32
 
@@ -57,11 +59,11 @@ def survivors(words: Words, part: pa.RecordBatch, window: int, length: int) -> n
 
 
 def _anchors(window: int, length: int, before: int | None):
-    """Rows (h, doc, c, salt): minimizers of each text's windows that still stand.
+    """Rows (h, row, c, salt): minimizers of each text's windows that still stand.
 
     At the first length these are all windows, later those whose minimizer of
     the length ``before`` repeats. Within a chunk, one row of a hash says that
-    it repeats; the rows of its other documents need nobody else, so their salt
+    it repeats; those of its other texts need nobody else, so their salt
     sends them anywhere.
     """
 
@@ -75,22 +77,22 @@ def _anchors(window: int, length: int, before: int | None):
                 place = np.unique(place)
                 if not len(place):
                     continue
-                h, doc = value[place].view(np.int64), part.column("doc").to_numpy()[words.text[place]]
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
+                h, row = value[place].view(np.int64), part.column("row").to_numpy()[words.text[place]]
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
                 new = np.r_[True, h[1:] != h[:-1]]
                 group = np.cumsum(new) - 1
                 many = np.bincount(group)[group] > 1
-                once = new | np.r_[True, doc[1:] != doc[:-1]]  # a document names a hash once
+                once = new | np.r_[True, row[1:] != row[:-1]]  # a text names a hash once
                 c = np.where(many, 2, 1).astype(np.int32)
-                salt = np.where(new, 0, doc)
-                yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (h, doc, c, salt)], ["h", "doc", "c", "salt"])
+                salt = np.where(new, 0, row)
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (h, row, c, salt)], ["h", "row", "c", "salt"])
 
     return scan
 
 
 def _windows(window: int, length: int):
-    """Rows (k1, k2, doc, pos, n, known) of windows whose minimizer repeats.
+    """Rows (k1, k2, row, doc, pos, n, known) of windows whose minimizer repeats.
 
     Of a window that a chunk holds more than once, only its first place there
     competes for the first place of all. The others have lost: they come as
@@ -106,23 +108,24 @@ def _windows(window: int, length: int):
                     continue
                 k1 = words.runs(starts, starts + window, 0).view(np.int64)
                 k2 = (words.runs(starts, starts + window, 1) >> np.uint64(33)).astype(np.int32)
-                doc = part.column("doc").to_numpy()[words.text[starts]]
+                row, doc = (part.column(c).to_numpy()[words.text[starts]] for c in ("row", "doc"))
                 pos = (starts - words.begin[words.text[starts]]).astype(np.int32)
-                order = np.lexsort((pos, doc, k2, k1))
+                order = np.lexsort((row, pos, doc, k2, k1))
                 same = np.r_[False, (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])]
                 first = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
-                # rows of one doc_id and place share it: neither is earlier
+                # texts of one doc_id and place share it: neither is earlier, and all compete
                 tied = (doc[order] == doc[order][first]) & (pos[order] == pos[order][first])
+                again = same & np.r_[False, row[order][1:] == row[order][:-1]]
                 keep, lost = np.zeros(len(order), bool), np.zeros(len(order), bool)
-                keep[order], lost[order] = ~same, same & ~tied
-                yield _rows(k1[keep], k2[keep], doc[keep], pos[keep], np.ones(int(keep.sum()), np.int32), False)
+                keep[order], lost[order] = ~same | (tied & ~again), same & ~tied
+                yield _rows(k1[keep], k2[keep], row[keep], doc[keep], pos[keep], np.ones(int(keep.sum()), np.int32), False)
                 if lost.any():
                     at = np.flatnonzero(lost)
                     cut = np.r_[True, (np.diff(starts[at]) != 1) | (np.diff(words.text[starts[at]]) != 0)]
                     run = np.flatnonzero(cut)
                     n = np.diff(np.r_[run, len(at)]).astype(np.int32)
                     a = at[run]
-                    yield _rows(_join(doc[a], pos[a].astype(np.uint64)).view(np.int64), n, doc[a], pos[a], n, True)
+                    yield _rows(_join(row[a], pos[a].astype(np.uint64)).view(np.int64), n, row[a], doc[a], pos[a], n, True)
 
     return scan
 
@@ -132,46 +135,48 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.int64).view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ b
 
 
-def _rows(k1, k2, doc, pos, n, known) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, doc, pos, n, np.full(len(k1), known))], ["k1", "k2", "doc", "pos", "n", "known"])
+def _rows(k1, k2, row, doc, pos, n, known) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, row, doc, pos, n, np.full(len(k1), known))], ["k1", "k2", "row", "doc", "pos", "n", "known"])
 
 
 def repeated_windows(docs: DataFrame, window: int, start: int | None = None) -> DataFrame:
-    """``doc places all``: windows of each text whose words also start earlier.
+    """``row places all``: windows of each text whose words also start earlier.
 
     ``places`` lists runs ``(pos, n)``: the windows that start at words pos to
     pos + n - 1. ``all`` marks whole copies of an earlier document, whose every
-    window is one. ``docs`` has ``doc`` and ``text``. Lengths double from
+    window is one. ``docs`` has ``row doc text``: ``doc`` is the place in the order, and
+    ``row`` stands for a doc and its text, which rows of one doc may not share.
+    Lengths double from
     ``start`` (half a window, unless given) to the window; a level without
     survivors leaves the next ones empty.
     """
     # Whole copies: all their windows lie in the first copy. They leave here.
-    digest = docs.where("text is not null").select("doc", F.md5(F.col("text").cast("binary")).alias("d"))
+    digest = docs.where("text is not null").select("row", "doc", F.md5(F.col("text").cast("binary")).alias("d"))
     first = digest.groupBy("d").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     # Copies of one text may be a third of all documents: they meet their first
     # one in as many tasks as there are salts.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    copies = digest.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(first.withColumn("salt", salts), ["d", "salt"]).where("doc > first").groupBy("doc").agg(F.lit(True).alias("all"))
+    copies = digest.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(first.withColumn("salt", salts), ["d", "salt"]).where("doc > first").groupBy("row").agg(F.lit(True).alias("all"))
 
     # One shuffle of the texts serves every later level: the plans share it.
-    by_key = docs.select("doc", "text").repartition("doc")
+    by_key = docs.select("row", "doc", "text").repartition("row")
     length, before, standing = start or max(1, window // 2), None, docs
     while True:
-        anchors = standing.mapInArrow(_anchors(window, length, before), "h bigint, doc bigint, c int, salt bigint")
+        anchors = standing.mapInArrow(_anchors(window, length, before), "h bigint, row bigint, c int, salt bigint")
         repeats = anchors.withColumn("s", F.sum("c").over(Window.partitionBy("h", "salt"))).where("s > 1")
-        found = repeats.groupBy("doc").agg(F.collect_set("h").alias("repeated"))
+        found = repeats.groupBy("row").agg(F.collect_set("h").alias("repeated"))
         if not before:
-            found = found.join(copies, "doc", "left_anti")
-        standing = by_key.join(found.hint("shuffle_hash"), "doc").select("doc", "text", "repeated")
+            found = found.join(copies, "row", "left_anti")
+        standing = by_key.join(found.hint("shuffle_hash"), "row").select("row", "doc", "text", "repeated")
         if length * 2 >= window:
             break
         length, before = length * 2, length
 
-    rows = standing.mapInArrow(_windows(window, length), "k1 bigint, k2 int, doc bigint, pos int, n int, known boolean")
+    rows = standing.mapInArrow(_windows(window, length), "k1 bigint, k2 int, row bigint, doc bigint, pos int, n int, known boolean")
     place = F.rank().over(Window.partitionBy("k1", "k2").orderBy("doc", "pos"))
     lost = rows.withColumn("place", place).where("known or place > 1")
-    places = lost.groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
-    return places.select("doc", "places", F.lit(False).alias("all")).unionByName(copies.select("doc", F.array().cast("array<struct<pos:int,n:int>>").alias("places"), "all"))
+    places = lost.groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
+    return places.select("row", "places", F.lit(False).alias("all")).unionByName(copies.select("row", F.array().cast("array<struct<pos:int,n:int>>").alias("places"), "all"))
 
 
 def _uncovered(runs: list[dict], window: int, n: int) -> list[bool]:
@@ -179,9 +184,8 @@ def _uncovered(runs: list[dict], window: int, n: int) -> list[bool]:
     cover = np.zeros(n + 1, np.int32)
     for run in runs:
         a, b = run["pos"], run["pos"] + run["n"] - 1 + window
-        if b <= n:  # another row of this doc_id may be longer
-            cover[a] += 1
-            cover[b] -= 1
+        cover[a] += 1
+        cover[b] -= 1
     return (np.cumsum(cover[:n]) == 0).tolist()
 
 
@@ -198,21 +202,22 @@ def remove_repeats(docs: DataFrame, window: int = 20, start: int | None = None,
     stay as they are, unless ``rejoin`` asks for the joined words of all. A
     null text has no words and stays null. A null ``doc_id`` comes before all
     others. Rows of one ``doc_id`` are one place in the order: none of them is
-    earlier than another but by its start. An empty table stays empty.
+    earlier than another but by its start, and each loses its own words only.
+    An empty table stays empty.
     """
     docs = small_batches(docs).drop("n_words", "n_removed")
-    keyed = docs.withColumn("doc", _key("doc_id")) if "doc" not in docs.columns else docs.withColumnRenamed("doc", "__doc").withColumn("doc", _key("doc_id"))
-    texts = keyed.select("doc", "text")
+    keyed = docs.withColumnsRenamed({n: f"__{n}" for n in KEYS}).withColumn("doc", _key("doc_id")).withColumn("row", F.xxhash64("doc", "text"))
+    texts = keyed.select("row", "doc", "text")
     removed = repeated_windows(texts, window, start)
-    if keyed.columns == ["doc_id", "text", "doc"]:  # this shuffle then is the levels' own
-        whole = texts.select("doc", "text").repartition("doc").withColumn("doc_id", F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType))
+    if docs.columns == ["doc_id", "text"]:  # this shuffle then is the levels' own
+        whole = texts.repartition("row").withColumn("doc_id", F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType))
     else:
-        whole = keyed.repartition("doc")
-    whole = whole.join(removed.hint("shuffle_hash"), "doc", "left")
+        whole = keyed.repartition("row")
+    whole = whole.join(removed.hint("shuffle_hash"), "row", "left")
     kept = [f for f in docs.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_words bigint, n_removed bigint"
     names = [f.name for f in kept]
-    inner = ["__doc" if n == "doc" else n for n in names]
+    inner = [f"__{n}" if n in KEYS else n for n in names]
     text_at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,26 @@ def test_repeated_doc_ids_and_null(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(frame, 20).collect()) == [(0, 0), (1, 30), (1, 30)]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_rows_of_one_doc_id_lose_their_own_words_only(spark, parts):
+    def words(x, n):
+        return [f"{x}{i}" for i in range(n)]
+
+    a, shared = words("a", 40), words("s", 30)
+    rows = [
+        (None, words("w", 30) * 2), (None, words("u", 60)), (None, [*words("y", 3), *shared]),
+        (5, a), (6, a), (6, words("c", 50)), (6, [*words("e", 7), *shared, *words("f", 5)]),
+        (7, [*shared, *words("g", 25)]), (7, [*shared, *words("h", 25)]), (7, [*words("i", 4), *shared]), (7, [*words("i", 4), *shared]), (8, [*words("k", 50), *words("k", 50)]), (8, words("l", 100)),
+    ]
+    keyed = [(-(1 << 63) if d is None else d, w) for d, w in rows]
+    want = sorted((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)) for (d, w), (_, gone) in zip(keyed, cut_by_hand(keyed, 20), strict=True))
+    for extra in ((), ("row", "doc")):
+        frame = spark.createDataFrame([(d, " ".join(w), *extra) for d, w in rows], "doc_id bigint, text string" + "".join(f", {c} string" for c in extra)).repartition(parts)
+        out = substrings.remove_repeats(frame, 20, 10, rejoin=True).collect()
+        assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.text) for r in out) == want
+        assert all((r.row, r.doc) == extra for r in out if extra)
+
+
 def test_op10(spark):
     docs = sorted(tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     rows = [(d, t.encode().split()) for d, t in docs]
