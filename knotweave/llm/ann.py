@@ -6,7 +6,8 @@ query does not only visit its own bucket: given the cosine that neighbours are
 expected to have, every bucket has a probability to hold one, and buckets are
 visited from the most probable on until the table has gathered its share of
 the success asked for. The tables' candidates are merged and ranked by exact
-cosine.
+cosine. A query that gathers fewer than it asks for is compared with all vectors
+of its length.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotweave.storage import broadcast_if_small, saved
+
 TABLES, HASHES, WIDTH = 4, 4, 2.0
 #: Buckets are chosen so that a neighbour of this cosine is found with this probability.
 AIM_COSINE, AIM_FOUND = 0.3, 0.95
@@ -100,7 +103,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
 
     Both sides have ``key`` and ``v`` as :func:`usable_vectors` makes them. The
     query's own key takes no part; ties go to the smaller key; fewer than ``k``
-    candidates are all returned. Vectors meet queries of their length only.
+    candidates are all returned: queries whose buckets hold fewer than ``k`` see
+    all vectors of their length. Vectors meet queries of their length only.
     Every row is indexed; nothing is fitted to the data.
 
     A bucket is not one group: its rows lie in blocks of bounded size, and the
@@ -140,8 +144,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["dim", "table", "bucket", "key", "vector"])
 
-    indexed = vectors.mapInArrow(index, "dim int, table int, bucket bigint, keys binary, vectors binary")
-    probed = queries.mapInArrow(probe, "dim int, table int, bucket bigint, key bigint, vector binary")
+    @F.udf("binary")
+    def packed(x):
+        return np.array(x, np.float64).tobytes()
+
+    stored, asking = "dim int, table int, bucket bigint, keys binary, vectors binary", "dim int, table int, bucket bigint, key bigint, vector binary"
+    found = saved(_best(_meet(vectors.mapInArrow(index, stored), queries.mapInArrow(probe, asking), k), k))
+    # Buckets hold a share of all rows: where a query's hold too few, all rows
+    # of its length are one bucket of a table of their own, in blocks as others are.
+    enough = found.groupBy(F.col("query_id").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = saved(queries.join(enough, "key", "left_anti").select("key", "v"))
+    if short.isEmpty():
+        return found
+    at = [F.size("v").alias("dim"), F.lit(-1).alias("table"), F.lit(0).cast("bigint").alias("bucket")]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for dim in sorted({len(x) for x in lists}):
+                own = [i for i, x in enumerate(lists) if len(x) == dim]
+                columns = [[dim], [-1], [0], [keys[own].tobytes()], [np.array([lists[i] for i in own], np.float64).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["dim", "table", "bucket", "keys", "vectors"])
+
+    same = vectors.withColumn("dim", F.size("v")).join(broadcast_if_small(short.select(at[0]).distinct()), "dim", "left_semi").select("key", "v")
+    more = _meet(same.mapInArrow(whole, stored), short.select(*at, "key", packed("v").alias("vector")), k)
+    return _best(found.select("query_id", "vec_id", "score").union(more), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query. One candidate may come from several tables, each time with the same score."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(indexed: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+    """``query_id vec_id score``: the ``k`` best of every block for the queries that visit it."""
     # How many blocks a bucket needs, on either side, from its counts.
     sizes = indexed.groupBy("dim", "table", "bucket").agg(F.ceil(F.sum(F.octet_length("keys")) / (8 * BLOCK_ROWS)).cast("int").alias("parts"))
     visits = probed.groupBy("dim", "table", "bucket").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
@@ -180,7 +217,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
                     out_s.append(score[best])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("dim", "keys", "vectors", "q_keys", "q_vectors").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
-    # The same candidate comes from several tables, each time with the same score.
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.select("dim", "keys", "vectors", "q_keys", "q_vectors").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")

@@ -41,6 +41,26 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(good.limit(0), good.limit(0), 5).count() == 0
 
 
+def test_few_candidates_are_all_found(spark):
+    rows, many = [], {}
+    for count in range(2, 7):
+        for n, dim in enumerate(range(8 * count, 8 * count + 7)):  # each length is a table of its own
+            for i in range(count):  # opposed pairs, orthogonal to one another
+                rows.append((1000 * count + 10 * n + i, [(-1.0 if i % 2 else 1.0) * (j == i // 2) for j in range(dim)]))
+                many[rows[-1][0]] = count - 1
+    good = ann.usable_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "embedding", "vec_id")
+    out = {}
+    for r in ann.nearest(good, good, 5).collect():
+        out.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    of = dict(rows)
+    want = {}
+    for q in of:
+        near = sorted((-sum(a * b for a, b in zip(of[q], of[v], strict=True)), v) for v in of if v != q and len(of[v]) == len(of[q]))
+        want[q] = [(n, v) for n, (_, v) in enumerate(near, 1)]
+    assert {q: len(x) for q, x in want.items()} == many
+    assert {q: sorted(x) for q, x in out.items()} == want
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", SF, "/root/testdata/sf0.1"])
 def test_recall(spark, sf):
     out = Q.op7_multiprobe_neighbours(spark, sf).toPandas()
