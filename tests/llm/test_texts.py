@@ -256,6 +256,16 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a + " end"), (1, b), (1, b), (2, b), (2, c), (None, c), (3, d), (3, d + " end"), (None, None), (None, None), (4, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, text string, source string").repartition(3)
+    kept = neardup.keep_one(docs, neardup.near_duplicates(docs))
+    got = Counter((r.doc_id, (r.text or "none")[0]) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == Counter([(None, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "n"), (None, "n"), (4, "n")])
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
     rng = random.Random(11)
