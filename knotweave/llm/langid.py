@@ -153,6 +153,11 @@ def _middle(text: Column, size: int) -> Column:
     return F.substring(raw, F.greatest(F.lit(1), ((n - size) / 2).cast("int") + 1), F.lit(size))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a language at all; null for null."""
+    return text.rlike(r"\p{L}")
+
+
 def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to every row, by its whole text.
 
@@ -183,4 +188,4 @@ def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") ->
                     score = np.where(known, margin, score)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in range(len(names))), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return docs.withColumn("__letter", F.col(text).rlike(r"\p{L}")).mapInArrow(predict, schema)
+    return docs.withColumn("__letter", has_letter(F.col(text))).mapInArrow(predict, schema)

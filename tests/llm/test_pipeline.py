@@ -22,6 +22,12 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {1, 3, 4, 7}
 
 
+def test_nothing_learned_rejects_no_text(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "la mer", None), (3, "123", None), (4, None, None)], "doc_id bigint, text string, lang string")
+    out = P.identify_language(spark, docs, "")
+    assert sorted((r.doc_id, r.lang) for r in out.collect()) == [(1, None), (2, None)] and out.columns == docs.columns
+
+
 def test_run_by_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
