@@ -1,10 +1,10 @@
 """Best-fit packing of documents into fixed-length sequences, certified by bounds.
 
 Partitions pack their pieces best-fit decreasing. Dual feasible functions give
-each partition a lower bound on its bins, which certifies counts that meet it.
-Bins with gaps give their documents back; these are dealt into fewer, mixed
-partitions and packed again, until the count meets the bound of all pieces or
-one last partition has packed the rest.
+each partition a lower bound on its bins, which certifies counts that meet it;
+the bound is told in ``certified`` and steers nothing. Bins with gaps give their
+documents back; these are dealt into fewer, mixed partitions and packed again,
+until none is left, one last partition has packed the rest, or ``ROUNDS`` end.
 """
 
 from __future__ import annotations
