@@ -55,28 +55,73 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int, which: str = "callees")
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """``src dst`` for all pairs that a path connects, by repeated squaring."""
-    now = saved(edges.select("src", "dst").distinct())
-    count = now.count()
+    """``src dst`` for all pairs that a path connects: what is new in a step takes one more edge."""
+    steps = saved(edges.select("src", "dst").distinct())
+    seen = new = steps
     while True:
-        two = now.alias("l").join(now.alias("r"), F.col("l.dst") == F.col("r.src")).select(F.col("l.src").alias("src"), F.col("r.dst").alias("dst"))
-        now = saved(now.union(two).distinct())
-        after = now.count()
-        if after == count:
+        longer = new.withColumnRenamed("dst", "via").join(steps.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
+        new = saved(longer.join(seen, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+
+
+def _settled(step, now: DataFrame, *by: str) -> DataFrame:
+    """``now`` after ``step`` until no row changes; each step is written."""
+    state = None
+    while True:
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64(*by).cast("decimal(38,0)"))).first()
+        if seen == state:
             return now
-        count = after
+        state, now = seen, saved(step(now))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """Sets of nodes that reach each other, sorted: one row for each, by ``members``.
 
     These are the strongly connected components of two or more nodes, and
-    single nodes with an edge to themselves. Edges to unknown nodes do no harm.
+    single nodes with an edge to themselves. Edges to unknown nodes do no harm;
+    an empty table has none.
+
+    No closure is built. Nodes that nothing enters or leaves are trimmed away;
+    the least node that reaches a node colours it; what reaches a colour's own
+    node inside the colour is one component. Found ones go, and the rest is
+    coloured again. Tables never hold more rows than there are edges.
     """
-    reach = closure(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = reach.join(back, ["src", "dst"], "left_semi")
-    return both.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("members")).select("members").distinct()
+    edges = saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    rest = edges.where("src <> dst")
+    found: DataFrame | None = None
+
+    def trim(now: DataFrame) -> DataFrame:
+        ends = now.select(F.col("dst").alias("src")).distinct(), now.select(F.col("src").alias("dst")).distinct()
+        return now.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst")
+
+    while True:
+        rest = _settled(trim, saved(rest), "src", "dst")
+        if rest.isEmpty():
+            break
+        arrows = rest
+
+        def colour(now: DataFrame) -> DataFrame:
+            passed = now.withColumnRenamed("node", "src").join(arrows, "src").select(F.col("dst").alias("node"), "colour")
+            return now.union(passed).groupBy("node").agg(F.min("colour").alias("colour"))
+
+        own = _settled(colour, rest.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct(), "node", "colour")
+        inside = saved(rest.join(own.withColumnsRenamed({"node": "src", "colour": "__a"}), "src").join(own.withColumnsRenamed({"node": "dst", "colour": "__b"}), "dst").where("__a = __b").select("src", "dst"))
+
+        def reach(now: DataFrame) -> DataFrame:
+            back = now.withColumnRenamed("node", "dst").join(inside, "dst").select(F.col("src").alias("node"), "colour")
+            return now.union(back).distinct()
+
+        whole = _settled(reach, own.where("node = colour"), "node", "colour")
+        found = whole if found is None else found.unionByName(whole)
+        gone = whole.select("node")
+        rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    alone = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("colour"))
+    if found is not None:
+        many = found.join(found.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour"), "colour", "left_semi").select("node", "colour")
+        alone = many.unionByName(alone.join(many.select("node"), "node", "left_anti"))
+    return alone.groupBy("colour").agg(F.array_sort(F.collect_list("node")).alias("members")).select("members")
 
 
 def roll_up(nodes: DataFrame, edges: DataFrame, axis: str, depth: int = 0) -> tuple[DataFrame, DataFrame]:

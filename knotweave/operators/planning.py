@@ -74,25 +74,24 @@ def revisit(nodes: DataFrame, causes: DataFrame) -> DataFrame:
 def rank_between(low: str | None, high: str | None) -> str:
     """A rank of letters a to z strictly between two (null: open), never ending in a.
 
-    Ranks are fractions in base 26. The shortest fraction inside the gap nearest
-    to its middle is taken; ranks out of order, or with nothing between, are an
-    error.
+    The answer is the least beginning of ``low`` (filled up with a) after which
+    a letter fits, and the letter in the middle of that gap: ``m`` between open
+    ends, ``mm`` between ``m`` and ``n``. Ranks out of order, or with nothing
+    between, are an error.
     """
     low, high = (low or "").lower(), (high or "").lower()
     if low and high and low >= high:
         raise ValueError(f"{low!r} does not sort before {high!r}")
-    if high and low + "a" * (len(high) - len(low)) == high and len(high) > len(low):
-        raise ValueError(f"no rank fits between {low!r} and {high!r}")
-    digits = max(len(low), len(high)) + 1
-    number = lambda r: sum(_LETTERS.index(c) * 26 ** (digits - 1 - i) for i, c in enumerate(r))
-    a, b = number(low), number(high) if high else 26**digits
-    for size in range(1, digits + 1):
-        unit = 26 ** (digits - size)
-        first, last = a // unit + 1, (b - 1) // unit
-        inside = [n for n in {(first + last) // 2, (first + last + 1) // 2, first, last} if first <= n <= last and n % 26]
-        if inside:
-            value = min(inside, key=lambda n: (abs(2 * n * unit - a - b), n))
-            return "".join(_LETTERS[value // 26 ** (size - 1 - i) % 26] for i in range(size))
+    for size in range(len(low) + len(high) + 2):
+        head = low[:size].ljust(size, "a")
+        bound = high.startswith(head) and high != ""
+        if bound and high == head:
+            break
+        under = _LETTERS.index(low[size]) if size < len(low) else -1
+        over = _LETTERS.index(high[size]) if bound else len(_LETTERS)
+        middle = (under + over) // 2
+        if middle > 0 and under < middle < over:
+            return head + _LETTERS[middle]
     raise ValueError(f"no rank fits between {low!r} and {high!r}")
 
 

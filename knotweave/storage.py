@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Only where that is unset (tests, one machine) does a temporary folder stand in.
+    Only where that is unset in local mode (tests, one machine) does a temporary
+    folder stand in; a cluster without the setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="knotweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

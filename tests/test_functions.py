@@ -106,22 +106,27 @@ def test_languages(spark):
     assert one(spark, T.language_of(F.lit("bin/x"), F.lit("plain"))) is None
 
 
-def test_rank_between():
-    import random
-
-    rng = random.Random(20260805)
-    ranks = [planning.rank_between(None, None)]
-    for _ in range(300):
-        at = rng.randrange(len(ranks) + 1)
-        new = planning.rank_between(ranks[at - 1] if at else None, ranks[at] if at < len(ranks) else None)
-        assert not new.endswith("a")
-        ranks.insert(at, new)
-        assert ranks == sorted(ranks) and len(set(ranks)) == len(ranks)
-    assert planning.rank_between("m", "n") == "mn" or "m" < planning.rank_between("m", "n") < "n"
-    with pytest.raises(ValueError):
-        planning.rank_between("n", "m")
-    with pytest.raises(ValueError):
-        planning.rank_between("m", "ma")
+@pytest.mark.parametrize(("low", "high", "rank"), [(None, None, "m"), ("m", "n", "mm"), ("y", None, "z"), ("z", None, "zm"), (None, "b", "am"), (None, "c", "am"), (None, "d", "b"), ("b", "bb", "bam"), ("cz", "d", "czm")])
+def test_rank_between(low, high, rank):
+    assert planning.rank_between(low, high) == rank
+
+
+@pytest.mark.parametrize("side", ["after", "before", "inside"])
+def test_ranks_always_fit_in_one_place(side):
+    low, high = "f", "g"
+    for n in range(60):
+        middle = planning.rank_between(low, high)
+        assert low < middle < high and middle[-1] != "a"
+        low, high = {"after": (middle, high), "before": (low, middle), "inside": (low, middle) if n % 2 else (middle, high)}[side]
+
+
+def test_ranks_that_can_not_fit():
+    for low, high in (("n", "m"), ("m", "ma"), ("k", "k")):
+        with pytest.raises(ValueError):
+            planning.rank_between(low, high)
+
+
+def test_spread_ranks():
     many = planning.spread_ranks(40)
     assert many == sorted(set(many)) and len(many) == 40
     assert planning.batch_refs([{}, {"deps": ["#1", "x"]}], ["a", "b"]) == [[], ["a", "x"]]

@@ -98,30 +98,55 @@ def test_apply_keeps_vectors(spark):
     assert out == {"a": [1.0], "b": [8.0], "d": [7.0]}
 
 
-def _diamond(spark):
-    pairs = [("main", "left"), ("main", "right"), ("main", "deep"), ("left", "shared"), ("right", "shared"), ("shared", "deep"), ("shared", "vendored")]
+def _build(spark):
+    """A build graph: web and cli need api, api needs db and log, db needs log and libc."""
+    pairs = [("web", "api"), ("cli", "api"), ("web", "css"), ("api", "db"), ("api", "log"), ("db", "log"), ("db", "libc"), ("css", "log")]
     return spark.createDataFrame(pairs, "src string, dst string")
 
 
-def test_bfs_diamond(spark):
-    seeds = spark.createDataFrame([("main", "main")], "root string, node string")
-    nodes, edges = graph.bfs(seeds, _diamond(spark), 6)
-    assert {r.node: r.depth for r in nodes.collect()} == {"main": 0, "left": 1, "right": 1, "deep": 1, "shared": 2, "vendored": 3}
-    assert edges.count() == 7
-    near, _ = graph.bfs(seeds, _diamond(spark), 1)
-    assert {r.node for r in near.collect() if r.truncated} == {"left", "right"}
-    back, arrows = graph.bfs(spark.createDataFrame([("deep", "deep")], "root string, node string"), _diamond(spark), 1, "callers")
-    assert {(r.src, r.dst) for r in arrows.collect()} == {("main", "deep"), ("shared", "deep")}
+def _roots(spark, *names):
+    return spark.createDataFrame([(n, n) for n in names], "root string, node string")
+
+
+def test_walks_by_depth(spark):
+    nodes, edges = graph.bfs(_roots(spark, "web", "cli"), _build(spark), 5)
+    depths = {}
+    for r in nodes.collect():
+        depths.setdefault(r.root, {})[r.node] = r.depth
+    assert depths == {"web": {"web": 0, "api": 1, "css": 1, "db": 2, "log": 2, "libc": 3}, "cli": {"cli": 0, "api": 1, "db": 2, "log": 2, "libc": 3}}
+    assert edges.where("root = 'web'").count() == 7 and edges.where("root = 'cli'").count() == 5
+    near, _ = graph.bfs(_roots(spark, "web"), _build(spark), 1)
+    assert {r.node for r in near.collect() if r.truncated} == {"api", "css"}
+    _, arrows = graph.bfs(_roots(spark, "log"), _build(spark), 1, "callers")
+    assert {(r.src, r.dst) for r in arrows.collect()} == {("api", "log"), ("db", "log"), ("css", "log")}
 
 
 def test_rollup_and_process_tree(spark):
-    files = {"main": "app.py", "left": "app.py", "right": "app.py", "shared": "core.py", "deep": "core.py"}
+    files = {"web": "ui.py", "css": "ui.py", "cli": "ui.py", "api": "srv.py", "db": "srv.py", "log": "srv.py"}
     nodes = spark.createDataFrame([(n, f, [], False, False) for n, f in files.items()], "node string, file string, scope array<string>, external boolean, truncated boolean")
-    groups, links = graph.roll_up(nodes, _diamond(spark), "file")
-    assert {r.group: r.symbols for r in groups.collect()} == {"app.py": 3, "core.py": 2}
-    assert {(r.src, r.dst): r.weight for r in links.collect()} == {("app.py", "app.py"): 2, ("app.py", "core.py"): 3, ("core.py", "core.py"): 1}
-    tree = graph.process_tree(spark.createDataFrame([("main", "main")], "root string, node string"), _diamond(spark), 6).orderBy("position").collect()
-    assert [(r.node, r.repeat) for r in tree] == [("main", False), ("deep", False), ("left", False), ("shared", False), ("deep", True), ("vendored", False), ("right", False), ("shared", True)]
+    groups, links = graph.roll_up(nodes, _build(spark), "file")
+    assert {r.group: r.symbols for r in groups.collect()} == {"ui.py": 3, "srv.py": 3}
+    assert {(r.src, r.dst): r.weight for r in links.collect()} == {("ui.py", "ui.py"): 1, ("ui.py", "srv.py"): 3, ("srv.py", "srv.py"): 3}
+    tree = graph.process_tree(_roots(spark, "web"), _build(spark), 6).orderBy("position").collect()
+    assert [(r.node, r.depth, r.repeat) for r in tree] == [("web", 0, False), ("api", 1, False), ("db", 2, False), ("libc", 3, False), ("log", 3, False), ("log", 2, True), ("css", 1, False), ("log", 2, True)]
+
+
+def test_cycles_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(4)
+    for size, count in ((8, 12), (20, 33)):
+        pairs = [(rng.randrange(size), rng.randrange(size)) for _ in range(count)]
+        reach = {a: {a} for a in range(size)}
+        for _ in range(size):
+            for a, b in pairs:
+                for own in reach.values():
+                    if a in own:
+                        own.add(b)
+        sets = {tuple(sorted(b for b in reach[a] if a in reach[b])) for a in range(size)}
+        want = sorted(list(s) for s in sets if len(s) > 1 or (s[0], s[0]) in pairs)
+        assert sorted(r.members for r in graph.cycles(spark.createDataFrame(pairs, "src int, dst int")).collect()) == want
+    assert graph.cycles(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
 def test_cycles(spark):
@@ -224,3 +249,35 @@ def test_learning_to_rank(spark):
 def test_gold_queries(spark):
     terms = spark.createDataFrame([("a.md", "H", ["shared phrase", "only  here  now", "short"]), ("b.md", "G", ["Shared Phrase"])], "relpath string, heading string, terms array<string>")
     assert [(r.query, r.relpath) for r in evaluate.gold_queries(terms).collect()] == [("only here now", "a.md")]
+
+
+def test_chains_and_trees_of_any_depth(spark):
+    n = 28
+    ids = [f"n{i:02d}" for i in range(n)]
+    nodes = spark.createDataFrame([("p", i, "design", f"{i}.md", i.upper(), "active", i) for i in ids], "project string, id string, kind string, relpath string, title string, status string, body_hash string")
+    deps = spark.createDataFrame([("p", ids[i], ids[i + 1], "old" if i == n - 2 else ids[i + 1]) for i in range(n - 1)], "project string, id string, dep string, checked string")
+    causes = decisions.direct_causes(nodes, deps)
+    marked = decisions.tainted(nodes, deps, causes)
+    found = {r.id: r.chain for r in decisions.chains(nodes, deps, causes, marked).collect()}
+    assert len(found["n00"]) == n - 1 and found["n00"][-1] == "N26"
+    from knotweave.sources import code
+
+    rows = [("f", i, i - 1 if i else None, f"c{i}", "class") for i in range(n)]
+    flat = {r.id: r.container for r in code.flatten_tree(spark.createDataFrame(rows, "file string, id int, parent int, name string, kind string")).collect()}
+    assert len(flat) == n and flat[n - 1] == [f"c{i}" for i in range(n - 1)]
+
+
+@pytest.mark.parametrize(
+    ("body", "paths"),
+    [
+        ("~~~\n# no\n```\n# no\n~~~\n# yes\n", [["yes"]]),
+        ("## b\n# a\n### c\n## d\n", [["b"], ["a"], ["a", "c"], ["a", "d"]]),
+        ("```\n# never closed\n# no\n", []),
+        ("  ```py\n# no\n  ```\n#nospace\n####### seven\n###### six", [["six"]]),
+        ("# a\r\n```\r\n# no\r\n```\r\n# b", [["a"], ["b"]]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_heading_paths(body, paths):
+    assert [s["path"] for s in chunking.scan_sections(body)][1:] == paths

@@ -3,6 +3,8 @@ from __future__ import annotations
 import json
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from knotweave.sources import code, notes, tables, transcripts
@@ -113,3 +115,20 @@ def test_config(spark):
     assert {r.path: r.project for r in config.nearest_marker(paths, markers).collect()} == {"/home/a/repo/sub/x.py": "inner", "/other/y": None}
     one = spark.createDataFrame([(None, "", "seed", "d")], "a string, b string, c string, d string")
     assert one.select(config.project_of(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("p")).first().p == "seed"
+
+
+@pytest.mark.parametrize(
+    ("lang", "lines", "said"),
+    [
+        ("python", ["x = 1", "# a", "# b", "@dec", ""], "a\nb"),
+        ("python", ["# far", "", "", "# near"], "near"),
+        ("python", ["# said", "", "# more", ""], "said\n\nmore".replace("\n\n", "\n")),
+        ("python", ["x = 1"], ""),
+        ("c", ["int a;", "/* one", "   two", " * three */"], "one\ntwo\nthree"),
+        ("rust", ["/// doc", "#[inline]"], "doc"),
+        ("lua", ["--[[ block", "text ]]", "-- line"], "block\ntext\nline"),
+        ("cobol", ["# none"], ""),
+    ],
+)
+def test_leading_comments(lang, lines, said):
+    assert code.leading_comment([*lines, "target"], len(lines), lang) == said
