@@ -8,6 +8,9 @@ visited from the most probable on until the table has gathered its share of
 the success asked for. The tables' candidates are merged and ranked by exact
 cosine. A query that gathers fewer than it asks for is compared with all vectors
 of its length.
+
+Hashes grow with the logarithm of the number of rows, so that buckets keep
+their size; the cosine to expect is measured on a bounded sample of queries.
 """
 
 from __future__ import annotations
@@ -20,11 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.storage import broadcast_if_small, saved
-
-TABLES, HASHES, WIDTH = 4, 4, 2.0
-#: Buckets are chosen so that a neighbour of this cosine is found with this probability.
-AIM_COSINE, AIM_FOUND = 0.3, 0.95
+from knotweave.storage import broadcast_if_small
+
+from .common import saved, small_batches
+from .vectors import as_bytes, entries, finite_vectors, matrix, own_rows, rows_of
+
+TABLES, WIDTH = 4, 2.0
+#: A neighbour of the cosine to expect is found with this probability.
+AIM_FOUND = 0.95
+#: Queries that are compared with all rows to learn that cosine: those whose key
+#: hashes lowest. It is this quantile of their kth neighbours' cosines.
+SAMPLE_QUERIES, AIM_QUANTILE = 64, 0.25
+#: Hashes of a table: as many as leave so many rows in a bucket, a hash being
+#: worth so many bits; and so few that a query visits at most ``PROBES`` buckets
+#: on average, by the sample.
+BUCKET_ROWS, HASH_BITS, LEAST_HASHES, MOST_HASHES, PROBES = 256, 1.5, 4, 15, 2048
 #: Vectors in one block of a bucket, queries in one block of a bucket's visitors.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
 #: Projections beyond this many cells from the origin share the outermost cell.
@@ -76,145 +89,186 @@ class Tables:
         cosine * p and variance 1 - cosine ** 2.
         """
         mean, sd = cosine * self.project(unit[None], table)[0], math.sqrt(1 - cosine * cosine)
-        total, number = np.ones(1), np.zeros(1, np.int64)
-        digits = np.arange(2 * REACH)
+        chance = []
         for m in range(self.hashes):
             edge = (np.arange(-REACH + 1, REACH) * self.width - self.offsets[table, m] - mean[m]) / sd
-            below = np.r_[0.0, [0.5 * math.erfc(-e / math.sqrt(2)) for e in edge], 1.0]
-            p = np.diff(below)
-            total = (total[:, None] * p[None]).ravel()
-            number = (number[:, None] + (digits * (2 * REACH) ** m)[None]).ravel()
-            some = total > 1e-7  # what is left out can't change where the sum ends
-            total, number = total[some], number[some]
+            chance.append(np.diff(np.r_[0.0, [0.5 * math.erfc(-e / math.sqrt(2)) for e in edge], 1.0]))
+        rest = np.cumprod([1.0, *(p.max() for p in reversed(chance))])[::-1]  # the best that later hashes can do
+        digits, least = np.arange(2 * REACH), 1e-4
+        while True:  # all buckets of probability ``least`` or more, in order; more if they don't suffice
+            total, number = np.ones(1), np.zeros(1, np.int64)
+            for m, p in enumerate(chance):
+                some = np.nonzero(total[:, None] * p[None] * rest[m + 1] >= least)
+                total, number = total[some[0]] * p[some[1]], number[some[0]] + digits[some[1]] * (2 * REACH) ** m
+            if total.sum() >= enough or least < 1e-12:
+                break
+            least /= 8
         order = np.lexsort((number, -total))
-        end = int(np.searchsorted(np.cumsum(total[order]), enough)) + 1
-        return number[order[:end]]
+        return number[order[: int(np.searchsorted(np.cumsum(total[order]), enough)) + 1]]
 
 
 def usable_vectors(rows: DataFrame, vector: str, key: str) -> DataFrame:
-    """``key`` and ``v`` as doubles; null, empty, zero and non-finite vectors go."""
-    x = F.col(vector).cast("array<double>")
-    finite = F.forall(x, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
-    return rows.where(F.col(key).isNotNull() & x.isNotNull() & finite & F.exists(x, lambda c: c != 0)).select(F.col(key).cast("long").alias("key"), x.alias("v"))
+    """``key dim v``: vectors as bytes of doubles; null, empty, zero and non-finite vectors go."""
+    return as_bytes(finite_vectors(rows, vector, key).where(F.exists("x", lambda c: c != 0)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, aim_cosine: float = AIM_COSINE, aim_found: float = AIM_FOUND, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES, hashes: int | None = None, width: float = WIDTH, aim_cosine: float | None = None, aim_found: float = AIM_FOUND, seed: int = SEED) -> DataFrame:
     """``query_id rank vec_id score``: each query's ``k`` nearest found, by cosine.
 
-    Both sides have ``key`` and ``v`` as :func:`usable_vectors` makes them. The
-    query's own key takes no part; ties go to the smaller key; fewer than ``k``
-    candidates are all returned: queries whose buckets hold fewer than ``k`` see
-    all vectors of their length. Vectors meet queries of their length only.
-    Every row is indexed; nothing is fitted to the data.
+    Both sides are as :func:`usable_vectors` makes them. The query's own key
+    takes no part; ties go to the smaller key. Rows of one key and vector count
+    once; rows of one key with different vectors rank each, and as queries share
+    one list. Fewer than ``k`` candidates are all returned: queries whose buckets
+    hold fewer than ``k`` see all vectors of their length. Vectors meet queries
+    of their length only; empty tables give no row.
+
+    All rows are indexed, but of equal vectors those of the ``k + 1`` smallest
+    keys stand for the rest, which can't be in a result. ``hashes`` and
+    ``aim_cosine`` follow from the number of rows and a sample of queries unless
+    given; nothing else is fitted to the data.
 
     A bucket is not one group: its rows lie in blocks of bounded size, and the
     queries that visit it meet them block by block, so that a bucket with a
     third of all rows spreads over many tasks and no candidate pair is a row.
     """
     share = 1 - (1 - aim_found) ** (1 / tables)
+    rows = saved(small_batches(entries(vectors, k + 1)).withColumn("rid", F.monotonically_increasing_id()))
+    asked = saved(queries.distinct().withColumn("q", F.monotonically_increasing_id()))
+    if aim_cosine is None or hashes is None:
+        sample = saved(asked.orderBy(F.xxhash64("key", "v"), "key").limit(SAMPLE_QUERIES))
+        if aim_cosine is None:
+            aim_cosine = _expected(_against_all(rows, sample, k), k)
+        if hashes is None:
+            hashes = _hashes(rows.count(), [(r.dim, np.frombuffer(r.v, "<f8")) for r in sample.select("dim", "v").collect()], tables, width, seed, aim_cosine, share)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Tables] = {}
-        for batch in batches:
-            keys, lists = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for dim in sorted({len(x) for x in lists}):
-                own = [i for i, x in enumerate(lists) if len(x) == dim]
-                v = np.array([lists[i] for i in own], np.float64)
-                hashed = made.setdefault(dim, Tables(dim, tables, hashes, width, seed))
-                units = unit_rows(v)
-                for t in range(tables):
-                    bucket = hashed.buckets(units, t)
-                    order = np.argsort(bucket, kind="stable")
-                    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]), len(order)]
-                    groups = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim] * len(groups), pa.int32()), pa.array([t] * len(groups), pa.int32()), pa.array([bucket[g[0]] for g in groups], pa.int64()), pa.array([keys[own][g].tobytes() for g in groups], pa.binary()), pa.array([v[g].tobytes() for g in groups], pa.binary())],
-                        ["dim", "table", "bucket", "keys", "vectors"],
-                    )
+        for batch, dim in _by_length(batches):
+            rids, keys, v = batch.column("rid").to_numpy(), batch.column("key").to_numpy(), rows_of(batch.column("v"), dim)
+            hashed = made.setdefault(dim, Tables(dim, tables, hashes, width, seed))
+            units = unit_rows(v)
+            for t in range(tables):
+                bucket = hashed.buckets(units, t)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]), len(order)]
+                groups = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield _stored(dim, t, [bucket[g[0]] for g in groups], [(rids[g], keys[g], v[g]) for g in groups])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Tables] = {}
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = np.array(x, np.float64)
-                hashed = made.setdefault(len(x), Tables(len(x), tables, hashes, width, seed))
-                unit = unit_rows(v[None])[0]
-                rows += [(len(x), t, int(b), key, v.tobytes()) for t in range(tables) for b in hashed.probes(unit, t, aim_cosine, share)]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["dim", "table", "bucket", "key", "vector"])
-
-    @F.udf("binary")
-    def packed(x):
-        return np.array(x, np.float64).tobytes()
-
-    stored, asking = "dim int, table int, bucket bigint, keys binary, vectors binary", "dim int, table int, bucket bigint, key bigint, vector binary"
-    found = saved(_best(_meet(vectors.mapInArrow(index, stored), queries.mapInArrow(probe, asking), k), k))
+        for batch, dim in _by_length(batches):
+            hashed = made.setdefault(dim, Tables(dim, tables, hashes, width, seed))
+            for q, unit in zip(batch.column("q").to_pylist(), unit_rows(rows_of(batch.column("v"), dim)), strict=True):
+                for t in range(tables):
+                    seen = hashed.probes(unit, t, aim_cosine, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), x), y) for x, y in ((dim, pa.int32()), (t, pa.int32()))] + [pa.array(seen), pa.array(np.full(len(seen), q))], ["dim", "table", "bucket", "q"])
+
+    found = saved(_best(_meet(rows.mapInArrow(index, _STORED), asked.mapInArrow(probe, "dim int, table int, bucket bigint, q bigint"), asked, k), k))
     # Buckets hold a share of all rows: where a query's hold too few, all rows
     # of its length are one bucket of a table of their own, in blocks as others are.
-    enough = found.groupBy(F.col("query_id").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = saved(queries.join(enough, "key", "left_anti").select("key", "v"))
-    if short.isEmpty():
-        return found
-    at = [F.size("v").alias("dim"), F.lit(-1).alias("table"), F.lit(0).cast("bigint").alias("bucket")]
+    enough = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = saved(asked.join(enough, "q", "left_anti"))
+    out = found if short.isEmpty() else _best(found.drop("rank").union(_against_all(rows, short, k)), k)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+_STORED = "dim int, table int, bucket bigint, rids binary, keys binary, vectors binary"
+
+
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            yield batch.filter(pa.array(dims == dim)), dim
+
+
+def _stored(dim: int, table: int, buckets: list[int], groups: list[tuple]) -> pa.RecordBatch:
+    n = len(groups)
+    columns = [[dim] * n, [table] * n, buckets, *([g[i].tobytes() for g in groups] for i in range(3))]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(columns, kinds, strict=True)], ["dim", "table", "bucket", "rids", "keys", "vectors"])
+
+
+def _against_all(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """As :func:`_meet`, but every query sees all rows of its length."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, lists = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for dim in sorted({len(x) for x in lists}):
-                own = [i for i, x in enumerate(lists) if len(x) == dim]
-                columns = [[dim], [-1], [0], [keys[own].tobytes()], [np.array([lists[i] for i in own], np.float64).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["dim", "table", "bucket", "keys", "vectors"])
+        for batch, dim in _by_length(batches):
+            yield _stored(dim, -1, [0], [(batch.column("rid").to_numpy(), batch.column("key").to_numpy(), rows_of(batch.column("v"), dim))])
+
+    same = rows.join(broadcast_if_small(asked.select("dim").distinct()), "dim", "left_semi")
+    probed = asked.select("dim", F.lit(-1).alias("table"), F.lit(0).cast("bigint").alias("bucket"), "q")
+    return _meet(same.mapInArrow(whole, _STORED), probed, asked, k)
+
 
-    same = vectors.withColumn("dim", F.size("v")).join(broadcast_if_small(short.select(at[0]).distinct()), "dim", "left_semi").select("key", "v")
-    more = _meet(same.mapInArrow(whole, stored), short.select(*at, "key", packed("v").alias("vector")), k)
-    return _best(found.select("query_id", "vec_id", "score").union(more), k)
+def _expected(found: DataFrame, k: int) -> float:
+    """The cosine to expect of a ``k``th neighbour: a low quantile over the sample's."""
+    best = Window.partitionBy("q").orderBy(F.desc("score"))
+    ranked = found.dropDuplicates(["q", "rid"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    last = [r.s for r in ranked.groupBy("q").agg(F.min("score").alias("s")).collect()]
+    return float(np.clip(np.quantile(last, AIM_QUANTILE), 0.05, 0.98)) if last else 0.05
+
+
+def _hashes(rows: int, sample: list[tuple], tables: int, width: float, seed: int, cosine: float, share: float) -> int:
+    """Hashes of a table for so many rows; fewer where the sample would visit too many buckets."""
+    wanted = math.ceil(math.log2(max(rows / BUCKET_ROWS, 1)) / HASH_BITS)
+    for hashes in range(min(max(wanted, LEAST_HASHES), MOST_HASHES), LEAST_HASHES, -1):
+        made: dict[int, Tables] = {}
+        visits = [len(made.setdefault(dim, Tables(dim, tables, hashes, width, seed)).probes(unit_rows(v[None])[0], 0, cosine, share)) for dim, v in sample]
+        if np.mean(visits or [0]) <= PROBES:
+            return hashes
+    return LEAST_HASHES
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of each query. One candidate may come from several tables, each time with the same score."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    once = found.select("q", "query_id", "rid", "vec_id", "score").distinct()
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _meet(indexed: DataFrame, probed: DataFrame, k: int) -> DataFrame:
-    """``query_id vec_id score``: the ``k`` best of every block for the queries that visit it."""
+def _meet(indexed: DataFrame, probed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``q query_id rid vec_id score``: the ``k`` best of every block for the queries that visit it."""
+    place = ["dim", "table", "bucket"]
     # How many blocks a bucket needs, on either side, from its counts.
-    sizes = indexed.groupBy("dim", "table", "bucket").agg(F.ceil(F.sum(F.octet_length("keys")) / (8 * BLOCK_ROWS)).cast("int").alias("parts"))
-    visits = probed.groupBy("dim", "table", "bucket").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
-    plan = sizes.join(visits, ["dim", "table", "bucket"])
+    sizes = indexed.groupBy(*place).agg(F.ceil(F.sum(F.octet_length("rids")) / (8 * BLOCK_ROWS)).cast("int").alias("parts"))
+    visits = probed.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
+    plan = sizes.join(visits, place)
 
     def pack(_: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"dim": table["dim"][:1], "table": table["table"][:1], "bucket": table["bucket"][:1], "turn": table["turn"][:1], "q_keys": [np.array(table["key"].to_pylist(), np.int64).tobytes()], "q_vectors": [b"".join(table["vector"].to_pylist())]})
+        numbers = [table[c].to_numpy().astype(np.int64).tobytes() for c in ("q", "key")]
+        return pa.table({c: table[c][:1] for c in (*place, "turn")} | {"qs": [numbers[0]], "q_keys": [numbers[1]], "q_vectors": [b"".join(table["v"].to_pylist())]})
 
-    place = ["dim", "table", "bucket"]
-    asked = probed.join(plan, place).withColumn("turn", F.pmod(F.xxhash64("key"), "turns").cast("int")).groupBy(*place, "turn").applyInArrow(pack, "dim int, table int, bucket bigint, turn int, q_keys binary, q_vectors binary")
+    # Vectors travel to the buckets that exist only.
+    visited = probed.join(plan, place).withColumn("turn", F.pmod(F.xxhash64("q"), "turns").cast("int")).select("q", "table", "bucket", "turn")
+    met = visited.join(asked, "q").groupBy(*place, "turn").applyInArrow(pack, "dim int, table int, bucket bigint, turn int, qs binary, q_keys binary, q_vectors binary")
 
     def gather(_: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({c: table[c][:1] for c in (*place, "turns")} | {c: [b"".join(table[c].to_pylist())] for c in ("keys", "vectors")})
+        return pa.table({c: table[c][:1] for c in (*place, "turns")} | {c: [b"".join(table[c].to_pylist())] for c in ("rids", "keys", "vectors")})
 
-    kept = indexed.join(plan, place).withColumn("part", F.pmod(F.xxhash64("keys"), "parts").cast("int")).groupBy(*place, "part").applyInArrow(gather, "dim int, table int, bucket bigint, turns int, keys binary, vectors binary")
-    pairs = kept.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).join(asked, [*place, "turn"])
+    kept = indexed.join(plan, place).withColumn("part", F.pmod(F.xxhash64("rids"), "parts").cast("int")).groupBy(*place, "part").applyInArrow(gather, _STORED.replace("rids", "turns int, rids"))
+    pairs = kept.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).join(met, [*place, "turn"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, q_keys = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["q_keys"], np.int64)
-                v, q = (np.frombuffer(row[c], np.float64).reshape(-1, row["dim"]) for c in ("vectors", "q_vectors"))
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                rids, keys, qs, q_keys = (np.frombuffer(row[c], np.int64) for c in ("rids", "keys", "qs", "q_keys"))
+                v, q = matrix(row["vectors"], len(keys), row["dim"]), matrix(row["q_vectors"], len(qs), row["dim"])
                 rough = unit_rows(q) @ unit_rows(v).T
-                rough[q_keys[:, None] == keys[None]] = -np.inf
-                out_q, out_v, out_s = [], [], []
+                rough[own_rows(keys, q_keys)] = -np.inf
+                out: list[list] = [[], [], []]
                 for n in range(len(q)):
                     # rounding can't hide a winner: the rough kth less a margin
                     r = rough[n]
                     floor = np.partition(r, len(r) - k)[len(r) - k] - 1e-9 if len(r) > k else -2.0
-                    near = np.flatnonzero(r >= floor)
-                    near = near[r[near] > -np.inf]
+                    near = np.flatnonzero(r >= max(floor, -2.0))
                     score = cosines(q[n], v[near])
                     best = np.lexsort((keys[near], -score))[:k]
-                    out_q.append(np.full(len(best), q_keys[n]))
-                    out_v.append(keys[near[best]])
-                    out_s.append(score[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+                    for own, value in zip(out, (np.full(len(best), n), near[best], score[best]), strict=True):
+                        own.append(value)
+                a, b, score = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[a], q_keys[a], rids[b], keys[b], score)], ["q", "query_id", "rid", "vec_id", "score"])
 
-    return pairs.select("dim", "keys", "vectors", "q_keys", "q_vectors").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
+    return pairs.select("dim", "rids", "keys", "vectors", "qs", "q_keys", "q_vectors").mapInArrow(rank, "q bigint, query_id bigint, rid bigint, vec_id bigint, score double")

@@ -78,15 +78,75 @@ def test_recall(spark, sf):
     assert all(abs(exact[r.query_id, r.vec_id] - r.score) < 1e-12 for r in out.itertuples())
 
 
+def best_by_hand(table, k):
+    """{query: [(rank, key, score)]} of rows (key, integers): repeated rows once."""
+    table = list({(key, tuple(v)) for key, v in table})
+    out = {}
+    for q in {key for key, _ in table if key % 20 == 0}:
+        pairs = [(-sum(a * b for a, b in zip(v, w, strict=True)), key) for mine, v in table if mine == q for key, w in table if key != q and len(w) == len(v)]
+        if pairs:
+            out[q] = [(n, key, -s) for n, (s, key) in enumerate(sorted(pairs)[:k], 1)]
+    return out
+
+
+def found(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return {q: sorted(x) for q, x in out.items()}
+
+
 def test_exact_top_k_of_odd_vectors(spark):
     frame, rows = odd_vectors(spark)
+    more = [(4000, [3e6] + [0.5] * 7), (4001, [-1e15] + [0.0] * 7), (4020, [2.0**20] + [1.0] * 7), (4040, []), (4041, []), (4060, [0.0] * 8), *[(20 * n, rows[0][1]) for n in (0, 0, 250)], (40, [1.0] * 8)]
+    frame = frame.where("vec_id is null or vec_id <> 2006").union(spark.createDataFrame([(*r, "clash") for r in more], frame.schema))
+    rows = [r for r in rows if r[0] != 2006] + more
     ints = vafile.integer_vectors(frame, "embedding", 64, "vec_id")
-    out = {}
-    for r in vafile.top_inner_products(ints, ints.where("key % 20 = 0"), 20, block_rows=64, block_queries=4).collect():
-        out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    table = [(k, [math.floor(64 * x) for x in v]) for k, v in rows if k is not None and usable(v) and max(map(abs, v)) < 1e6]
-    for q, v in table:
-        if q % 20 == 0:
-            want = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, w in table if k != q and len(w) == len(v))[:20]
-            assert sorted(out[q]) == [(n, k, -s) for n, (s, k) in enumerate(want, 1)]
+    out = vafile.top_inner_products(ints, ints.where("key % 20 = 0"), 20, block_rows=64, block_queries=4)
+    table = [(k, [math.floor(64 * x) for x in v]) for k, v in rows if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    assert found(out.collect()) == best_by_hand(table, 20)
     assert vafile.top_inner_products(ints.limit(0), ints.limit(0), 20).count() == 0
+
+
+def test_scores_beyond_a_long_are_errors(spark):
+    ints = vafile.integer_vectors(spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0])], "vec_id int, embedding array<double>"), "embedding", 64, "vec_id")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        vafile.top_inner_products(ints, ints.where("key = 0"), 1).collect()
+    assert [r.vec_id for r in vafile.top_inner_products(ints.where("key <> 1"), ints.where("key = 0").limit(0), 1).collect()] == []
+
+
+def test_wide_cells_are_read_again(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 6)) * np.array([1e6, 1e3, 1, 50, 1e5, 10]))]
+    ints = vafile.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "embedding", 64, "vec_id")
+    out = vafile.top_inner_products(ints, ints.where("key % 20 = 0"), 7, block_rows=90, block_queries=6)
+    assert found(out.collect()) == best_by_hand([(k, [math.floor(64 * x) for x in v]) for k, v in rows], 7)
+
+
+def test_many_copies_of_one_vector(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(101 + i // 2, [0.9, 0.1, 0.0, 0.0]) for i in range(16)] + [(501 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(10, 4)))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    good = ann.usable_vectors(frame, "embedding", "vec_id")
+    out = ann.nearest(good, good.where("key = 0"), 5).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in out] == [(n + 1, 101 + n) for n in range(5)]
+    one = spark.createDataFrame([(0, [1.0, 0.0]), *[(7, [0.9, 0.1])] * 8, *[(10 + i, [0.5, 0.1 * i]) for i in range(10)]], "vec_id bigint, embedding array<double>")
+    good = ann.usable_vectors(one, "embedding", "vec_id")
+    assert len({r.vec_id for r in ann.nearest(good, good.where("key = 0"), 5).collect()}) == 5
+    ints = vafile.integer_vectors(frame, "embedding", 64, "vec_id")
+    assert found(vafile.top_inner_products(ints, ints.where("key = 0"), 20).collect()) == best_by_hand([(k, [math.floor(64 * x) for x in v]) for k, v in rows], 20)
+
+
+def test_hashes_grow_with_the_rows():
+    rng = np.random.default_rng(7)
+    sample = [(32, v) for v in rng.normal(size=(8, 32))]
+    counts = [ann._hashes(n, sample, 4, 2.0, 1, 0.8, 0.5) for n in (100, 10**6, 10**9)]
+    assert counts[0] == ann.LEAST_HASHES and counts == sorted(counts) and counts[-1] > 10
+    made = ann.Tables(32, 4, 9, 2.0, 1)
+    query = rng.normal(size=32)
+    unit = query / np.linalg.norm(query)
+    other = rng.normal(size=(4000, 32))
+    other -= np.outer(other @ unit, unit)
+    near = 0.7 * unit + math.sqrt(1 - 0.49) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    inside = np.isin(made.buckets(near, 2), made.probes(unit, 2, 0.7, 0.6)).mean()
+    assert 0.55 < inside < 0.72
