@@ -8,7 +8,7 @@ import numpy as np
 
 from knotweave.storage import forget, saved
 
-__all__ = ["forget", "mix64", "saved", "small_batches", "string_buffers", "worker_cache"]
+__all__ = ["forget", "mix64", "saved", "small_batches", "string_buffers", "unused", "worker_cache"]
 
 
 def small_batches(df):
@@ -22,6 +22,14 @@ def small_batches(df):
     return df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as no column of a caller has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def worker_cache(name: str, make):
     """A value that lives as long as its Python worker, made on first use."""
     store = sys.__dict__.setdefault("_knotweave_cache", {})

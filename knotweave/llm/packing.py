@@ -1,10 +1,13 @@
 """Best-fit packing of documents into fixed-length sequences, certified by bounds.
 
 Partitions pack their pieces best-fit decreasing. Dual feasible functions give
-each partition a lower bound on its bins, which certifies counts that meet it;
-the bound is told in ``certified`` and steers nothing. Bins with gaps give their
-documents back; these are dealt into fewer, mixed partitions and packed again,
-until none is left, one last partition has packed the rest, or ``ROUNDS`` end.
+each partition a lower bound on its bins, which certifies counts that meet it,
+and the bound of all pieces, from a count of each length, says when no packing
+can do with fewer sequences: then the work ends. Until then a certified
+partition stays as it is, but for its emptiest bin; the others give back all
+bins with gaps. What came back is dealt into new partitions of the same size
+and packed again, until nothing comes back, one partition holds the rest, a
+round closes nothing, or ``ROUNDS`` end.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved, small_batches
+from .common import forget, saved, small_batches, unused
 from .tokens import word_ids
 
 #: Pieces in one partition of a packing round.
@@ -57,14 +60,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs, by dual feasible functions.
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """Bins that any packing of ``count[n]`` items of each length n needs, by dual feasible functions.
 
     Three families: the identity; the threshold functions that count items over
     capacity - t as whole bins and ignore those under t; and the rounding
     functions floor((k + 1) x / c) / k.
     """
-    count = np.bincount(lengths.astype(np.int64), minlength=capacity + 1)
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     # threshold functions, all t at once, by suffix sums
@@ -76,10 +78,15 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     for k in range(1, 41):
         scaled = (k + 1) * size
         f = np.where(scaled % capacity == 0, size * k, (scaled // capacity) * capacity)  # times k * capacity
-        best = max(best, -(-int((count * f).sum()) // (k * capacity)))
+        best = max(best, -(-sum(a * b for a, b in zip(count.tolist(), f.tolist(), strict=True)) // (k * capacity)))
     return best
 
 
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """:func:`bound_of_counts` of a list of lengths."""
+    return bound_of_counts(np.bincount(lengths.astype(np.int64), minlength=capacity + 1), capacity)
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of each item and the gap of each bin.
 
@@ -120,50 +127,51 @@ def pack(pieces: DataFrame, capacity: int, part_pieces: int = PART_PIECES) -> Da
     keep the order they are read in; repeated rows are packed each for itself.
 
     A round needs one shuffle of pieces without their texts; the next round
-    only takes documents of bins with gaps, a few for each partition.
+    only takes documents of bins with gaps. No partition grows: all have about
+    ``part_pieces`` pieces. The driver holds one count for each length.
     """
     rest = pieces.drop("sequence_id", "offset", "certified")
     kept = rest.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", sequence_id bigint, offset bigint, certified boolean, __open boolean"
+    part_at, open_at = (unused(n, kept) for n in ("part", "open"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + f", sequence_id bigint, offset bigint, certified boolean, {open_at} boolean"
     rest = saved(rest)
-    done: list[DataFrame] = []
-    left = rest.count()
+    count = np.zeros(capacity + 1, np.int64)
+    for row in rest.groupBy("length").count().collect():
+        count[row[0]] = row[1]
+    least, left, closed = bound_of_counts(count, capacity), int(count.sum()), 0
+    out: DataFrame | None = None
     for turn in range(ROUNDS):
         parts = max(1, -(-left // part_pieces))
-        last = parts == 1 or turn == ROUNDS - 1
-        packed = saved(_round(rest, capacity, parts, turn, last, schema))
-        done.append(packed.where(~F.col("__open")).drop("__open"))
-        if last:
-            break
+        packed = saved(_round(rest, capacity, parts, turn, schema, part_at, open_at))
         forget(rest)
-        opened = packed.where("__open").select(*kept)
-        rest, before = saved(opened), left
-        left = rest.count()
-        if not left:
+        first, again = F.col("offset") == 0, F.col(open_at)
+        bins, open_bins, opened = (n or 0 for n in packed.agg(F.count_if(first), F.count_if(first & again), F.count_if(again)).first())
+        last = closed + bins == least or not opened or parts == 1 or opened == left or turn == ROUNDS - 1
+        stays = (packed if last else packed.where(~again)).drop(open_at)
+        out = stays if out is None else out.unionByName(stays)
+        if last:
             break
-        if left == before:  # nothing closed: larger partitions, to the last one
-            part_pieces *= 8
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+        rest, left, closed = saved(packed.where(again).select(*kept)), opened, closed + bins - open_bins
     return out
 
 
-def _round(rest: DataFrame, capacity: int, parts: int, turn: int, last: bool, schema: str) -> DataFrame:
+def _round(rest: DataFrame, capacity: int, parts: int, turn: int, schema: str, part_at: str, open_at: str) -> DataFrame:
     def pack_part(key: tuple, rows: pa.Table) -> pa.Table:
         lengths = rows["length"].to_numpy().astype(np.int64)
         where, offset, gaps = best_fit_decreasing(lengths, capacity)
         certified = len(gaps) == lower_bound(lengths, capacity)
-        open_bin = np.zeros(len(gaps), bool) if last else gaps > capacity * CLOSED_GAP
+        open_bin = gaps > capacity * CLOSED_GAP
+        if certified:
+            open_bin &= np.arange(len(gaps)) == gaps.argmax()
         number = ((turn << 28) + key[0].as_py() << 28) + where
-        rows = rows.drop_columns("__part")
-        for name, values in (("sequence_id", number), ("offset", offset), ("certified", np.full(len(where), certified)), ("__open", open_bin[where])):
+        rows = rows.drop_columns(part_at)
+        for name, values in (("sequence_id", number), ("offset", offset), ("certified", np.full(len(where), certified)), (open_at, open_bin[where])):
             rows = rows.append_column(name, pa.array(values))
         return rows
 
     # The seed mixes each round's partitions anew.
     part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)).cast("int")
-    return rest.withColumn("__part", part).groupBy("__part").applyInArrow(pack_part, schema)
+    return rest.withColumn(part_at, part).groupBy(part_at).applyInArrow(pack_part, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

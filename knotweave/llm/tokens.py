@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 import numpy as np
 
@@ -19,10 +18,9 @@ from .common import worker_cache
 CACHE_WORDS = 400_000
 
 #: Texts of these characters alone take the fast pattern, where ``re`` and the
-#: tokenizer's pattern agree; any other character takes the full one.
+#: tokenizer's pattern agree; any other character takes the tokenizer's own steps.
 _PLAIN = re.compile(r"[^\t-\r -~\xa1-\xa9\xab-\xae\xb0\xb1\xb4\xb6-\xb8\xbb\xbfÀ-ÖØ-öø-ÿ‐-‧]")
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_FULL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,14 +34,13 @@ class WordIds:
     """Ids of texts under one ``tokenizers`` file, as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_word = self._has_known_words(path)
-        self.full = regex.compile(_FULL)
         self.letters = byte_letters()
+        self.bytes_of = {ord(c): b for b, c in self.letters.items()}
         self.seen: dict[str, bytes] = {}
 
     @staticmethod
@@ -60,13 +57,11 @@ class WordIds:
         """The text's words, normalised and in order."""
         if _PLAIN.search(text) is None:
             return _FAST.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return self.full.findall(text)
+        # Unicode versions differ between libraries: the tokenizer's own steps decide
+        cuts = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+        return [spelt.translate(self.bytes_of).encode("latin-1").decode("utf-8") for spelt, _ in cuts]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.seen) + len(words) > CACHE_WORDS:
-            self.seen.clear()
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
         for word in words:
             spelt = word.encode("utf-8").decode("latin-1").translate(letters)
@@ -81,11 +76,10 @@ class WordIds:
         for words in cut:
             new.update(words)
         new.difference_update(self.seen)
-        if new:
-            self._learn(new)
-            if len(self.seen) == len(new):  # it was cleared
-                for words in cut:
-                    self._learn({w for w in words if w not in self.seen})
+        if len(self.seen) + len(new) > CACHE_WORDS:  # none of these texts' words may be missing below
+            self.seen.clear()
+            new = {w for words in cut for w in words}
+        self._learn(new)
         ids = self.seen.__getitem__
         return [b"".join(map(ids, words)) for words in cut]
 
