@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from .common import small_batches, string_buffers, worker_cache
 from .words import chunks
 
-#: The sample that a language is learned from: documents, and bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 48, 384
-#: A text is parsed in stretches of so many bytes; a phrase ends with its stretch.
-STRETCH = 256
+#: The sample that a language is learned from: so many whole documents of at
+#: most so many bytes. Beyond ``SAMPLE_LANGUAGES`` languages the documents are
+#: fewer, so that the automata of all together stay as large.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LANGUAGES = 64, 2048, 8
+#: Texts are parsed in stretches of so many bytes, side by side; how many bytes
+#: of a stretch are looked at first when its beginning turns out different.
+STRETCH, GLANCE = 256, 64
 UNKNOWN = "und"
 
 
@@ -99,7 +102,14 @@ class CrossParser:
         self.roots = np.array(self.roots, kind)
 
     def phrases(self, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        """[language, text]: phrases of each text, by Arrow offsets and bytes."""
+        """[language, text]: phrases of each text, by Arrow offsets and bytes.
+
+        All stretches are parsed at once, as if a phrase began with each. A
+        phrase may reach over the edge: then the state at the end of the stretch
+        before is the true beginning, and the stretch is parsed again from
+        there, until it falls into step with the first parse (mostly within a
+        few bytes) or ends. A changed end is passed on, until none changes.
+        """
         size = np.diff(at)
         many = -(-size // STRETCH)
         own = np.repeat(np.arange(len(size)), many)
@@ -111,17 +121,38 @@ class CrossParser:
         into = np.arange(len(raw)) - np.repeat(first, length) + np.repeat(np.arange(lanes) * STRETCH, length)
         symbols[into] = self.symbol[fold_bytes(raw)]
         symbols = np.ascontiguousarray(symbols.reshape(lanes, STRETCH).T)
-        state = np.repeat(self.roots[:, None], lanes, 1)
-        count = np.zeros((len(self.languages), lanes), self.table.dtype)
+        begun = np.repeat(self.roots[:, None], lanes, 1)
+        seen, early = self._run(symbols[:GLANCE], begun)
+        state, late = self._run(symbols[GLANCE:], seen)
+        later = np.r_[False, own[1:] == own[:-1]]
+        asked = np.flatnonzero(later)
+        while len(asked):
+            true = state[:, asked - 1]
+            new = (true != begun[:, asked]).any(0)
+            asked, true = asked[new], true[:, new]
+            begun[:, asked] = true
+            after, early[:, asked] = self._run(symbols[:GLANCE, asked], true)
+            off = (after != seen[:, asked]).any(0)
+            seen[:, asked] = after
+            redo = asked[off]
+            end, late[:, redo] = self._run(symbols[GLANCE:, redo], after[:, off])
+            moved = redo[(end != state[:, redo]).any(0)]
+            state[:, redo] = end
+            asked = moved[np.r_[later, False][moved + 1]] + 1
+        out = np.zeros((len(self.languages), len(size)))
+        for n in range(len(self.languages)):
+            out[n] = np.bincount(own, early[n] + late[n], len(size))
+        return out
+
+    def _run(self, symbols: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, phrases begun) of each [language, lane] after the columns' symbols."""
+        state, count = state.copy(), np.zeros(state.shape, self.table.dtype)
         for column in symbols:
             state += column
             state = self.table[state]
             count += state & 1
             state >>= 1
-        out = np.zeros((len(self.languages), len(size)))
-        for n in range(len(self.languages)):
-            out[n] = np.bincount(own, count[n], len(size))
-        return out
+        return state, count
 
     def rates(self, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
         """Phrases normalised: bits for each byte, if phrases point into the sample."""
@@ -129,30 +160,27 @@ class CrossParser:
 
 
 def learn(docs: DataFrame, may_learn: Column, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A bounded sample of every language's text.
+    """A bounded sample of every language's texts.
 
-    Of each non-null ``lang``, the ``sample_docs`` rows that ``may_learn`` and
-    whose doc_id hashes lowest; of each, ``sample_bytes`` from the middle. The
-    sample is bounded by these two numbers and the number of languages; a
-    window keeps the lowest before anything is shuffled.
+    Of each non-null ``lang``, the ``sample_docs`` rows that ``may_learn``, have
+    a letter and at most ``sample_bytes`` bytes, and whose doc_id hashes lowest;
+    their texts are taken whole. Where there are too few, the shortest longer
+    rows follow with their first ``sample_bytes`` bytes. The sample is bounded
+    by these numbers; a window keeps the lowest before anything is shuffled.
     """
     usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # Whole texts stay behind: only the sampled bytes are ranked and shuffled.
-    parts = usable.select("lang", "doc_id", _middle(F.col("text"), sample_bytes).alias("part"), F.xxhash64("text").alias("tie"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "tie")
-    picked = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("lang", "rank", "part")
+    size = F.octet_length("text")
+    # Long texts stay behind: only what the sample may take is ranked and shuffled.
+    parts = usable.select("lang", "doc_id", F.when(size > sample_bytes, size).otherwise(0).alias("over"), F.substring(F.col("text").cast("binary"), F.lit(1), F.lit(sample_bytes)).alias("part"), F.xxhash64("text").alias("tie"))
+    order = Window.partitionBy("lang").orderBy("over", F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "tie")
+    picked = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("lang", "rank", "part").collect()
+    most = max(1, sample_docs * SAMPLE_LANGUAGES // max(SAMPLE_LANGUAGES, len({r.lang for r in picked})))
     out: dict[str, bytes] = {}
-    for row in sorted(picked.collect(), key=lambda r: (r.lang, r.rank)):
+    for row in sorted((r for r in picked if r["rank"] <= most), key=lambda r: (r.lang, r["rank"])):
         out[row.lang] = out.get(row.lang, b"") + bytes(row.part) + b"\n"
     return out
 
 
-def _middle(text: Column, size: int) -> Column:
-    raw = text.cast("binary")
-    n = F.octet_length(text)
-    return F.substring(raw, F.greatest(F.lit(1), ((n - size) / 2).cast("int") + 1), F.lit(size))
-
-
 def has_letter(text: Column) -> Column:
     """Whether a text has a language at all; null for null."""
     return text.rlike(r"\p{L}")

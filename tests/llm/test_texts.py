@@ -105,26 +105,65 @@ def test_op10(spark):
 
 def test_cross_parser():
     samples = {"a": b"the cat sat on the mat and ate the rat", "b": "le chat est là sur le tapis".encode()}
-    texts = ["The CAT zz le chat", "", "zzzz", "q" * 700 + "the mat" * 50, "é chat é sur", "là"]
+    long = " ".join(random.Random(1).choice("the cat sat on rat le chat tapis zz est".split()) for _ in range(900))
+    texts = ["The CAT zz le chat", "", "zzzz", "q" * 700 + "the mat" * 50, "é chat é sur", "là", long, samples["a"].decode() * 40]
     parser = langid.CrossParser(samples)
-
-    def by_hand(sample, raw):
-        n = 0
-        for s in range(0, len(raw), langid.STRETCH):
-            x, i = raw[s : s + langid.STRETCH], 0
-            while i < len(x):
-                j = i + 1
-                while j <= len(x) and x[i:j] in sample:
-                    j += 1
-                i, n = max(i + 1, j - 1), n + 1
-        return n
-
     at, raw, _ = string_buffers(pa.array(texts))
     fold = lambda b: bytes(langid.fold_bytes(np.frombuffer(b, np.uint8)))
-    want = [[by_hand(fold(samples[k]), fold(t.encode())) for t in texts] for k in "ab"]
+    want = [[phrases_by_hand(fold(samples[k]), fold(t.encode())) for t in texts] for k in "ab"]
     assert parser.phrases(at, raw).astype(int).tolist() == want
 
 
+def phrases_by_hand(sample, raw):
+    """Longest matches, one after the other, over the whole text."""
+    n = i = 0
+    while i < len(raw):
+        j = i + 1
+        while j <= len(raw) and raw[i:j] in sample:
+            j += 1
+        i, n = max(i + 1, j - 1), n + 1
+    return n
+
+
+def test_op9_by_brute_force(spark, tmp_path):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").select("doc_id", "text", "lang").collect()]
+    rows += [(5000, None, "en"), (5001, "12 34", "fr"), (None, "le la les", None), (5002, rows[0][1], rows[0][2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    mod = lambda d: None if d is None else zlib.crc32(str(d).encode()) % 3
+    hashed = {r.d: r.h for r in docs.where("doc_id is not null").select(F.col("doc_id").alias("d"), F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    letter = lambda t: t is not None and any(c.isalpha() for c in t)
+    learned = {}
+    for d, t, lang in sorted((r for r in rows if r[0] is not None), key=lambda r: (hashed[r[0]], r[0])):
+        if mod(d) != 1 and lang is not None and letter(t):
+            learned.setdefault(lang, []).append(t.encode())
+    assert all(len(x) < langid.SAMPLE_DOCS and max(map(len, x)) <= langid.SAMPLE_BYTES for x in learned.values())
+    lower = lambda b: bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    samples = {k: lower(b"".join(t + b"\n" for t in x)) for k, x in learned.items()}
+    want = []
+    for d, t, _ in rows:
+        pred, score = "und", 0.0
+        if letter(t):
+            raw = lower(t.encode())
+            rates = sorted((phrases_by_hand(x, raw) * math.log2(len(x) + 2), k) for k, x in samples.items())
+            pred, score = rates[0][1], 1 - rates[0][0] / rates[1][0]
+        want.append((d if d is not None else -1, mod(d) == 1, pred, round(score, 9)))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in Q.op9_language_id(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(samples) == 4
+
+
+def test_sample_of_a_language_of_long_texts_only(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "mot " * (1000 + i), "fr") for i in range(3)] + [(10 + i, "word " * 9, f"l{i}") for i in range(20)] + [(50, "word", "en")] * 2
+    samples = langid.learn(spark.createDataFrame(rows, "doc_id int, text string, lang string"), F.lit(True), sample_docs=2)
+    assert len(samples) == 22 and len(samples["fr"]) == langid.SAMPLE_BYTES + 1 and samples["en"] == b"word\n"
+
+
 def test_language_edges(spark):
     from pyspark.sql import functions as F
 
