@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, unused
 
 #: Rows that one (shard, chunk) group holds on average; slots are numbered there.
 CHUNK_ROWS = 20_000
@@ -38,6 +38,12 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
+def stable_key(rows: DataFrame, key: str) -> Column:
+    """A 64-bit number for each key: whole numbers as they are, any other type by its hash."""
+    whole = isinstance(rows.schema[key].dataType, T.IntegralType)
+    return F.coalesce(F.col(key).cast("long") if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.lit(0).cast("long"))
+
+
 def jump_shard(key: Column, shards: int) -> Column:
     """Column form of :func:`jump_hash`; ``key`` is a long, null counts as key 0."""
 
@@ -45,14 +51,15 @@ def jump_shard(key: Column, shards: int) -> Column:
     def shard(k: pd.Series) -> pd.Series:
         return pd.Series(jump_hash(k.to_numpy(np.int64), shards).astype(np.int32))
 
-    return shard(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
+    return shard(F.coalesce(key, F.lit(0).cast("long")))
 
 
 def shard_rows(rows: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
     """Give every row a ``shard``, a ``slot`` in it, and its ``grown_shard``.
 
     ``shard`` depends on the key and the shard count alone; ``grown_shard`` is
-    the shard with one shard more. ``slot`` numbers each shard's rows from 0
+    the shard with one shard more. Keys may be of any type: what isn't a whole
+    number counts by its 64-bit hash. ``slot`` numbers each shard's rows from 0
     without a gap. A null key counts as key 0; repeated keys share a shard and
     get different slots; an empty table stays empty; columns of ``rows`` named
     like a result column are replaced, all others are kept.
@@ -62,11 +69,12 @@ def shard_rows(rows: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
     chunks before theirs end.
     """
     rows = rows.drop("shard", "slot", "grown_shard")
-    base = saved(rows.withColumn("shard", jump_shard(F.col(key), shards)).withColumn("grown_shard", jump_shard(F.col(key), shards + 1)))
+    number = stable_key(rows, key)
+    base = saved(rows.withColumn("shard", jump_shard(number, shards)).withColumn("grown_shard", jump_shard(number, shards + 1)))
     chunks = max(MIN_CHUNKS, -(-base.count() // (CHUNK_ROWS * shards)))
     # The row number makes repeated keys spread over the chunks too; the saved
     # table's files hold it still.
-    row, chunk, first = "__row", "__chunk", "__first"
+    row, chunk, first = (unused(n, base.columns) for n in ("row", "chunk", "first"))
     dealt = base.withColumn(row, F.monotonically_increasing_id()).withColumn(chunk, F.pmod(F.xxhash64(row), F.lit(chunks)).cast("int"))
     starts = dealt.groupBy("shard", chunk).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)

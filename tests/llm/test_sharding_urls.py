@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from knotweave.llm import sharding, urls
+from knotweave.llm import queries as Q
 from knotweave.llm.queries import URL_RULES
 
 
@@ -77,3 +78,35 @@ def test_vocabulary(spark):
 
 def test_no_urls(spark):
     assert judged(spark, []) == []
+
+
+def test_keys_of_any_type(spark):
+    frame = spark.createDataFrame([(f"k{i % 50}", "x") for i in range(400)] + [(None, "y")], "name string, row string")
+    out = sharding.shard_rows(frame, 7, "name").collect()
+    assert len(out) == 401 and {r.shard for r in out} <= set(range(7)) and len({r.shard for r in out}) > 4
+    assert len({(r.name, r.shard, r.grown_shard) for r in out}) == 51 and all(r.grown_shard in (r.shard, 7) for r in out)
+    for shard in range(7):
+        slots = sorted(r.slot for r in out if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_op2_by_brute_force(spark, tmp_path):
+    import zlib
+
+    rows = [(i * 7919, t) for i, t in enumerate(["", None, "same", "same", "é" * 9, *map(str, range(200))])] + [(None, "same"), (7919, "again")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.op2_jump_sharding(spark, str(tmp_path)).collect()
+
+    def jump(key, shards):
+        at, new = -1, 0
+        while new < shards:
+            at = new
+            key = (key * 2862933555777941757 + 1) % 2**64
+            new = int((at + 1) * (2.0**31 / ((key >> 33) + 1)))
+        return at
+
+    want = sorted((d or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), jump(d or 0, 24), jump(d or 0, 25)) for d, t in rows)
+    assert sorted((r.doc_id or 0, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == want and {r.law for r in got} == {"key"}
+    for shard in range(24):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
