@@ -305,16 +305,63 @@ def test_one_row_of_each_class_stays(spark):
     assert got == Counter([(None, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "n"), (None, "n"), (4, "n")])
 
 
-def test_blocks_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize(("edits", "size"), [((1, 2, 4), 90), ((0, 3, 6, 9), 60)])
+def test_blocks_lose_no_link(spark, monkeypatch, edits, size):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 6000)
     rng = random.Random(11)
     base = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join(near_copy(rng, base, rng.choice([1, 2, 4])))) for i in range(90)]
+    rows = [(i, " ".join(near_copy(rng, base, rng.choice(edits)))) for i in range(size)]
     named, _ = classes_by_hand(rows)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {rows[i][0]: named[i][0] for i in range(len(rows))}
 
 
+def test_texts_apart_from_the_first_are_compared_with_all(spark):
+    """A bucket whose texts link in a chain: the last is far from the first."""
+    from pyspark.sql import functions as F
+
+    base = [f"w{i}" for i in range(115)]
+    chain = [base[3 * n : 3 * n + 100] for n in range(6)] + [[f"z{i}" for i in range(100)]]
+    whole = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(chain)], "n bigint, text string")
+    members = whole.select(F.lit(1).cast("long").alias("key"), "n", F.length("text").alias("size"), F.lit(0).cast("long").alias("first"))
+    weights = neardup.Weights(1000, {})
+    sets = [{tuple(w[i : i + 5]) for i in range(96)} for w in chain]
+    near = {(a, b) for a in range(7) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    stars = members.where("n <> first").select(F.col("first").alias("left"), "n", "size")
+    links = neardup._linked_to_firsts(stars, whole, weights, 0.8)
+    assert {(r.a, r.b) for r in links.collect()} == {(a, b) for a, b in near if b == 0} != near
+    apart = neardup._apart(members, neardup.connected(links))
+    more = neardup._linked_apart(members, apart, whole, weights, 0.8)
+    assert {r.node: r.root for r in neardup.connected(links.union(more)).collect()} == dict.fromkeys(range(6), 0)
+
+
+def test_op6_by_brute_force(spark):
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    named, links = classes_by_hand(rows)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in Q.op6_weighted_near_dedup(spark, SF).collect()}
+    assert got == {rows[i][0]: named[i] for i in range(len(rows))} and len(links) > 10
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs of a plain shingle similarity of 0.8 and more are found, rare and common words alike."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for g in range(150):
+        base = [f"w{int(rng.paretovariate(0.6)) % 4000}" for _ in range(rng.choice([60, 200, 600]))]
+        copy = near_copy(rng, base, 0)
+        for _ in range(60):
+            edited = near_copy(rng, copy, 1)
+            grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, edited)]
+            if len(grams[0] & grams[1]) < 0.82 * len(grams[0] | grams[1]):
+                break
+            copy = edited
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        pairs.append((2 * g, 2 * g + 1))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) / len(pairs) >= 0.98 and len(set(got.values())) >= len(pairs)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (3, 10), (11, 10), (4, 5)], "a bigint, b bigint")
     assert {r.node: r.root for r in neardup.connected(edges).collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 4: 4, 5: 4}
