@@ -27,6 +27,9 @@ NULL_ID = -(1 << 63)
 KEYS = ("row", "doc")
 #: Tasks that the copies of one text are dealt to.
 SALTS = 32
+#: Rows that a task gathers before it tells repeats from first places: a passage
+#: that all documents share sends one row for so many, not one for each text.
+GATHER_ROWS = 1 << 18
 
 
 def _key(column: str) -> Column:
@@ -58,16 +61,28 @@ def survivors(words: Words, part: pa.RecordBatch, window: int, length: int) -> n
     return starts[told_key[np.minimum(np.searchsorted(told_key, key), len(told_key) - 1)] == key]
 
 
+def _gathered(rows: Iterator[tuple], settle) -> Iterator[pa.RecordBatch]:
+    """What ``settle`` makes of columns that come in pieces, ``GATHER_ROWS`` rows or more at a time."""
+    held: list[tuple] = []
+    for piece in rows:
+        held.append(piece)
+        if sum(len(p[0]) for p in held) >= GATHER_ROWS:
+            yield from settle(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield from settle(*map(np.concatenate, zip(*held, strict=True)))
+
+
 def _anchors(window: int, length: int, before: int | None):
     """Rows (h, row, c, salt): minimizers of each text's windows that still stand.
 
     At the first length these are all windows, later those whose minimizer of
-    the length ``before`` repeats. Within a chunk, one row of a hash says that
-    it repeats; those of its other texts need nobody else, so their salt
+    the length ``before`` repeats. Of what is gathered, one row of a hash says
+    that it repeats; those of its other texts need nobody else, so their salt
     sends them anywhere.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = Words(part.column("text"))
@@ -75,59 +90,61 @@ def _anchors(window: int, length: int, before: int | None):
                 if before:
                     place = place[np.isin(starts, survivors(words, part, window, before))]
                 place = np.unique(place)
-                if not len(place):
-                    continue
-                h, row = value[place].view(np.int64), part.column("row").to_numpy()[words.text[place]]
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                new = np.r_[True, h[1:] != h[:-1]]
-                group = np.cumsum(new) - 1
-                many = np.bincount(group)[group] > 1
-                once = new | np.r_[True, row[1:] != row[:-1]]  # a text names a hash once
-                c = np.where(many, 2, 1).astype(np.int32)
-                salt = np.where(new, 0, row)
-                yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (h, row, c, salt)], ["h", "row", "c", "salt"])
-
-    return scan
+                if len(place):
+                    yield value[place].view(np.int64), part.column("row").to_numpy()[words.text[place]]
+
+    def settle(h: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((row, h))
+        h, row = h[order], row[order]
+        new = np.r_[True, h[1:] != h[:-1]]
+        group = np.cumsum(new) - 1
+        many = np.bincount(group)[group] > 1
+        once = new | np.r_[True, row[1:] != row[:-1]]  # a text names a hash once
+        c = np.where(many, 2, 1).astype(np.int32)
+        salt = np.where(new, 0, row)
+        yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (h, row, c, salt)], ["h", "row", "c", "salt"])
+
+    return lambda batches: _gathered(read(batches), settle)
 
 
 def _windows(window: int, length: int):
     """Rows (k1, k2, row, doc, pos, n, known) of windows whose minimizer repeats.
 
-    Of a window that a chunk holds more than once, only its first place there
-    competes for the first place of all. The others have lost: they come as
-    runs of ``n`` windows, known.
+    Of a window that is gathered more than once, only its first place competes
+    for the first place of all. The others have lost: they come as runs of ``n``
+    windows, known.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = Words(part.column("text"))
                 starts = survivors(words, part, window, length)
-                if not len(starts):
-                    continue
-                k1 = words.runs(starts, starts + window, 0).view(np.int64)
-                k2 = (words.runs(starts, starts + window, 1) >> np.uint64(33)).astype(np.int32)
-                row, doc = (part.column(c).to_numpy()[words.text[starts]] for c in ("row", "doc"))
-                pos = (starts - words.begin[words.text[starts]]).astype(np.int32)
-                order = np.lexsort((row, pos, doc, k2, k1))
-                same = np.r_[False, (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])]
-                first = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
-                # texts of one doc_id and place share it: neither is earlier, and all compete
-                tied = (doc[order] == doc[order][first]) & (pos[order] == pos[order][first])
-                again = same & np.r_[False, row[order][1:] == row[order][:-1]]
-                keep, lost = np.zeros(len(order), bool), np.zeros(len(order), bool)
-                keep[order], lost[order] = ~same | (tied & ~again), same & ~tied
-                yield _rows(k1[keep], k2[keep], row[keep], doc[keep], pos[keep], np.ones(int(keep.sum()), np.int32), False)
-                if lost.any():
-                    at = np.flatnonzero(lost)
-                    cut = np.r_[True, (np.diff(starts[at]) != 1) | (np.diff(words.text[starts[at]]) != 0)]
-                    run = np.flatnonzero(cut)
-                    n = np.diff(np.r_[run, len(at)]).astype(np.int32)
-                    a = at[run]
-                    yield _rows(_join(row[a], pos[a].astype(np.uint64)).view(np.int64), n, row[a], doc[a], pos[a], n, True)
-
-    return scan
+                if len(starts):
+                    k1 = words.runs(starts, starts + window, 0).view(np.int64)
+                    k2 = (words.runs(starts, starts + window, 1) >> np.uint64(33)).astype(np.int32)
+                    row, doc = (part.column(c).to_numpy()[words.text[starts]] for c in ("row", "doc"))
+                    yield k1, k2, row, doc, (starts - words.begin[words.text[starts]]).astype(np.int32)
+
+    def settle(k1: np.ndarray, k2: np.ndarray, row: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((row, pos, doc, k2, k1))
+        same = np.r_[False, (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])]
+        first = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
+        # texts of one doc_id and place share it: neither is earlier, and all compete
+        tied = (doc[order] == doc[order][first]) & (pos[order] == pos[order][first])
+        again = same & np.r_[False, row[order][1:] == row[order][:-1]]
+        keep, lost = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        keep[order], lost[order] = ~same | (tied & ~again), same & ~tied
+        yield _rows(k1[keep], k2[keep], row[keep], doc[keep], pos[keep], np.ones(int(keep.sum()), np.int32), False)
+        if lost.any():
+            at = np.flatnonzero(lost)
+            cut = np.r_[True, (np.diff(at) != 1) | (np.diff(pos[at]) != 1) | (np.diff(row[at]) != 0)]
+            run = np.flatnonzero(cut)
+            n = np.diff(np.r_[run, len(at)]).astype(np.int32)
+            a = at[run]
+            yield _rows(_join(row[a], pos[a].astype(np.uint64)).view(np.int64), n, row[a], doc[a], pos[a], n, True)
+
+    return lambda batches: _gathered(read(batches), settle)
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:

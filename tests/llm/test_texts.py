@@ -210,28 +210,50 @@ def test_license_windows_by_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     fold = licenses.fold_letters()
     clean = lambda t: bytes(fold[np.frombuffer(t.encode(), np.uint8)]).split()
-    want = {}
+    texts = {d: clean(t) for d, t in docs}
+    sets, fits = {}, {}
     for name, notices in licenses.TEMPLATES.items():
         for number, notice in enumerate(notices):
             t = clean(notice)
             n = min(5, len(t))
-            grams = {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
-            step = next(s for s in (k for p in range(30) for k in (1 << p, 3 << p >> 1)) if s >= len(t) and s >= 3)
-            for d, text in docs:
-                w = clean(text)
-                if not any(tuple(w[i : i + n]) in grams for i in range(len(w) - n + 1)):
+            m = len(t) - n + 1
+            grams = sets[name, number] = {tuple(t[i : i + n]) for i in range(m)}
+            step = next(s for s in (k for p in range(30) for k in (1 << p, 3 << p >> 1)) if 2 * s >= 1.25 * m - 1)
+            for d, w in texts.items():
+                own = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+                if grams.isdisjoint(own):
                     continue
-                for a in range(0, len(w), step):
-                    x = w[a : a + 2 * step]
-                    share = len(grams & {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}) / len(grams)
+                for a in range(0, len(own), step):
+                    share = len(grams & set(own[a : a + 3 * step])) / len(grams)
                     if share >= 0.8:
-                        want[d, name, number] = max(share, want.get((d, name, number), 0))
-    # the notice of version 3 holds 7 of 8 shingles of version 2's
-    want = {k for k, share in want.items() if not (k[1] == "GPL-2.0" and want.get((k[0], "GPL-3.0", 0), 0) > share)}
+                        fits[d, name, number] = max(share, fits.get((d, name, number), 0))
+    # a variant, which holds 0.8 of a template's shingles, stands for it where it fits better
+    better = lambda k, v: (fits.get((k[0], *v), 0), len(sets[v])) > (fits[k], len(sets[k[1:]])) and len(sets[k[1:]] & sets[v]) >= 0.8 * len(sets[k[1:]])
+    want = {k for k in fits if not any(better(k, v) for v in sets if v != k[1:])}
     got = {(r.doc_id, r.license, r.template) for r in Q.op5_license_scan(spark, "/root/testdata/sf0.01").collect()}
     assert got == want and len(want) > 20
 
 
+def test_whole_licenses_with_edits(spark):
+    rng = random.Random(12)
+    texts, want = [], []
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "Unlicense", "Apache-2.0"):
+        number = max(range(len(licenses.TEMPLATES[name])), key=lambda n: len(licenses.TEMPLATES[name][n]))
+        for edits in (0, 1, 3):
+            w = licenses.TEMPLATES[name][number].split()
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = "changed"
+            noise = [[rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randrange(300))] for _ in range(2)]
+            texts.append(" ".join([*noise[0], *w, *noise[1]]))
+            want.append((len(texts) - 1, name, number))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.license, r.template) for r in licenses.scan_licenses(docs).collect()}
+    assert set(want) <= got
+    assert all(lic == want[d][1] for d, lic, _ in got)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8, 0.9999)
+    assert all(20 <= b <= 40 for b in scanner.bands.values())
+
+
 def classes_by_hand(rows, similar=0.8):
     """Classes of (doc_id, text) by weighted Jaccard similarity of all pairs."""
     sets = []
