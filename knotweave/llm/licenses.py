@@ -174,9 +174,9 @@ class Scanner:
         return self._closest(out)
 
     def _closest(self, hits: list[tuple[int, int, float, int]]) -> list[tuple[int, int, float, int]]:
-        """Hits without those that a variant of their template fits better, or as well and is longer, in the same place."""
+        """Hits without those of which a variant has more shingles in the same place, or as many and a larger share."""
         by_text: dict[int, list[tuple[int, tuple, int]]] = {}
-        fit = lambda template, share: (share, len(self.shingles[template]))
+        fit = lambda template, share: (round(share * len(self.shingles[template])), share)
         for t, template, share, first in hits:
             by_text.setdefault(t, []).append((template, fit(template, share), first))
         return [(t, a, share, first) for t, a, share, first in hits if not any(more > fit(a, share) and abs(at - first) <= self.variants.get((a, b), -1) for b, more, at in by_text[t])]

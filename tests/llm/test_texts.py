@@ -227,8 +227,9 @@ def test_license_windows_by_brute_force(spark):
                     share = len(grams & set(own[a : a + 3 * step])) / len(grams)
                     if share >= 0.8:
                         fits[d, name, number] = max(share, fits.get((d, name, number), 0))
-    # a variant, which holds 0.8 of a template's shingles, stands for it where it fits better
-    better = lambda k, v: (fits.get((k[0], *v), 0), len(sets[v])) > (fits[k], len(sets[k[1:]])) and len(sets[k[1:]] & sets[v]) >= 0.8 * len(sets[k[1:]])
+    # a variant, which holds 0.8 of a template's shingles, stands for it where more of it is there
+    count = lambda k: (round(fits.get(k, 0) * len(sets[k[1:]])), fits.get(k, 0))
+    better = lambda k, v: count((k[0], *v)) > count(k) and len(sets[k[1:]] & sets[v]) >= 0.8 * len(sets[k[1:]])
     want = {k for k in fits if not any(better(k, v) for v in sets if v != k[1:])}
     got = {(r.doc_id, r.license, r.template) for r in Q.op5_license_scan(spark, "/root/testdata/sf0.01").collect()}
     assert got == want and len(want) > 20
