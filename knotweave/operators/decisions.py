@@ -74,18 +74,20 @@ def tainted(nodes: DataFrame, deps: DataFrame, causes: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
-def chains(nodes: DataFrame, deps: DataFrame, causes: DataFrame, marked: DataFrame) -> DataFrame:
+def chains(nodes: DataFrame, deps: DataFrame, causes: DataFrame, marked: DataFrame, depth: int | None = None) -> DataFrame:
     """``project id chain cause dep label``: every path from a tainted node to a direct cause.
 
     Paths follow tainted deps that are not proposed and visit no node twice; a
     citation ends its chain with its own label. Chains may be of any length: a
-    step lengthens all of them by one, until none grows.
+    step lengthens all of them by one, until none grows, or after ``depth`` steps
+    if only chains of so many deps are asked for.
     """
     titles = nodes.select("project", "id", "title", "status")
     through = deps.join(marked, [deps.project == marked.project, deps.dep == marked.id], "left_semi").join(titles.where("status <> 'proposed'").select("project", F.col("id").alias("dep")), ["project", "dep"], "left_semi").select("project", F.col("id").alias("__at"), "dep").distinct()
     level = marked.join(titles, ["project", "id"]).select("project", "id", F.col("id").alias("__at"), F.array("id").alias("__path"), F.array("title").alias("chain"))
     paths = level
-    while True:
+    while depth is None or depth > 0:
+        depth = depth and depth - 1
         grown = level.join(through, ["project", "__at"]).where(~F.array_contains("__path", F.col("dep")))
         level = saved(grown.join(titles.select("project", F.col("id").alias("dep"), "title"), ["project", "dep"]).select("project", "id", F.col("dep").alias("__at"), F.concat("__path", F.array("dep")).alias("__path"), F.concat("chain", F.array("title")).alias("chain")))
         if level.isEmpty():

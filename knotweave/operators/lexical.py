@@ -14,24 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.functions import text as T
-from knotweave.storage import is_small, saved
+from knotweave.storage import broadcast_if_small, is_small, saved
 
 K1, B = 1.5, 0.75
 #: Rows that one range of :func:`numbered` holds on average, and the least number of ranges.
 RANGE_ROWS, MIN_RANGES = 20_000, 16
 
 
-def postings(docs: DataFrame, key: Sequence[str], text: Column, code: bool = False) -> DataFrame:
+def postings(docs: DataFrame, key: Sequence[str], text: Column, code: bool = False, terms: DataFrame | None = None) -> DataFrame:
     """``key... term tf``: how often each document has each term.
 
-    ``code`` adds the parts of compound names. Texts are dealt by document
-    first: counts, and the scores that are summed for each document later, then
-    need no shuffle of postings, which are many times more rows.
+    ``code`` adds the parts of compound names. With ``terms`` (``term``, and
+    columns of the key if they differ by corpus), only those are counted: where
+    they are few, as a batch's are, they travel to the texts, and next to
+    nothing is shuffled. Without, all postings are grouped by document.
     """
-    read = F.col("__text")
-    terms = F.concat(T.tokenize(read), T.subtokens(read)) if code else T.tokenize(read)
-    dealt = docs.select(*key, text.alias("__text")).repartition(*key)
-    return dealt.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count("*").cast("double").alias("tf"))
+    read = text
+    own = F.concat(T.tokenize(read), T.subtokens(read)) if code else T.tokenize(read)
+    each = docs.select(*key, F.explode(own).alias("term"))
+    if terms is not None:
+        by = [c for c in terms.columns if c == "term" or c in key]
+        each = each.join(broadcast_if_small(terms.select(*by).distinct()), by, "left_semi")
+    return each.groupBy(*key, "term").agg(F.count("*").cast("double").alias("tf"))
 
 
 def enrich(base: DataFrame, key: Sequence[str], terms: DataFrame, weight: float) -> DataFrame:
@@ -79,14 +83,15 @@ def bm25(queries: DataFrame, post: DataFrame, key: Sequence[str], docs: DataFram
     by = [*corpus]
     asked = query_terms(queries, [*query_key, *(c for c in by if c in queries.columns and c not in query_key)], code=code)
     own = [c for c in by if c in asked.columns]
-    # Only postings of terms that are asked for go on; lengths need them all.
-    wanted = post.join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi")
+    # Only postings of terms that are asked for go on; lengths need them all. They
+    # are read twice, for the terms' counts and for the scores, and made once.
+    sent = F.broadcast if is_small(asked) else (lambda rows: rows)
+    wanted = saved(post.join(sent(asked.select(*own, "term").distinct()), [*own, "term"], "left_semi"))
     lengths = document_lengths(post, key, docs) if lengths is None else lengths
     totals = corpus_totals(lengths, by)
     terms = term_idf(wanted, totals, by)
     # The postings stream; what travels is the batch of queries and the statistics
     # of its terms, which are no more than the batch's rows, while those are few.
-    sent = F.broadcast if is_small(asked) else (lambda rows: rows)
     weighted = wanted.join(sent(terms), [*by, "term"]).join(lengths, [*key])
     weighted = weighted.join(totals, by) if by else weighted.crossJoin(totals)  # one row of totals
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))

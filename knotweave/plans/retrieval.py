@@ -25,10 +25,16 @@ def _postings(spark, sf_dir):
     return lexical.postings(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
 
 
-def _bm25(spark, sf_dir):
+def _asked_postings(spark, sf_dir):
+    """Postings of the queries' terms, made once for all that read them."""
+    terms = lexical.query_terms(_queries(spark, sf_dir)).select("term")
+    return saved(lexical.postings(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), terms=terms))
+
+
+def _bm25(spark, sf_dir, post=None):
     docs = table(spark, sf_dir, "documents")
     lengths = docs.select("doc_id", F.size(T.tokenize(F.col("text"))).cast("double").alias("len"))
-    return lexical.bm25(_queries(spark, sf_dir), _postings(spark, sf_dir), ["doc_id"], lengths=lengths)
+    return lexical.bm25(_queries(spark, sf_dir), post if post is not None else _asked_postings(spark, sf_dir), ["doc_id"], lengths=saved(lengths))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def corpus_stats(spark, sf_dir):
 
 
 def coverage_gate(spark, sf_dir):
-    share = lexical.coverage(_queries(spark, sf_dir), _postings(spark, sf_dir), ["doc_id"])
+    share = lexical.coverage(_queries(spark, sf_dir), _asked_postings(spark, sf_dir), ["doc_id"])
     return share.select("query_id", "doc_id", F.round("coverage", 6).alias("coverage"))
 
 
@@ -106,18 +112,31 @@ def knn_filtered(spark, sf_dir):
     return _near(spark, sf_dir, ["query_id"]).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-def _dense(spark, sf_dir):
-    docs = spread(saved(embedding.dense(embedding.sparse(table(spark, sf_dir, "documents"), ["doc_id"], "text", 64), ["doc_id"], 64)))
-    asked = embedding.dense(embedding.sparse(_queries(spark, sf_dir), ["query_id"], "query", 64), ["query_id"], 64)
-    met = docs.crossJoin(broadcast_if_small(asked.withColumnRenamed("v", "q")))  # a stated query set against all rows
-    # Several parts of a fusion read the cosines: they are written once.
-    return saved(met.select("query_id", "doc_id", V.dot(F.col("q"), F.col("v")).alias("cosine")))
+def _vectors(spark, sf_dir):
+    """(documents' embeddings, the queries'): written once."""
+    embed = lambda rows, key, text: saved(embedding.dense(embedding.sparse(rows, [key], text, 64), [key], 64))
+    return embed(table(spark, sf_dir, "documents"), "doc_id", "text"), embed(_queries(spark, sf_dir), "query_id", "query").withColumnRenamed("v", "q")
+
+
+def _dense(docs, asked, n):
+    """The ``n`` best documents of each query by cosine; what is worse in a task is never written."""
+    met = spread(docs).crossJoin(broadcast_if_small(asked))  # a stated query set against all rows
+    cosines = met.select("query_id", "doc_id", V.dot(F.col("q"), F.col("v")).alias("cosine"))
+    return saved(lexical.top(cosines, n, score="cosine", ties=["doc_id"]).drop("rank"))
+
+
+def _backfill(docs, asked, sparse, n):
+    """Cosines of the ``n`` best documents of each query by BM25, for those that no dense list holds."""
+    members = lexical.top(sparse.where("sparse > 0"), n, score="sparse", ties=["doc_id"]).select("query_id", "doc_id")
+    met = members.join(docs, "doc_id").join(broadcast_if_small(asked), "query_id")
+    return met.select("query_id", "doc_id", V.dot(F.col("q"), F.col("v")).alias("cosine"))
 
 
 def _fused(spark, sf_dir):
-    dense = _dense(spark, sf_dir)
+    docs, asked = _vectors(spark, sf_dir)
+    n = fusion.pool_size(8)
     sparse = saved(_bm25(spark, sf_dir).withColumnRenamed("score", "sparse"))
-    return fusion.fuse(dense, sparse, ["doc_id"], fusion.pool_size(8), fusion.NOTES_BETA, dense)
+    return fusion.fuse(_dense(docs, asked, n), sparse, ["doc_id"], n, fusion.NOTES_BETA, _backfill(docs, asked, sparse, n))
 
 
 def hybrid_fusion(spark, sf_dir):
@@ -129,11 +148,12 @@ def near_duplicate_probe(spark, sf_dir):
 
 
 def gated_fusion(spark, sf_dir):
-    dense = lexical.top(_dense(spark, sf_dir), 50, score="cosine", ties=["doc_id"]).drop("rank")
-    sparse = saved(_bm25(spark, sf_dir).withColumnRenamed("score", "sparse"))
-    share = lexical.coverage(_queries(spark, sf_dir), _postings(spark, sf_dir), ["doc_id"])
+    docs, asked = _vectors(spark, sf_dir)
+    post = _asked_postings(spark, sf_dir)
+    sparse = saved(_bm25(spark, sf_dir, post).withColumnRenamed("score", "sparse"))
+    share = lexical.coverage(_queries(spark, sf_dir), post, ["doc_id"])
     described = table(spark, sf_dir, "documents").select("doc_id")
-    hits = fusion.fuse_code(dense, sparse, share, described, ["doc_id"])
+    hits = fusion.fuse_code(_dense(docs, asked, 50), sparse, share, described, ["doc_id"])
     return hits.where("rank <= 8").select("query_id", "doc_id", "score", "rank")
 
 
