@@ -253,7 +253,7 @@ def test_whole_licenses_with_edits(spark):
     kin = lambda name: {"0BSD": "ISC"}.get(name, name[:3])
     assert all(kin(lic) == kin(want[d][1]) for d, lic, _ in got)
     scanner = licenses.Scanner(licenses.TEMPLATES, 0.8, 0.9999)
-    assert all(20 <= b <= 40 for b in scanner.bands.values())
+    assert all(8 <= b <= 40 for b in scanner.bands.values())
 
 
 def classes_by_hand(rows, similar=0.8):
