@@ -386,9 +386,15 @@ def test_recall_of_near_copies(spark):
     assert sum(got[a] == got[b] for a, b in pairs) / len(pairs) >= 0.98 and len(set(got.values())) >= len(pairs)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL_LINKS", small)
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (3, 10), (11, 10), (4, 5)], "a bigint, b bigint")
     assert {r.node: r.root for r in neardup.connected(edges).collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 4: 4, 5: 4}
+    path = [(n, n + 1) for n in range(0, 40)] + [(100, n) for n in range(101, 140)]
+    random.Random(2).shuffle(path)
+    assert {r.node: r.root for r in neardup.connected(spark.createDataFrame(path, "a bigint, b bigint")).collect()} == {n: 0 if n < 100 else 100 for n in [*range(41), *range(100, 140)]}
+    assert neardup.connected(edges.limit(0)).count() == 0
 
 
 def test_weighted_sampling_estimates_similarity():
