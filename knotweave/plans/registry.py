@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval, structure
+from . import retrieval, structure, upkeep
 
-QUERIES = {**retrieval.QUERIES, **structure.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **structure.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **structure.QUERIES, **upkeep.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **structure.ORACLE_SQL, **upkeep.ORACLE_SQL}
