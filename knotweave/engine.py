@@ -16,6 +16,8 @@ from .functions import symbols as S
 from .functions import text as T
 from .functions.vectors import Embedders
 from .operators import chunking, decisions, evaluate, graph, index, learnings, merge, planning, resolve, retrieve
+from .sources import config
+from .sources import notes as notes_source
 from .sources.tables import Tables
 
 NOTE = "project string, store string, relpath string, id string, title string, tags array<string>, type string, body string, mtime timestamp"
@@ -27,6 +29,8 @@ SOURCE = "project string, id string, ref string, heading string, hash string"
 LEARNING = "project string, relpath string, symbol_ref string, symbol_was array<string>, file string, content_hash string, signature string, body string"
 SYMBOL = "project string, symbol_ref string, fqn string, name string, kind string, lang string, file string, file_hash string, content_hash string, signature string, description string, keywords array<string>, name_terms array<string>, container array<string>, scope array<string>, symbol_was array<string>, calls array<string>, called_by array<string>, references array<string>, mtime bigint"
 SCHEMAS = {"notes": NOTE, "chunks": CHUNK, "versions": VERSION, "nodes": NODE, "deps": DEP, "sources": SOURCE, "learnings": LEARNING, "symbols": SYMBOL, "vectors": "project string, chunk_id string, v array<double>", "symbol_vectors": "project string, symbol_ref string, v array<double>", "enrichment": "label string, section_hash string, terms array<string>, mtime timestamp"}
+#: Snapshots of a table that stay readable; older ones are deleted after a write.
+KEEP = 8
 
 
 class Engine:
@@ -36,6 +40,7 @@ class Engine:
         self.spark, self.tables, self.scorer = spark, Tables(spark, root), scorer
         self.embed, self.embed_query = Embedders().get(embedder)
         self.window, self.overlap = window, overlap
+        self.project = ""
 
     def table(self, name: str) -> DataFrame:
         """A table's last snapshot; an empty one before its first write."""
@@ -44,6 +49,7 @@ class Engine:
     def _put(self, name: str, rows: DataFrame) -> None:
         columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
         self.tables.write(name, rows.select(*columns))
+        self.tables.expire(name, KEEP)
 
     # notes
 
@@ -95,6 +101,35 @@ class Engine:
         self.note_reindex()
         return moves.join(moved.where("refused").select("project", "relpath"), ["project", "relpath"], "left_semi")
 
+    def note_create(self, notes: DataFrame) -> DataFrame:
+        """Write new notes (``project store title body``) under paths made of their titles; returns the paths."""
+        named = index.free_paths(notes.withColumn("slug", T.slug(F.col("title"))), self.table("notes"), ["title", "body"])
+        self.note_store(named.drop("slug"))
+        return named.select("project", "store", "relpath", "title")
+
+    def note_import(self, files: DataFrame, today: str) -> DataFrame:
+        """Copy files (``project name text``) to ``imported/``; a file imported before keeps its id and date. Returns their keys."""
+        kept = self.table("notes").where(F.col("store") == "notes").select("project", "relpath", F.col("body").alias("text"), "id", F.regexp_extract("type", r"^imported:(.*)$", 1).alias("imported"))
+        new = files.select("project", F.concat(F.lit("imported/"), "name").alias("relpath"))
+        merged = notes_source.import_files(kept.withColumn("imported", F.when(F.col("imported") != "", F.col("imported"))), files, F.lit(today)).join(new, ["project", "relpath"], "left_semi")
+        self.note_store(merged.select("project", F.lit("notes").alias("store"), "relpath", "id", F.concat(F.lit("imported:"), "imported").alias("type"), F.col("text").alias("body")))
+        return new
+
+    def note_import_memory(self, memory: DataFrame, host: str) -> None:
+        """Mirror a host's memory files (``project name text``): gone ones go, other hosts' stay."""
+        notes = self.table("notes")
+        own = F.col("relpath").startswith(f"memory/{host}/")
+        mirrored = notes_source.mirror_memory(notes.where(own).select("project", F.lit(host).alias("host"), "relpath", F.col("body").alias("text")), memory, host)
+        gone = notes.where(own).join(mirrored.select("project", "relpath"), ["project", "relpath"], "left_anti")
+        if not gone.isEmpty():
+            self.note_forget(gone.select("project", "store", "relpath"))
+        self.note_store(mirrored.select("project", F.lit("notes").alias("store"), "relpath", F.col("text").alias("body")))
+
+    def note_locate(self, keys: DataFrame, root: str) -> DataFrame:
+        """Add ``path`` under a root to stored notes' keys (``project store relpath``); unknown notes are left out."""
+        own = ["project", "store", "relpath"]
+        return self.table("notes").select(*own).join(keys.select(*own), own, "left_semi").withColumn("path", F.concat_ws("/", F.lit(root.rstrip("/")), *own))
+
     def note_read(self, keys: DataFrame) -> DataFrame:
         return self.table("notes").join(keys, [c for c in ("project", "store", "relpath") if c in keys.columns], "left_semi")
 
@@ -167,6 +202,20 @@ class Engine:
         live = self.table("symbols").where(F.coalesce("description", F.lit("")) != "")
         self._put("symbol_vectors", live.select("project", "symbol_ref", self.embed(F.concat_ws("\n", "fqn", "description")).alias("v")))
 
+    def code_convert(self, apply: bool = False) -> DataFrame:
+        """Re-key symbols by what their file, nesting and name say: ``filename target status``; written only if asked."""
+        args = F.col("file"), F.coalesce("container", F.array().cast("array<string>")), F.col("name"), F.col("lang")
+        symbols = self.table("symbols").withColumn("filename", F.concat("project", F.lit("/"), S.ref_slug(F.col("symbol_ref"))))
+        fresh = S.key(F.lit(None).cast("string"), *args)
+        found = index.convert_records(symbols, {"symbol_ref": fresh}, F.concat("project", F.lit("/"), S.ref_slug(fresh)), ["symbol_ref"])
+        if apply:
+            before = symbols.select("filename", F.col("symbol_ref").alias("__was"))
+            moved = found.where("status <> 'collision'").join(before, "filename")
+            was = F.array_distinct(F.concat(F.coalesce("symbol_was", F.array().cast("array<string>")), F.when(F.col("__was") != F.col("symbol_ref"), F.array("__was")).otherwise(F.array().cast("array<string>"))))
+            stay = found.where("status = 'collision'").join(before, "filename").withColumn("symbol_ref", F.col("__was"))
+            self._put("symbols", moved.withColumn("symbol_was", was).unionByName(stay))
+        return found.select("filename", "target", "status")
+
     def code_lookup(self, queries: DataFrame, k: int = retrieve.DEFAULT_K) -> DataFrame:
         hits = retrieve.code_lookup(queries, self.table("symbols"), self.table("symbol_vectors").drop("project"), k, self.scorer, self.embed_query)
         return learnings.attach(hits, self.table("learnings")) if self.tables.exists("learnings") else hits
@@ -382,6 +431,43 @@ class Engine:
             if self.tables.exists(name):
                 self._put(name, self.table(name).where(F.col("project") != project))
 
+    def project_setup(self, project: str, files: DataFrame, docs: Sequence[str] = ("**/*.md",)) -> DataFrame:
+        """Index a repository's files (``file text``): Python symbols, and documents that fit a glob, in place. Returns counts."""
+        from .sources import code
+
+        mine = files.select(F.lit(project).alias("project"), "file", "text")
+        symbols = code.extract(mine.where(F.col("file").endswith(".py"))).withColumn("lang", F.lit("python"))
+        self.code_index(symbols.select("project", "file", "file_hash", "name", "kind", "lang", "container", "content_hash", "signature"))
+        found = notes_source.in_situ(mine.withColumnRenamed("file", "relpath"), project, list(docs))
+        self.note_store(found.select("project", F.lit("notes").alias("store"), "relpath", F.col("source").alias("type"), F.col("text").alias("body")))
+        return self.status().where(F.col("project") == project)
+
+    def project_migrate(self, old_prefix: str, new_prefix: str) -> DataFrame:
+        """Move notes and the citations of them from one prefix to another; returns the notes that moved."""
+        notes = self.table("notes")
+        moving = notes.where(F.col("relpath").startswith(old_prefix)).select("project", "store", "relpath")
+        self._put("notes", index.migrate_layout(notes, old_prefix, new_prefix))
+        if self.tables.exists("sources"):
+            self._put("sources", index.migrate_layout(self.table("sources").withColumnRenamed("ref", "relpath"), old_prefix, new_prefix).withColumnRenamed("relpath", "ref"))
+        self.note_reindex()
+        return moving
+
+    def project_reconcile(self) -> tuple[DataFrame, DataFrame]:
+        """Bring all projects' chunks up to their notes: (counts by action, code files to extract anew)."""
+        return self.note_reindex(), index.dirty_files(self.table("symbols"))
+
+    def project_use(self, project: str) -> None:
+        """The project that later calls without one mean."""
+        self.project = project
+
+    def project_current(self, explicit: str = "", path: str = "", markers: DataFrame | None = None, default: str = "") -> str:
+        """The project that a call means: named, else in use, else of the nearest marker above a path, else the default."""
+        row = self.spark.createDataFrame([(explicit, self.project, path)], "explicit string, session string, path string")
+        seed = F.lit(None).cast("string")
+        if markers is not None:
+            row, seed = config.nearest_marker(row, markers), F.col("project")
+        return row.select(config.project_of(F.col("explicit"), F.col("session"), seed, F.lit(default)).alias("p")).first().p
+
     def project_relocate(self, project: str, to: Engine) -> None:
         """Move a project's rows of all tables to another root."""
         for name in SCHEMAS:

@@ -199,6 +199,14 @@ def toml_escape(text: Column) -> Column:
     return out
 
 
+def toml_unescape(text: Column) -> Column:
+    """The inverse of :func:`toml_escape`."""
+    held = F.regexp_replace(text, r"\\\\", "\x00")
+    for spelt, raw in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
+        held = F.regexp_replace(held, spelt, raw)
+    return F.replace(held, F.lit("\x00"), F.lit("\\"))
+
+
 def is_test_path(path: Column) -> Column:
     """Whether a path looks like a test: a test folder or a test file name."""
     return F.coalesce(F.lower(path).rlike(r"(^|/)tests?/|(^|/)test_[^/]*$|_test\.[^/]*$|\.(test|spec)\.[^/]*$"), F.lit(False))

@@ -208,6 +208,23 @@ def edit_note(old_front: Column, new_front: Column) -> Column:
     return F.when(F.size(new_front) > 0, new_front).otherwise(old_front)
 
 
+def free_paths(new: DataFrame, taken: DataFrame, order: Sequence[str], suffix: str = ".md") -> DataFrame:
+    """Add ``relpath`` to new notes (``project store slug``): their slug, or ``slug-2`` and so on where that is taken.
+
+    ``taken`` has project, store and relpath. New notes of one slug are numbered
+    in the order given; each takes the least number that is still free.
+    """
+    by = ["project", "store", "slug"]
+    stem = F.regexp_replace("relpath", f"{suffix.replace('.', '[.]')}$", "")
+    tail = F.regexp_extract(stem, r"^(.+)-([0-9]{1,9})$", 2)
+    named = taken.select("project", "store", F.explode(F.array(F.struct(stem.alias("slug"), F.lit(1).alias("n")), F.when(tail != "", F.struct(F.regexp_extract(stem, r"^(.+)-([0-9]{1,9})$", 1).alias("slug"), tail.cast("int").alias("n"))))).alias("t")).where("t is not null")
+    used = named.select("project", "store", "t.slug", "t.n").join(new.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.collect_set("n").alias("__used"))
+    numbered = new.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).join(used, by, "left")
+    own = F.coalesce("__used", F.array().cast("array<int>"))
+    free = F.array_except(F.sequence(F.lit(1), F.size(own) + F.col("__k")), own)
+    return numbered.withColumn("__n", F.element_at(free, F.col("__k"))).withColumn("relpath", F.concat("slug", F.when(F.col("__n") > 1, F.concat(F.lit("-"), F.col("__n").cast("string"))).otherwise(""), F.lit(suffix))).drop("__k", "__used", "__n")
+
+
 def move_notes(notes: DataFrame, moves: DataFrame) -> DataFrame:
     """Re-key notes by ``moves`` (project relpath to_project to_relpath).
 

@@ -65,3 +65,48 @@ def test_decisions_and_plans(spark, tmp_path):
     assert [(r.id, r.cause) for r in e.causes().collect()] == [("d1", "source-changed")]
     assert e.plan_next().count() == 1  # sources never gate
     assert e.plan_move("p", "w1", after=None) and e.status().first().tainted == 3
+
+
+def test_paths_imports_and_projects(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/e", "hash:64")
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    new = "project string, store string, title string, body string"
+    made = e.note_create(rows([("p", "notes", "My Note", "a"), ("p", "notes", "My note!", "b"), ("p", "notes", "Other", "c")], new)).collect()
+    assert sorted(r.relpath for r in made) == ["my-note-2.md", "my-note.md", "other.md"]
+    again = e.note_create(rows([("p", "notes", "my note", "d"), ("q", "notes", "my note", "e")], new)).collect()
+    assert {(r.project, r.relpath) for r in again} == {("p", "my-note-3.md"), ("q", "my-note.md")}
+    files = "project string, name string, text string"
+    e.note_import(rows([("p", "x.md", "first")], files), "2024-01-01")
+    before = e.table("notes").where("relpath = 'imported/x.md'").first()
+    e.note_import(rows([("p", "x.md", "second")], files), "2024-02-02")
+    after = e.table("notes").where("relpath = 'imported/x.md'").first()
+    assert (before.body, after.body) == ("first", "second") and before.id == after.id and after.type == "imported:2024-01-01"
+    e.note_import_memory(rows([("p", "a.md", "one"), ("p", "b.md", "two"), ("p", "MEMORY.md", "index")], files), "h")
+    e.note_import_memory(rows([("p", "a.md", "one more")], files), "h")
+    assert {r.relpath: r.body for r in e.table("notes").where("relpath like 'memory/%'").collect()} == {"memory/h/a.md": "one more"}
+    spot = e.note_locate(rows([("p", "notes", "other.md"), ("p", "notes", "none.md")], KEY), "/r/").collect()
+    assert [r.path for r in spot] == ["/r/p/notes/other.md"]
+    assert {r.relpath for r in e.project_migrate("imported/", "in/").collect()} == {"imported/x.md"}
+    assert e.table("chunks").where("relpath = 'in/x.md'").count() == 1
+    e.project_setup("r", rows([("m.py", "def f(x):\n    return g(x)\n"), ("docs/d.md", "# D\ntext"), ("n.txt", "no")], "file string, text string"))
+    assert e.table("symbols").first().symbol_ref == "m.py#f" and e.table("notes").where("project = 'r'").first().relpath == "sources/r/docs/d.md"
+    assert {r.status for r in e.code_convert().collect()} == {"noop"}
+    counts, dirty = e.project_reconcile()
+    assert {r.action for r in counts.collect()} == {"noop"} and dirty.count() == 0
+    assert e.project_current(default="z") == "z"
+    markers = rows([("/w", "top"), ("/w/sub", "inner")], "root string, project string")
+    assert e.project_current(path="/w/sub/x.py", markers=markers) == "inner"
+    e.project_use("mine")
+    assert e.project_current(path="/w/x.py", markers=markers) == "mine" and e.project_current("named") == "named"
+    assert len(e.tables.versions("notes")) <= 8
+
+
+def test_toml_strings(spark):
+    from knotweave.functions import text as T
+
+    odd = ['a"b', "back\\slash \\n", "tab\tline\nend\r", "", "\\\\\""]
+    frame = spark.createDataFrame([(t,) for t in odd], "t string").withColumn("e", T.toml_escape(F.col("t")))
+    import tomllib
+
+    for r in frame.withColumn("back", T.toml_unescape(F.col("e"))).collect():
+        assert tomllib.loads(f'x = "{r.e}"')["x"] == r.t and r.back == r.t
