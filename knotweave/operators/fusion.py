@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.functions import vectors as V
+from knotweave.storage import broadcast_if_small, is_small
 
 RRF_K, RERANK_HEAD = 60, 20
 NOTES_BETA, CODE_BETA, CODE_POOL = 0.5, 1.0, 50
@@ -134,19 +135,26 @@ def maxsim(candidates: DataFrame, query_vectors: DataFrame, name_vectors: DataFr
     """Mean over a query's token vectors of the best cosine to a candidate's name vectors.
 
     ``candidates`` (query, key) bound the pairs; ``query_vectors`` have ``by
-    token v``, ``name_vectors`` have ``key v``. The inner maximum is taken over
-    arrays in a row, so that no pair of tokens is a row.
+    token v``, ``name_vectors`` have ``key v``. Each task keeps one maximum for
+    a token and key, however many names a key has; only those are shuffled.
     """
-    names = name_vectors.groupBy(key).agg(F.collect_list("v").alias("__names"))
-    asked = candidates.select(by, key).distinct().join(query_vectors.select(by, "token", F.col("v").alias("__q")), by).join(names, key)
-    best = F.array_max(F.transform("__names", lambda n: V.cosine(F.col("__q"), n)))
-    return asked.groupBy(by, key).agg(F.avg(best).alias("score"))
+    asked = candidates.select(by, key).distinct().join(query_vectors.select(by, "token", F.col("v").alias("__q")), by)
+    met = name_vectors.select(key, "v").join(broadcast_if_small(asked), key)
+    best = met.groupBy(by, key, "token").agg(F.max(V.cosine(F.col("__q"), F.col("v"))).alias("__best"))
+    return best.groupBy(by, key).agg(F.avg("__best").alias("score"))
 
 
 def best_phrase(query_vectors: DataFrame, phrases: DataFrame, key: str, by: str = "query_id") -> DataFrame:
-    """Largest cosine of a query to any of a key's phrase vectors, by blocks of queries."""
+    """Largest cosine of a query to any of a key's phrase vectors.
+
+    The queries are a stated set that meets all phrases: they must be small
+    enough to travel (an error if not). Each task keeps one maximum for a query
+    and key.
+    """
     asked = query_vectors.select(by, F.col("v").alias("__q"))
-    return phrases.select(key, "v").join(asked).groupBy(by, key).agg(F.max(V.cosine(F.col("__q"), F.col("v"))).alias("score"))
+    if not is_small(asked):
+        raise ValueError("too many queries for one batch: ask in several")
+    return phrases.select(key, "v").crossJoin(F.broadcast(asked)).groupBy(by, key).agg(F.max(V.cosine(F.col("__q"), F.col("v"))).alias("score"))
 
 
 def weighted(rows: DataFrame, weights: dict[str, float], by: Sequence[str] = ("query_id",)) -> DataFrame:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from knotweave.functions import symbols as S
 from knotweave.functions import text as T
 from knotweave.functions import vectors as V
+from knotweave.storage import is_small
 
 from . import fusion, lexical
 
 MAX_K, DEFAULT_K, MAX_DEPTH = 200, 8, 25
 SNIPPET = 280
+#: Tasks that the rows of one (project, store) are dealt to where queries are many.
+SALTS = 32
 
 
 def check_arguments(k: int, query: str | None = None, depth: int = 0) -> None:
@@ -67,11 +70,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: Sequence[str], query
     ``on`` names columns that both sides share and must agree in (project,
     store): it makes the pairing an equi-join. ``exclude_self`` is a condition
     for pairs to leave out. Each task keeps its ``k`` best of a query before
-    anything is shuffled.
+    anything is shuffled. Queries that are few travel to the rows; otherwise
+    the rows of one (project, store) meet theirs in ``SALTS`` tasks, and
+    without ``on`` many queries are an error.
     """
     asked = queries.select(*query_key, *(c for c in on if c not in query_key), F.col(vector).alias("__q"))
     rows = corpus.select(*key, *(c for c in on if c not in key), F.col(vector).alias("__v"))
-    met = asked.join(rows, [*on]) if on else asked.crossJoin(rows)
+    if is_small(asked):
+        met = rows.join(F.broadcast(asked), [*on]) if on else rows.crossJoin(F.broadcast(asked))
+    elif on:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = rows.withColumn("__s", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(asked.withColumn("__s", salts), [*on, "__s"])
+    else:
+        raise ValueError("too many queries for one batch: ask in several, or by project and store")
     if exclude_self is not None:
         met = met.where(~exclude_self)
     scored = met.select(*query_key, *key, V.dot(F.col("__q"), F.col("__v")).alias("cosine"))

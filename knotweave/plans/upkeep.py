@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotweave.functions import symbols as S
 from knotweave.functions import text as T
-from knotweave.operators import chunking, decisions, evaluate, graph, index, learnings, resolve, retrieve, usage
+from knotweave.operators import chunking, decisions, evaluate, fusion, graph, index, learnings, lexical, resolve, retrieve, usage
 
 from . import retrieval, structure
 from .retrieval import table
@@ -310,9 +310,38 @@ def path_functions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slug(F.concat(F.lit(" The "), name, F.lit("! (v2)"))).alias("slug"), T.munge_path(path).alias("folder"), out.alias("portable"), T.expand_path(out, roots).alias("whole"), T.safe_relpath(path).alias("safe"), S.ref_slug(F.concat("p_type", F.lit("#"), name)).alias("ref_slug"), T.code_hash(name).alias("code_hash"))
 
 
+def _scores(spark, sf_dir):
+    """Customers of a nation as hits with three scores, one of them missing at times."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a"), F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 17).cast("double")).alias("b"))
+
+
+def facet_blend(spark, sf_dir):
+    return fusion.weighted(_scores(spark, sf_dir), {"a": 0.7, "b": 0.3}).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+def project_fan_out(spark, sf_dir):
+    rows = _scores(spark, sf_dir).withColumn("project", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")))
+    place = F.row_number().over(Window.partitionBy("query_id", "project").orderBy(F.desc("a"), "id"))
+    return fusion.fan_out(rows.withColumn("rank", place).select("query_id", "project", "id", "rank"), "p1").select("query_id", "id", F.round("score", 8).alias("score"), "rank")
+
+
+def ranker_route(spark, sf_dir):
+    share = lexical.coverage(retrieval._queries(spark, sf_dir), retrieval._asked_postings(spark, sf_dir), ["doc_id"])
+    best = share.groupBy("query_id").agg(F.max("coverage").alias("coverage"))
+    return fusion.route(best).select("query_id", "route")
+
+
+def phrase_similarity(spark, sf_dir):
+    corpus = table(spark, sf_dir, "embeddings")
+    asked = retrieval._centroids(spark, sf_dir)
+    phrases = corpus.select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return fusion.best_phrase(asked, phrases, "label").select("query_id", "label", F.round("score", 6).alias("score"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (commit_snapshot, reconcile_targets, missing_files, forget_paths, rebuild_projects, schema_sweep, unreadable_rows, code_index, dropped_file, stale_files, freshness_token, undescribed_files, dirty_files, budgeted_sweep, convert_records, migrate_layout, forget_project, probe_queries, append_note, move_notes, stash_ids, writable_paths, latest_records, portable_mtimes, not_indexed, reindex_totals, narrowed_symbols, floor_and_equality, span_attach, taint_marks, corpus_inventory, missing_deps, decision_check, decision_list, decision_dossier, learning_marks, learning_convert, graph_marks, resolve_abroad, symbol_xref, symbol_dossier, eval_segments, eval_targets, eval_under_bar, snapshot_churn, gold_harvest, usage_kinds, path_functions)
+    for f in (commit_snapshot, reconcile_targets, missing_files, forget_paths, rebuild_projects, schema_sweep, unreadable_rows, code_index, dropped_file, stale_files, freshness_token, undescribed_files, dirty_files, budgeted_sweep, convert_records, migrate_layout, forget_project, probe_queries, append_note, move_notes, stash_ids, writable_paths, latest_records, portable_mtimes, not_indexed, reindex_totals, narrowed_symbols, floor_and_equality, span_attach, taint_marks, corpus_inventory, missing_deps, decision_check, decision_list, decision_dossier, learning_marks, learning_convert, graph_marks, resolve_abroad, symbol_xref, symbol_dossier, eval_segments, eval_targets, eval_under_bar, snapshot_churn, gold_harvest, usage_kinds, path_functions, facet_blend, project_fan_out, ranker_route, phrase_similarity)
 }
 
 _N = "n AS (SELECT doc_id, lang AS project, CASE WHEN doc_id % 4 = 0 THEN 'design' ELSE 'notes' END AS store, CASE WHEN doc_id % 9 = 0 THEN 'sources/' ELSE '' END || 'd' || doc_id || '.md' AS relpath, text FROM documents)"
@@ -380,6 +409,14 @@ FROM e JOIN nodes q ON q.project = e.project AND q.id = e.id LEFT JOIN nodes n O
     "gold_harvest": """WITH t AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS relpath, unnest([p_name, string_split(p_name, ' ')[1] || ' part', 'short', 'part number ' || p_partkey]) AS query FROM part)
 SELECT min(query) AS query, min(relpath) AS relpath FROM t WHERE length(query) >= 8 GROUP BY lower(query) HAVING count(DISTINCT relpath) = 1""",
     "usage_kinds": f"WITH {structure._MOVES} SELECT sid, count(*) FILTER (kind = 'read') AS read, count(*) FILTER (kind = 'search') AS search, count(*) FILTER (kind = 'consult') AS consult, count(*) FILTER (kind = 'save') AS save FROM m GROUP BY 1",
+    "facet_blend": """WITH s AS (SELECT c_nationkey AS query_id, c_custkey AS id, c_acctbal AS a, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 17 AS DOUBLE) ELSE 0 END AS b FROM customer),
+m AS (SELECT *, min(a) OVER w AS la, max(a) OVER w AS ha, min(b) OVER w AS lb, max(b) OVER w AS hb FROM s WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, id, round(CASE WHEN ha > la THEN 0.7 * (a - la) / (ha - la) ELSE 0 END + CASE WHEN hb > lb THEN 0.3 * (b - lb) / (hb - lb) ELSE 0 END, 6) AS score FROM m""",
+    "project_fan_out": """WITH l AS (SELECT c_nationkey AS query_id, c_custkey AS id, c_custkey % 3 AS p, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 3 ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer),
+s AS (SELECT query_id, id, 1.0::DOUBLE / (60 + r) AS score, r, dense_rank() OVER (PARTITION BY query_id ORDER BY p <> 1, p) AS n FROM l)
+SELECT query_id, id, round(score, 8) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, n, r, id) AS INTEGER) AS rank FROM s""",
+    "ranker_route": f"SELECT query_id, CASE WHEN max(coverage) >= 0.999 THEN 'name' ELSE 'concept' END AS route FROM ({retrieval.ORACLE_SQL['coverage_gate']}) GROUP BY 1",
+    "phrase_similarity": f"""WITH {retrieval._CENT} SELECT c.query_id, e.label, round(max(list_cosine_similarity(c.v, e.v)), 6) AS score FROM cent c, emb e GROUP BY 1, 2""",
     "path_functions": """WITH p AS (SELECT *, '/home/u/' || string_split(p_name, ' ')[1] || '/' || p_size || '.py' AS path, p_type || '#' || p_name AS ref FROM part), m AS (SELECT *, regexp_replace(regexp_replace(ref, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS safe_ref FROM p)
 SELECT p_partkey, lower(regexp_replace('The ' || regexp_replace(p_name, '[^A-Za-z0-9 _-]', '', 'g') || ' v2', '\\s+', '-', 'g')) AS slug, regexp_replace(path, '[^A-Za-z0-9]', '-', 'g') AS folder, '$HOME' || substr(path, 8) AS portable, path AS whole, false AS safe, safe_ref || '-' || substr(sha1(ref), 1, 8) AS ref_slug, substr(sha1(p_name), 1, 16) AS code_hash FROM m""",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,22 +46,49 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bytes of files up to which a table is dealt over the cores by a shuffle.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files make fewer splits than there are cores.
 
-    A large table is never shuffled by this: it has splits enough.
+    Only tables of files of at most ``SPREAD_BYTES`` together are shuffled for
+    that: a larger one has splits enough to work on.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    few = df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few and _file_bytes(df) <= SPREAD_BYTES else df
+
+
+def _file_bytes(df: DataFrame) -> int:
+    """What the optimizer's statistics say of a table's size: its files' bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+#: Rows and bytes up to which a side of a join is broadcast.
+SMALL_ROWS, SMALL_BYTES = 500_000, 64 << 20
 
 
-#: Rows up to which a side of a join is broadcast.
-SMALL_ROWS = 500_000
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(value) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.octet_length(F.array_join(value, "")) + 16 * F.size(value) + 16
+        return 16 * F.size(value) + 16
+    return F.lit(16) if isinstance(kind, T.AtomicType) else F.octet_length(F.to_json(F.struct(value))) + 16
 
 
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Whether ``df`` is counted to have at most ``rows`` rows; counting stops there."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` is counted to have at most ``rows`` rows and ``SMALL_BYTES`` bytes; counting stops there."""
+    size = F.lit(0).cast("long")
+    for field in df.schema:
+        size = size + F.coalesce(_bytes(field.name, field.dataType), F.lit(16))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return n <= rows and (total or 0) <= SMALL_BYTES
 
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
