@@ -63,7 +63,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def _file_bytes(df: DataFrame) -> int:
     """What the optimizer's statistics say of a table's size: its files' bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 #: Rows and bytes up to which a side of a join is broadcast.
