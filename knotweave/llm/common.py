@@ -6,9 +6,11 @@ import sys
 
 import numpy as np
 
+from pyspark.sql.types import IntegralType
+
 from knotweave.storage import forget, saved
 
-__all__ = ["forget", "mix64", "saved", "small_batches", "string_buffers", "unused", "worker_cache"]
+__all__ = ["forget", "mix64", "require_whole_ids", "saved", "small_batches", "string_buffers", "unused", "worker_cache"]
 
 
 def small_batches(df):
@@ -22,6 +24,13 @@ def small_batches(df):
     return df
 
 
+def require_whole_ids(df, column: str = "doc_id") -> None:
+    """An error for ids that are no whole numbers: their order and results would be undefined."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} must be a whole number, not {kind.simpleString()}")
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name`` with as many underscores before it as no column of a caller has."""
     taken = {c.lower() for c in columns}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved, small_batches, unused
+from .common import forget, require_whole_ids, saved, small_batches, unused
 from .tokens import word_ids
 
 #: Pieces in one partition of a packing round.
@@ -56,6 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: 5 + with_ids], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names)  # noqa: B905
 
+    require_whole_ids(docs)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 

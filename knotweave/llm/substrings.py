@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import require_whole_ids, small_batches
 from .words import Words, chunks, sliding_argmin
 
 #: Where a null doc_id stands in the order of documents.
@@ -220,8 +220,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, start: int | None = None,
     null text has no words and stays null. A null ``doc_id`` comes before all
     others. Rows of one ``doc_id`` are one place in the order: none of them is
     earlier than another but by its start, and each loses its own words only.
-    An empty table stays empty.
+    An empty table stays empty. Ids that are no whole numbers are an error.
     """
+    require_whole_ids(docs)
     docs = small_batches(docs).drop("n_words", "n_removed")
     keyed = docs.withColumnsRenamed({n: f"__{n}" for n in KEYS}).withColumn("doc", _key("doc_id")).withColumn("row", F.xxhash64("doc", "text"))
     texts = keyed.select("row", "doc", "text")

@@ -7,17 +7,22 @@ url; soft terms reject it when several different ones occur.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused, worker_cache
+
 #: Terms of which one is enough.
 STRICT_TERMS = ("porn", "porno", "xxx", "xvideos", "hentai", "camgirls", "escorts", "sexcam", "sexcams", "phishing", "warez", "keygen", "malware", "onlinecasino", "viagra")
 #: Terms of which several different ones are needed.
 SOFT_TERMS = ("adult", "sex", "sexy", "nude", "casino", "poker", "bet", "betting", "slots", "jackpot", "cracked", "torrent", "pills", "pharmacy", "dating", "lottery", "erotic", "webcam")
 SOFT_LIMIT = 2
+#: Terms that a vocabulary table may have.
+MOST_TERMS = 1_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,6 +40,19 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def vocabulary(terms: DataFrame) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a table (``term weight``), lowered, sorted, each once.
+
+    ``weight`` is ``strict`` or ``soft``; rows of another weight, and null or
+    empty terms, are left out. The automaton lives in every worker, so a table of more than
+    ``MOST_TERMS`` terms is an error.
+    """
+    rows = terms.where("term <> '' and weight in ('strict', 'soft')").select(F.lower("term").alias("term"), "weight").distinct().limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return tuple(sorted(r.term for r in rows if r.weight == w) for w in ("strict", "soft"))
+
+
 def _automaton(strict: Sequence[str], soft: Sequence[str]):
     import ahocorasick
 
@@ -68,9 +86,11 @@ def count_terms(url: str | None, automaton) -> tuple[int, int]:
 def term_hits(url: Column, strict: Sequence[str] = STRICT_TERMS, soft: Sequence[str] = SOFT_TERMS) -> Column:
     """STRUCT<strict, soft>: hits of strict terms and number of different soft terms."""
 
+    key = hashlib.sha1(repr((sorted(strict), sorted(soft))).encode()).hexdigest()
+
     @F.pandas_udf("strict int, soft int")
     def hits(urls: pd.Series) -> pd.DataFrame:
-        automaton = _automaton(strict, soft)
+        automaton = worker_cache(f"url_terms:{key}", lambda: _automaton(strict, soft))
         return pd.DataFrame([count_terms(u, automaton) for u in urls], columns=["strict", "soft"], dtype="int32")
 
     return hits(url)
@@ -100,7 +120,8 @@ def judge_urls(rows: DataFrame, rules: Iterable[tuple[str, str, str]] = (), url:
     replaced. There is no shuffle: each row is judged where it is read.
     """
     rows = rows.drop("host", "path", "rule", "verdict", "strict_hits", "soft_hits")
-    rows = rows.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "__hits": term_hits(F.col(url), strict, soft)})
+    hits = unused("hits", rows.columns)
+    rows = rows.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), hits: term_hits(F.col(url), strict, soft)})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("__hits.strict") > 0) | (F.col("__hits.soft") >= soft_limit), "block").otherwise("allow")
-    return rows.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own), "strict_hits": F.col("__hits.strict"), "soft_hits": F.col("__hits.soft")}).drop("__hits")
+    own = F.when((F.col(f"{hits}.strict") > 0) | (F.col(f"{hits}.soft") >= soft_limit), "block").otherwise("allow")
+    return rows.withColumns({"rule": rule, "verdict": F.coalesce(verdict, own), "strict_hits": F.col(f"{hits}.strict"), "soft_hits": F.col(f"{hits}.soft")}).drop(hits)

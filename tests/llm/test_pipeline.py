@@ -57,3 +57,20 @@ def test_run_by_brute_force(spark):
 
 def test_stage_list():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "substring_dedup", "packing"] and P.ORACLE_SQL is None
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null ids, repeated rows, repeated ids, null and empty texts, a very long text, and an empty table."""
+    text = lambda name, n=60: " ".join(f"{name}{i} the" for i in range(n))
+    rows = [(None, text("a")), (None, text("a")), (1, text("b")), (1, text("b")), (1, text("c")), (2, text("c")), (None, text("d") + " " + text("b")), (3, None), (None, None), (4, ""), (5, text("long", 30000)), (6, "12 34")]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    out = P.run(spark, f"{tmp_path}/a").collect()
+    assert sorted(r.doc_id or 0 for r in out if r.piece == 0) == [0, 0, 1, 1, 5]
+    whole = {}
+    for r in out:
+        whole.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in whole.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 2048
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert P.run(spark, f"{tmp_path}/b").count() == 0

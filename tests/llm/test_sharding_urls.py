@@ -110,3 +110,13 @@ def test_op2_by_brute_force(spark, tmp_path):
     for shard in range(24):
         slots = sorted(r.slot for r in got if r.shard == shard)
         assert slots == list(range(len(slots)))
+
+
+def test_vocabulary_of_thousands_of_terms(spark):
+    terms = [(f"Term{i}x", "strict" if i % 3 == 0 else "soft") for i in range(6000)] + [(None, "soft"), ("", "strict"), ("odd", "other"), ("Term1x", "soft")]
+    strict, soft = urls.vocabulary(spark.createDataFrame(terms, "term string, weight string"))
+    assert (len(strict), len(soft)) == (2000, 4000) and strict[0] == "term0x"
+    rows = [(0, "http://a.b/term3x"), (1, "http://a.b/term4x"), (2, "http://a.b/TERM4X-term5x"), (3, "http://a.b/term3xx"), (4, None)]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "page_id int, url string, hits int")
+    out = {r.page_id: (r.verdict, r.strict_hits, r.soft_hits, r.hits) for r in urls.judge_urls(frame, strict=strict, soft=soft).collect()}
+    assert out == {0: ("block", 1, 0, 1), 1: ("allow", 0, 1, 1), 2: ("block", 0, 2, 1), 3: ("allow", 0, 0, 1), 4: ("allow", 0, 0, 1)}
