@@ -256,7 +256,7 @@ def test_whole_licenses_with_edits(spark):
     assert all(8 <= b <= 40 for b in scanner.bands.values())
 
 
-def classes_by_hand(rows, similar=0.8):
+def classes_by_hand(rows, similar=0.8, floor=0.1):
     """Classes of (doc_id, text) by weighted Jaccard similarity of all pairs."""
     sets = []
     for _, t in rows:
@@ -265,7 +265,7 @@ def classes_by_hand(rows, similar=0.8):
         sets.append(Counter(grams))
     n = sum(t is not None for _, t in rows)
     df = Counter(k for s in sets for k in s)
-    weight = {k: math.log1p(n / max(c, 0.1 * n)) for k, c in df.items()}
+    weight = {k: math.log1p(n / max(c, floor * n)) for k, c in df.items()}
     root = list(range(len(rows)))
 
     def find(x):
@@ -367,6 +367,19 @@ def test_op6_by_brute_force(spark):
     assert got == {rows[i][0]: named[i] for i in range(len(rows))} and len(links) > 10
 
 
+def test_exact_counts_of_all_shingles(spark):
+    rng = random.Random(33)
+    rows = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(500)}" for _ in range(120)]
+        rows += [(len(rows) + i, " ".join(near_copy(rng, base, rng.choice([0, 1, 2, 3, 5])))) for i in range(rng.choice([2, 5, 12]))]
+    rows += [(9001, None), (9002, ""), (9003, "few words"), (None, rows[3][1]), (9004, rows[3][1])]
+    named, links = classes_by_hand(rows, floor=0)
+    assert named != classes_by_hand(rows)[0] and len(links) > 20
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), df_floor=0).collect())
+    assert got == Counter((rows[i][0], *named[i]) for i in range(len(rows)))
+
+
 def test_recall_of_near_copies(spark):
     """Pairs of a plain shingle similarity of 0.8 and more are found, rare and common words alike."""
     rng = random.Random(21)
