@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from knotweave.storage import broadcast_if_small
 
 from .common import saved, small_batches
-from .vectors import as_bytes, entries, finite_vectors, matrix, own_rows, rows_of
+from .vectors import BLOCK_BYTES, as_bytes, entries, finite_vectors, matrix, own_rows, rows_of
 
 TABLES, WIDTH = 4, 2.0
 #: A neighbour of the cosine to expect is found with this probability.
@@ -232,7 +232,7 @@ def _meet(indexed: DataFrame, probed: DataFrame, asked: DataFrame, k: int) -> Da
     """``q query_id rid vec_id score``: the ``k`` best of every block for the queries that visit it."""
     place = ["dim", "table", "bucket"]
     # How many blocks a bucket needs, on either side, from its counts.
-    sizes = indexed.groupBy(*place).agg(F.ceil(F.sum(F.octet_length("rids")) / (8 * BLOCK_ROWS)).cast("int").alias("parts"))
+    sizes = indexed.groupBy(*place).agg(F.greatest(F.ceil(F.sum(F.octet_length("rids")) / (8 * BLOCK_ROWS)), F.ceil(F.sum(F.octet_length("vectors")) / BLOCK_BYTES)).cast("int").alias("parts"))
     visits = probed.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
     plan = sizes.join(visits, place)
 
