@@ -40,9 +40,9 @@ def decode(events: DataFrame, root: str) -> DataFrame:
 
 
 def debounce(events: DataFrame, key: list[str], gap: str, ts: str = "ts", event: str = "event") -> DataFrame:
-    """One row for each burst of a key: its last event, when it began, how many came."""
+    """One row for each burst of a key: its last event (of those at one time the greatest), when it began, how many came."""
     burst = events.groupBy(F.session_window(ts, gap).alias("w"), *key)
-    return burst.agg(F.max_by(event, ts).alias(event), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n")).select(*key, event, "first_ts", "last_ts", "n")
+    return burst.agg(F.max_by(event, F.struct(ts, event)).alias(event), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n")).select(*key, event, "first_ts", "last_ts", "n")
 
 
 def coalesce_batches(events: DataFrame, gap: str = CODE_GAP, ts: str = "ts", overflow: int = OVERFLOW) -> DataFrame:
