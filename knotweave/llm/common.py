@@ -40,9 +40,10 @@ def unused(name: str, columns: list[str]) -> str:
 
 
 def worker_cache(name: str, make):
-    """A value that lives as long as its Python worker, made on first use."""
+    """A value that its Python worker keeps, made on first use, until it makes another one."""
     store = sys.__dict__.setdefault("_knotweave_cache", {})
     if name not in store:
+        store.clear()
         store[name] = make()
     return store[name]
 

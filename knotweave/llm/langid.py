@@ -26,7 +26,7 @@ from .words import chunks
 #: The sample that a language is learned from: so many whole documents of at
 #: most so many bytes. Beyond ``SAMPLE_LANGUAGES`` languages the documents are
 #: fewer, so that the automata of all together stay as large.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LANGUAGES = 64, 2048, 8
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LANGUAGES = 32, 1024, 8
 #: Texts are parsed in stretches of so many bytes, side by side; how many bytes
 #: of a stretch are looked at first when its beginning turns out different.
 STRETCH, GLANCE = 256, 64
@@ -82,12 +82,14 @@ class CrossParser:
         self.pad = len(seen) + 1
         width = len(seen) + 2
         self.weight = np.array([np.log2(len(folded[k]) + 2) for k in self.languages])
-        steps = [suffix_automaton(self.symbol[folded[k]].tolist()) for k in self.languages]
-        rows = sum(len(step) + 1 for step in steps)
+        # A suffix automaton has less than twice as many states as symbols; rows that
+        # are not used take no memory. Languages' automata are built and dropped in turn.
+        rows = sum(2 * len(folded[k]) + 2 for k in self.languages)
         kind = np.int32 if rows * width < 1 << 30 else np.int64
         # An entry is twice the place of the next state's row, plus 1 if a phrase begins.
         table, self.roots, base = np.empty((rows, width), kind), [], 0
-        for step in steps:
+        for k in self.languages:
+            step = suffix_automaton(self.symbol[folded[k]].tolist())
             lost = len(step)  # the state after a symbol that begins no match
             own = table[base : base + lost + 1]
             own[:] = (base + lost) * width << 1 | 1
