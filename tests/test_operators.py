@@ -283,17 +283,6 @@ def test_heading_paths(body, paths):
     assert [s["path"] for s in chunking.scan_sections(body)][1:] == paths
 
 
-def test_many_queries_meet_rows_in_salted_tasks(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, "p" if i % 4 else "q", [float(i % 7), float(i % 5), 1.0]) for i in range(200)], "id int, project string, v array<double>")
-    asked = rows.where("id < 9").select(F.col("id").alias("query_id"), "project", "v")
-    few = retrieve.knn(asked, rows, 4, ["id"], on=["project"])
-    want = sorted(map(tuple, few.collect()))
-    monkeypatch.setattr(retrieve, "is_small", lambda rows: False)
-    assert sorted(map(tuple, retrieve.knn(asked, rows, 4, ["id"], on=["project"]).collect())) == want and len(want) == 36
-    with pytest.raises(ValueError):
-        retrieve.knn(asked, rows, 4, ["id"])
-
-
 def test_small_is_by_rows_and_bytes(spark):
     from knotweave.storage import is_small
 
