@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from knotweave.storage import spread
 
-from . import ann, bpe, langid, licenses, neardup, packing, sharding, substrings, urls, vafile
+from . import ann, bpe, codes, langid, licenses, neardup, packing, sharding, substrings, urls, vafile
 
 SHARDS = 24
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -69,6 +69,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id", F.col("label")).select(F.col("key").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jump_sharding": op2_jump_sharding,
@@ -80,9 +84,22 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 
+def _rounds_sql(rounds: int) -> str:
+    """Assignments ``a0`` to ``a<rounds>`` and entries ``c1`` to ``c<rounds>`` of op11, one after the other."""
+    nearest = """a{n} AS MATERIALIZED (SELECT p.id, p.part, arg_min(c.entry, d.d * 64 + c.entry) AS entry, min(d.d) AS d FROM p JOIN c{n} c USING (part),
+      LATERAL (SELECT CAST(coalesce(list_sum(list_transform(p.x, lambda y, i: (y - c.x[i]) * (y - c.x[i]))), 0) AS BIGINT) AS d) d GROUP BY p.id, p.part)"""
+    means = """m{n} AS (SELECT part, entry, at, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT p.part, a.entry, unnest(p.x) AS y, unnest(range(len(p.x))) AS at FROM p JOIN a{n} a USING (id, part)) GROUP BY ALL),
+c{next} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT part, entry, list(y ORDER BY at) AS x FROM m{n} GROUP BY ALL) m USING (part, entry))"""
+    steps = [nearest.format(n=0)]
+    for n in range(rounds):
+        steps += [means.format(n=n, next=n + 1), nearest.format(n=n + 1)]
+    return ",\n".join(steps)
+
+
 def _terms(terms) -> str:
     return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
 
@@ -90,6 +107,16 @@ def _terms(terms) -> str:
 _BOUNDED = "regexp_matches(u, '(^|[^\\p{L}\\p{N}])' || t || '([^\\p{L}\\p{N}]|$)')"
 
 ORACLE_SQL = {
+    "op11_vector_codes": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+p AS MATERIALIZED (SELECT id, vec_id, CAST(k AS INTEGER) AS part, v[k * (len(v) // 16) + 1 : (k + 1) * (len(v) // 16)] AS x FROM v, range(16) t(k)),
+c0 AS (SELECT part, entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 64),
+{_rounds_sql(codes.ROUNDS)},
+told AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY id),
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN told USING (id), book
+""",
     "op8_exact_top_k": """
 WITH x AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
 v AS (SELECT vec_id, list_transform(e, lambda c: CAST(floor(64 * c) AS BIGINT)) AS v FROM x WHERE len(list_filter(e, lambda c: c IS NOT NULL AND isfinite(c))) = len(e)),
