@@ -92,8 +92,8 @@ def _rounds_sql(rounds: int) -> str:
     """Assignments ``a0`` to ``a<rounds>`` and entries ``c1`` to ``c<rounds>`` of op11, one after the other."""
     nearest = """a{n} AS MATERIALIZED (SELECT p.id, p.part, arg_min(c.entry, d.d * 64 + c.entry) AS entry, min(d.d) AS d FROM p JOIN c{n} c USING (part),
       LATERAL (SELECT CAST(coalesce(list_sum(list_transform(p.x, lambda y, i: (y - c.x[i]) * (y - c.x[i]))), 0) AS BIGINT) AS d) d GROUP BY p.id, p.part)"""
-    means = """m{n} AS (SELECT part, entry, at, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT p.part, a.entry, unnest(p.x) AS y, unnest(range(len(p.x))) AS at FROM p JOIN a{n} a USING (id, part)) GROUP BY ALL),
-c{next} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT part, entry, list(y ORDER BY at) AS x FROM m{n} GROUP BY ALL) m USING (part, entry))"""
+    means = """m{n} AS (SELECT part, entry, spot, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT p.part, a.entry, unnest(p.x) AS y, unnest(range(len(p.x))) AS spot FROM p JOIN a{n} a USING (id, part)) GROUP BY ALL),
+c{next} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT part, entry, list(y ORDER BY spot) AS x FROM m{n} GROUP BY ALL) m USING (part, entry))"""
     steps = [nearest.format(n=0)]
     for n in range(rounds):
         steps += [means.format(n=n, next=n + 1), nearest.format(n=n + 1)]
