@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from knotweave.storage import spread
 
-from . import ann, bpe, codes, langid, licenses, neardup, packing, sharding, substrings, urls, vafile
+from . import align, ann, bpe, codes, langid, licenses, neardup, packing, sharding, substrings, urls, vafile
 
 SHARDS = 24
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -73,6 +73,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id", F.col("label")).select(F.col("key").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jump_sharding": op2_jump_sharding,
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
