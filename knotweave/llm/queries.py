@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from knotweave.storage import spread
 
-from . import align, ann, bpe, codes, langid, licenses, neardup, packing, sharding, substrings, urls, vafile
+from . import align, ann, bpe, codes, langid, licenses, neardup, packing, sharding, substrings, toxicity, urls, vafile
 
 SHARDS = 24
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -73,6 +73,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id", F.col("label")).select(F.col("key").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels, remainder != 0)
+    held_out = F.coalesce(remainder == 0, F.lit(False))
+    return toxicity.score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted", F.col("evidence.doc_id").alias("evidence"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -89,6 +98,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
     "op13_token_alignment": op13_token_alignment,
 }
 
