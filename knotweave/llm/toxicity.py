@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from knotweave.storage import broadcast_if_small
 
-from .common import saved, small_batches, worker_cache
+from .common import mix64, saved, small_batches, string_buffers, worker_cache
 from .words import Words, chunks
 
 #: Examples of each label, and bytes of their texts: the bound of the sample.
@@ -34,7 +34,8 @@ EVIDENCE = 20.0
 NEIGHBOURS, BLOCK = 15, 64
 #: A neighbour at distance d votes with weight 1 / (NEAR + d).
 NEAR = 0.1
-#: Documents of no example's word vote with as much weight for the labels' share as one neighbour at distance 1.
+#: The beginnings of words that are terms too, in bytes.
+STEMS = (4, 5, 6, 7, 8)
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[ord("'")] = ord("'")
@@ -43,13 +44,47 @@ for _low, _high in (("a", "z"), ("0", "9")):
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 
-def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, how often): each text's different words, small letters, without punctuation; in order."""
+def terms_of(texts: pa.Array, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, how often, words of each text): texts' different terms, in order; only those of ``among`` (sorted), if given.
+
+    Terms are words, in small letters and without punctuation, and the
+    beginnings of words, of ``STEMS`` bytes.
+    """
     words = Words(texts, _FOLD)
-    order = np.lexsort((words.hash, words.text))
-    own, h = words.text[order], words.hash[order]
+    raw = _FOLD[string_buffers(texts)[1]]
+    size = words.end - words.start
+    own, found = [words.text], [words.hash]
+    sums = np.zeros(len(size), np.uint64)
+    for n in range(max(STEMS)):
+        longer = np.flatnonzero(size > n)
+        sums[longer] = mix64(sums[longer] + raw[words.start[longer] + n] + np.uint64(1))
+        if n + 1 in STEMS:
+            own.append(words.text[longer])
+            found.append(sums[longer] ^ np.uint64(n + 1))
+    own, h = np.concatenate(own), np.concatenate(found)
+    if among is not None:
+        held = _among(h, among)
+        own, h = own[held], h[held]
+    order = np.lexsort((h, own))
+    own, h = own[order], h[order]
     new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
-    return own[new], h[new], np.diff(np.r_[new, len(h)])
+    return own[new], h[new], np.diff(np.r_[new, len(h)]), words.count
+
+
+def _among(h: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each is in the sorted array."""
+    return among[np.minimum(np.searchsorted(among, h), len(among) - 1)] == h if len(among) else np.zeros(len(h), bool)
+
+
+def originals(texts: pa.Array) -> np.ndarray:
+    """Places of the texts without those that share their least run of five words with an earlier one: near copies say nothing new."""
+    words = Words(texts, _FOLD)
+    start, h = words.grams(5)
+    least = np.full(len(texts), np.iinfo(np.uint64).max)
+    np.minimum.at(least, words.text[start], h)
+    short = np.flatnonzero(words.count < 5)
+    least[short] = words.runs(words.begin[short], words.begin[short] + words.count[short]) if len(words) else short
+    return np.sort(np.unique(least, return_index=True)[1])
 
 
 def telling_words(own: np.ndarray, h: np.ndarray, toxic: np.ndarray, evidence: float) -> np.ndarray:
@@ -65,21 +100,22 @@ def telling_words(own: np.ndarray, h: np.ndarray, toxic: np.ndarray, evidence: f
 
 
 class Space:
-    """tf-idf vectors over some words; ``df``: in how many of ``docs`` documents each is."""
+    """tf-idf vectors over some terms; ``df``: in how many of ``docs`` documents each is.
+
+    One more term stands for any word: all texts with words have it, as often as
+    they have words. So a long text needs more of the others to be like a short one.
+    """
 
-    def __init__(self, words: np.ndarray, df: np.ndarray, docs: int):
-        order = np.argsort(words)
-        self.words, self.idf = words[order], np.log((docs + 1) / (df[order] + 1)) + 1
+    def __init__(self, terms: np.ndarray, df: np.ndarray, docs: int):
+        order = np.argsort(terms)
+        self.terms, self.idf = terms[order], np.r_[np.log((docs + 1) / (df[order] + 1)) + 1, 1.0]
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, weight) of unit vectors; texts without a word of the space have none."""
-        own, h, tf = word_counts(texts)
-        if not len(self.words):
-            return own[:0], own[:0], np.zeros(0)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        held = self.words[at] == h
-        own, at, tf = own[held], at[held], tf[held]
-        order = np.lexsort((at, own))
+        """(text, term, weight) of unit vectors; texts without a word have none."""
+        own, h, tf, count = terms_of(texts, self.terms)
+        some = np.flatnonzero(count)
+        own, at, tf = np.r_[own, some], np.r_[np.searchsorted(self.terms, h), np.full(len(some), len(self.terms))], np.r_[tf, count[some]]
+        order = np.argsort(own, kind="stable")
         own, at, tf = own[order], at[order], tf[order]
         weight = (1 + np.log(tf)) * self.idf[at]
         norm = np.sqrt(np.bincount(own, weight * weight, len(texts)))
@@ -164,9 +200,10 @@ class Judge:
         self.prior = float((self.share * self.toxic).sum() / total) if total else 0.0
         self.space = Space(np.array(model.words, np.uint64), np.array(model.df, np.float64), model.docs)
         own, term, weight = self.space.vectors(pa.array(model.texts, pa.string()))
-        self.index = BlockMaxIndex(own, term, weight, len(self.space.words), len(model.texts))
+        self.index = BlockMaxIndex(own, term, weight, len(self.space.idf), len(model.texts))
         cut = np.searchsorted(own, np.arange(len(model.texts) + 1))
         votes = np.array([self.vote(*self.index.nearest(term[a:b], weight[a:b], self.k, n)) if b > a else self.prior for n, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
+        self.plain: tuple | None = None
         self.curve = calibrated(votes, self.toxic, self.share)
 
     def vote(self, near: np.ndarray, score: np.ndarray) -> float:
@@ -185,7 +222,10 @@ class Judge:
         votes, near, cosine = np.full(n, self.prior), [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
         for at in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[at], cut[at + 1]
-            near[at], cosine[at] = self.index.nearest(term[a:b], weight[a:b], self.k)
+            if b - a > 1:
+                near[at], cosine[at] = self.index.nearest(term[a:b], weight[a:b], self.k)
+            else:  # the term that all have, and no other
+                near[at], cosine[at] = self.plain = self.plain or self.index.nearest(term[a:b], weight[a:b], self.k)
             votes[at] = self.vote(near[at], cosine[at])
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a + b * votes, -500, 500))), near, cosine
@@ -239,18 +279,17 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, examples: int =
             room -= row.size
             ids.append(row.id)
     rows = sorted(sized.where(F.col("id").isin(ids)).collect() if ids else [], key=lambda r: r.id)
+    rows = [rows[n] for n in originals(pa.array([r.text for r in rows], pa.string())).tolist()]
     toxic = np.array([r.bad for r in rows], np.float64)
     weight = tuple(many.get(b, 0) / max(sum(r.bad == b for r in rows), 1) for b in (0, 1))
-    own, h, _ = word_counts(pa.array([r.text for r in rows], pa.string()))
+    own, h, _, _ = terms_of(pa.array([r.text for r in rows], pa.string()))
     words = telling_words(own, h, toxic, evidence)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(words), np.int64), 0
         for batch in batches:
             for part in chunks(batch, "text"):
-                found = word_counts(part.column("text"))[1]
-                at = np.minimum(np.searchsorted(words, found), len(words) - 1) if len(words) else np.zeros(0, np.int64)
-                total += np.bincount(at[words[at] == found] if len(words) else at, minlength=len(words))[: len(words)]
+                total += np.bincount(np.searchsorted(words, terms_of(part.column("text"), words)[1]), minlength=len(words))[: len(words)]
                 n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.arange(len(words))]), pa.array(np.r_[n, total])], ["word", "n"])
 
