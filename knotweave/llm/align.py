@@ -31,15 +31,61 @@ from .tokens import byte_letters
 #: Events in one row, and bytes of results that a task holds before it passes them on.
 BLOCK_EVENTS, OUT_BYTES = 4096, 4 << 20
 #: A worker forgets its words beyond this many, and words longer than this at once.
-CACHE_WORDS, LONG_WORD = 400_000, 256
+CACHE_WORDS, LONG_WORD = 200_000, 256
 SPACE = "▁"
 
 
+class Known(dict):
+    """What words are spelt as, told once for each: a token is 4 bytes, 3 of its id and 1 of its length.
+
+    None for words whose tokens' bytes are not theirs.
+    """
+
+    def __init__(self, spell):
+        super().__init__()
+        self.spell = spell
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids, spelt = self.spell(word)
+        right = b"".join(spelt) == word.encode("utf-8") and all(spelt)
+        size = [len(s) for s in spelt]
+        if max(ids, default=0) >= 1 << 24 or max(size, default=0) >= 1 << 8:
+            raise ValueError("ids beyond 24 bits or tokens beyond 255 bytes")
+        told = (np.array(ids, "<u4") | np.array(size, "<u4") << np.uint32(24)).tobytes() if right else None
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = told
+        return told
+
+
+class Runs(dict):
+    """The tokens of a space and what stands up to the next one, joined from the side's words."""
+
+    def __init__(self, side: Side):
+        super().__init__()
+        self.side = side
+
+    def __missing__(self, run: str) -> bytes | None:
+        known = self.side.known
+        told = [known[w] for w in self.side.words(" " + run)]
+        out = None if None in told else b"".join(told)
+        if len(run) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[run] = out
+        return out
+
+
 class Side:
     """One tokenizer: texts are cut into words that it encodes independently, each distinct word once."""
 
     def __init__(self):
-        self.seen: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known = Known(self.spell)
+        #: What lies between two spaces, told by its words.
+        self.runs = Runs(self)
+        #: Whether the tokenizer has an end before every single space.
+        self.simple = True
 
     def words(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -48,24 +94,18 @@ class Side:
         """Ids of a word, and the bytes of each."""
         raise NotImplementedError
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """(ids, lengths in bytes); None where the tokens' bytes are not the text's."""
-        words, seen = self.words(text), self.seen
-        new = set(words).difference(seen)
-        if len(seen) + len(new) > CACHE_WORDS:
-            seen.clear()
-            new = set(words)
-        for word in new:
-            ids, spelt = self.spell(word)
-            right = b"".join(spelt) == word.encode("utf-8") and all(spelt)
-            seen[word] = (np.array(ids, "<u4").tobytes(), np.array([len(s) for s in spelt], "<u4").tobytes()) if right else None
-        told = [seen[w] for w in words]
-        for word in new:
-            if len(word) > LONG_WORD:
-                del seen[word]
-        if None in told:
+    def encode(self, text: str) -> np.ndarray | None:
+        """The tokens of a space and ``text``; None where the tokens' bytes are not the text's.
+
+        Where no two spaces meet, both tokenizers have an end before every
+        space, so runs between spaces are looked up as a whole.
+        """
+        try:
+            if self.simple and "  " not in text and not text.startswith(" ") and SPACE not in text:
+                return np.frombuffer(b"".join(map(self.runs.__getitem__, text.split(" "))), "<u4")
+            return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(" " + text))), "<u4")
+        except TypeError:  # a None among the joined
             return None
-        return np.frombuffer(b"".join([t[0] for t in told]), "<u4"), np.frombuffer(b"".join([t[1] for t in told]), "<u4")
 
 
 class ByteSide(Side):
@@ -111,6 +151,7 @@ class PieceSide(Side):
         self.spelt = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode("utf-8") for i, p in zip(many, pieces, strict=True)]
         kept = self.model.encode("  a  b ", out_type=str)
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces) and "".join(kept) == f"{SPACE * 3}a{SPACE * 2}b{SPACE}"
+        self.simple = self.cuts
         self.cut = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 
     def words(self, text: str) -> list[str]:
@@ -138,8 +179,8 @@ class Sweep:
     hash, and the counts of the document's links.
     """
 
-    #: Texts of ids with what may follow them: another of the side, the other side, the next group.
-    marks: dict[int, str] = {}
+    #: Texts of all ids so far with what may follow: another of the side, the other side, the next group.
+    marks = np.zeros(0, "S1")
 
     def __init__(self):
         none = np.zeros(0, np.int64)
@@ -149,41 +190,42 @@ class Sweep:
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def take(self, side: int, ids: np.ndarray, lengths: np.ndarray) -> None:
-        ends = self.sizes[side] + np.cumsum(lengths.astype(np.int64))
+        ends = self.sizes[side] + np.cumsum(lengths, dtype=np.int64)
         self.sizes[side] = int(ends[-1])
-        self.ids[side] = np.r_[self.ids[side], ids.astype(np.int64)]
-        self.ends[side] = np.r_[self.ends[side], ends]
+        held = len(self.ids[side])
+        self.ids[side] = np.concatenate([self.ids[side], ids]) if held else ids.astype(np.int64)
+        self.ends[side] = np.concatenate([self.ends[side], ends]) if held else ends
         self.n[side] += len(ids)
-        self._close()
+        if len(self.ids[1 - side]):
+            self._close()
 
     def _close(self) -> None:
         """Emit all groups whose ends both sides have reached."""
         (ids_a, ids_b), (a, b) = self.ids, self.ends
-        common = np.intersect1d(a, b, assume_unique=True)
-        if not len(common):
+        at_b, at_a = np.searchsorted(b, a), np.searchsorted(a, b)
+        shut_a = b[np.minimum(at_b, len(b) - 1)] == a  # tokens that end where one of the other side does
+        shut_b = a[np.minimum(at_a, len(a) - 1)] == b
+        last_a, last_b = np.flatnonzero(shut_a), np.flatnonzero(shut_b)
+        if not len(last_a):
             return
-        last = common[-1]
-        cut_a, cut_b = np.searchsorted(a, last, "right"), np.searchsorted(b, last, "right")
-        done_a, done_b = a[:cut_a], b[:cut_b]
-        place = np.r_[2 * np.searchsorted(common, done_a), 2 * np.searchsorted(common, done_b) + 1]
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        step = np.r_[place[1:] - place[:-1], 2]
-        # 0: the same side of one group follows; an odd step from A to B; else the next group
-        mark = np.where(step == 0, 0, np.where((step == 1) & (place % 2 == 0), 1, 2))
-        spelt = (np.r_[ids_a[:cut_a], ids_b[:cut_b]][order] * 3 + mark).tolist()
-        marks = self.marks
-        for code in set(spelt).difference(marks):
-            marks[code] = f"{code // 3}{',|;'[code % 3]}"
-        text = "".join([marks[c] for c in spelt])[:-1]
-        self.hash.update((";" if self.groups else "").encode() + text.encode())
-        self.groups += len(common)
-        edge = np.union1d(done_a, done_b)
-        pair = ids_a[np.searchsorted(a, edge)] << 32 | ids_b[np.searchsorted(b, edge)]
+        cut_a, cut_b = last_a[-1] + 1, last_b[-1] + 1
+        self.ids, self.ends = [ids_a[cut_a:], ids_b[cut_b:]], [a[cut_a:], b[cut_b:]]
+        ids_a, ids_b, shut_a, shut_b, at_a, at_b = ids_a[:cut_a], ids_b[:cut_b], shut_a[:cut_a], shut_b[:cut_b], at_a[:cut_b], at_b[:cut_a]
+        # a group's A tokens stand after all B tokens of the groups before, its B tokens after its own A tokens
+        order = np.empty(cut_a + cut_b, np.int64)
+        order[np.arange(cut_a) + np.r_[0, last_b + 1][np.cumsum(shut_a) - shut_a]] = ids_a * 3 + shut_a
+        order[np.arange(cut_b) + last_a[np.cumsum(shut_b) - shut_b] + 1] = ids_b * 3 + 2 * shut_b
+        most = int(order.max())
+        if most >= len(self.marks):
+            Sweep.marks = np.array([f"{n}{mark}" for n in range(most // 3 + 1) for mark in ",|;"], "S")
+        text = self.marks[order].tobytes().replace(b"\0", b"")
+        self.hash.update((b";" if self.groups else b"") + text[:-1])
+        self.groups += len(last_a)
+        # each end closes one stretch, in which one token of either side lies
+        pair = np.concatenate([ids_a << 32 | ids_b[at_b], (ids_a[at_a] << 32 | ids_b)[~shut_b]])
         self.pairs.append(np.unique(pair, return_counts=True))
         if len(self.pairs) > 8:
             self.pairs = [self.links()]
-        self.ids, self.ends = [ids_a[cut_a:], ids_b[cut_b:]], [a[cut_a:], b[cut_b:]]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """The different pairs of ids, and how often each is linked."""
@@ -212,16 +254,17 @@ def token_events(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             for rid, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append((rid, -1, -1, None, None, doc))
-                if text:
-                    coded = [side.encode(" " + text) for side in (side_a, side_b)]
-                    if all(c is not None for c in coded):
-                        for side, (ids, lengths) in enumerate(coded):
-                            starts = np.cumsum(lengths, dtype=np.int64) - lengths
-                            narrow = "<u2" if ids.max() < 1 << 16 and lengths.max() < 1 << 16 else "<u4"
-                            for a in range(0, len(ids), BLOCK_EVENTS):
-                                part = slice(a, a + BLOCK_EVENTS)
-                                rows.append((rid, side, int(starts[a]), ids[part].astype(narrow).tobytes(), lengths[part].astype(narrow).tobytes() + narrow[1:].encode(), None))
-                                held += 2 * len(rows[-1][3])
+                coded = [side.encode(text) for side in (side_a, side_b)] if text else [None, None]
+                if coded[0] is not None and coded[1] is not None:
+                    for side, tokens in enumerate(coded):
+                        ids, lengths = tokens & np.uint32((1 << 24) - 1), (tokens >> np.uint32(24)).astype(np.uint8)
+                        narrow = "<u2" if ids.max() < 1 << 16 else "<u4"
+                        ids = ids.astype(narrow)
+                        starts = np.cumsum(lengths, dtype=np.int64)[::BLOCK_EVENTS] - lengths[::BLOCK_EVENTS]
+                        for n, start in enumerate(starts.tolist()):
+                            part = slice(n * BLOCK_EVENTS, (n + 1) * BLOCK_EVENTS)
+                            rows.append((rid, side, start, ids[part].tobytes(), lengths[part].tobytes(), None))
+                            held += len(rows[-1][3]) + len(rows[-1][4])
                 if held > OUT_BYTES or len(rows) > 4096:
                     yield _events(rows)
                     rows, held = [], 0
@@ -258,8 +301,7 @@ def swept(events: DataFrame) -> DataFrame:
                             out, held = [], 0
                     now, rid, doc = Sweep(), own, name
                 if side >= 0:
-                    narrow = f"<{lengths[-2:].decode()}"
-                    now.take(side, np.frombuffer(ids, narrow), np.frombuffer(lengths[:-2], narrow))
+                    now.take(side, np.frombuffer(ids, f"<u{len(ids) // len(lengths)}"), np.frombuffer(lengths, np.uint8))
         if now is not None:
             out.append((rid, doc, *now.row()))
         if out:

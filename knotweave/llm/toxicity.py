@@ -78,25 +78,35 @@ def _among(h: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def originals(texts: pa.Array) -> np.ndarray:
     """Places of the texts without those that share their least run of five words with an earlier one: near copies say nothing new."""
-    words = Words(texts, _FOLD)
-    start, h = words.grams(5)
-    least = np.full(len(texts), np.iinfo(np.uint64).max)
-    np.minimum.at(least, words.text[start], h)
-    short = np.flatnonzero(words.count < 5)
-    least[short] = words.runs(words.begin[short], words.begin[short] + words.count[short]) if len(words) else short
-    return np.sort(np.unique(least, return_index=True)[1])
-
-
-def telling_words(own: np.ndarray, h: np.ndarray, toxic: np.ndarray, evidence: float) -> np.ndarray:
-    """The words whose presence depends on the label: likelihood ratio G2 of ``evidence`` or more."""
-    word, at = np.unique(h, return_inverse=True)
+    told = [np.zeros(0, np.uint64)]
+    for part in chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+        words = Words(part.column(0), _FOLD)
+        start, h = words.grams(5)
+        least = np.full(part.num_rows, np.iinfo(np.uint64).max)
+        np.minimum.at(least, words.text[start], h)
+        short = np.flatnonzero(words.count < 5)
+        least[short] = words.runs(words.begin[short], words.begin[short] + words.count[short]) if len(words) else 0
+        told.append(least)
+    return np.sort(np.unique(np.concatenate(told), return_index=True)[1])
+
+
+def telling_terms(texts: pa.Array, toxic: np.ndarray, evidence: float) -> np.ndarray:
+    """The terms whose presence depends on the label: likelihood ratio G2 of ``evidence`` or more."""
+    term, seen, bad = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    at = 0
+    for part in chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+        own, h, _, _ = terms_of(part.column(0))
+        h, place = np.unique(np.r_[term, h], return_inverse=True)
+        here = place[len(term) :]
+        seen = np.bincount(here, minlength=len(h)) + np.bincount(place[: len(term)], seen, len(h))
+        bad = np.bincount(here, toxic[at + own], len(h)) + np.bincount(place[: len(term)], bad, len(h))
+        term, at = h, at + part.num_rows
     n, t = len(toxic), int(toxic.sum())
-    seen, bad = np.bincount(at, minlength=len(word)), np.bincount(at, toxic[own], len(word))
-    g = np.zeros(len(word))
+    g = np.zeros(len(term))
     for count, row, column in ((bad, seen, t), (seen - bad, seen, n - t), (t - bad, n - seen, t), (n - t - seen + bad, n - seen, n - t)):
         expected = row * (column / max(n, 1))
         g += 2 * np.where(count > 0, count * np.log(np.maximum(count, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
-    return word[g >= evidence]
+    return term[g >= evidence]
 
 
 class Space:
@@ -199,7 +209,12 @@ class Judge:
         total = float(self.share.sum())
         self.prior = float((self.share * self.toxic).sum() / total) if total else 0.0
         self.space = Space(np.array(model.words, np.uint64), np.array(model.df, np.float64), model.docs)
-        own, term, weight = self.space.vectors(pa.array(model.texts, pa.string()))
+        made, at = [], 0
+        for part in chunks(pa.RecordBatch.from_arrays([pa.array(model.texts, pa.string())], ["text"]), "text"):
+            own, term, weight = self.space.vectors(part.column(0))
+            made.append((own + at, term, weight))
+            at += part.num_rows
+        own, term, weight = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         self.index = BlockMaxIndex(own, term, weight, len(self.space.idf), len(model.texts))
         cut = np.searchsorted(own, np.arange(len(model.texts) + 1))
         votes = np.array([self.vote(*self.index.nearest(term[a:b], weight[a:b], self.k, n)) if b > a else self.prior for n, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
@@ -282,8 +297,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, examples: int =
     rows = [rows[n] for n in originals(pa.array([r.text for r in rows], pa.string())).tolist()]
     toxic = np.array([r.bad for r in rows], np.float64)
     weight = tuple(many.get(b, 0) / max(sum(r.bad == b for r in rows), 1) for b in (0, 1))
-    own, h, _, _ = terms_of(pa.array([r.text for r in rows], pa.string()))
-    words = telling_words(own, h, toxic, evidence)
+    words = telling_terms(pa.array([r.text for r in rows], pa.string()), toxic, evidence)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(words), np.int64), 0
