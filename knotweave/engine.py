@@ -19,6 +19,7 @@ from .operators import chunking, decisions, evaluate, graph, index, learnings, m
 from .sources import config
 from .sources import notes as notes_source
 from .sources.tables import Tables
+from .storage import saved
 
 NOTE = "project string, store string, relpath string, id string, title string, tags array<string>, type string, body string, mtime timestamp"
 CHUNK = "project string, store string, relpath string, note_id string, tags array<string>, type string, heading_path string, occurrence int, window_idx int, section_key string, chunk_id string, section_hash string, content_hash string, document string, index_text string"
@@ -29,7 +30,7 @@ SOURCE = "project string, id string, ref string, heading string, hash string"
 LEARNING = "project string, relpath string, symbol_ref string, symbol_was array<string>, file string, content_hash string, signature string, body string"
 SYMBOL = "project string, symbol_ref string, fqn string, name string, kind string, lang string, file string, file_hash string, content_hash string, signature string, description string, keywords array<string>, name_terms array<string>, container array<string>, scope array<string>, symbol_was array<string>, calls array<string>, called_by array<string>, references array<string>, mtime bigint"
 SCHEMAS = {"notes": NOTE, "chunks": CHUNK, "versions": VERSION, "nodes": NODE, "deps": DEP, "sources": SOURCE, "learnings": LEARNING, "symbols": SYMBOL, "vectors": "project string, chunk_id string, v array<double>", "symbol_vectors": "project string, symbol_ref string, v array<double>", "enrichment": "label string, section_hash string, terms array<string>, mtime timestamp"}
-#: Snapshots of a table that stay readable; older ones are deleted after a write.
+#: Versions of a table that stay readable at most; older ones are deleted after a write.
 KEEP = 8
 
 
@@ -47,10 +48,19 @@ class Engine:
         return self.tables.read(name) if self.tables.exists(name) else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _put(self, name: str, rows: DataFrame) -> None:
-        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        self.tables.write(name, rows.select(*columns))
+        """The next version of a table has just ``rows``; only what differs is written."""
+        self.tables.replace(name, rows.select(*self._columns(name)))
         self.tables.expire(name, KEEP)
 
+    def _change(self, name: str, key: Sequence[str], rows: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Rows come in place of those of their keys, and the keys of ``gone`` go: nothing else is written."""
+        self.tables.change(name, key, rows if rows is None else rows.select(*self._columns(name)), gone)
+        if self.tables.exists(name):
+            self.tables.expire(name, KEEP)
+
+    def _columns(self, name: str) -> list[str]:
+        return [c.split()[0] for c in SCHEMAS[name].split(", ")]
+
     # notes
 
     def note_store(self, notes: DataFrame) -> DataFrame:
@@ -62,9 +72,8 @@ class Engine:
         probe = self.near_duplicates(new) if self.tables.exists("chunks") else None
         old = self.table("notes")
         key = ["project", "store", "relpath"]
-        replaced = old.join(new.select(*key), key, "left_semi")
-        self._stash(replaced)
-        self._put("notes", old.join(new.select(*key), key, "left_anti").unionByName(new))
+        self._stash(old.join(new.select(*key), key, "left_semi"))
+        self._change("notes", key, new)
         self.note_reindex()
         return probe if probe is not None else self.spark.createDataFrame([], "project string, own_relpath string, relpath string, score double")
 
@@ -89,9 +98,8 @@ class Engine:
     def note_forget(self, keys: DataFrame) -> None:
         """Drop notes; their last bodies become versions."""
         key = ["project", "store", "relpath"]
-        notes = self.table("notes")
-        self._stash(notes.join(keys.select(*key), key, "left_semi"))
-        self._put("notes", notes.join(keys.select(*key), key, "left_anti"))
+        self._stash(self.table("notes").join(keys.select(*key), key, "left_semi"))
+        self._change("notes", key, gone=keys)
         self.note_reindex()
 
     def note_move(self, moves: DataFrame) -> DataFrame:
@@ -140,14 +148,14 @@ class Engine:
     def note_reindex(self) -> DataFrame:
         """Bring chunks and vectors up to the notes; only changed chunks are embedded. Returns counts by action."""
         fresh, stored = self._chunks(self.table("notes")), self.table("chunks")
-        actions = index.plan(fresh, stored, meta=["tags", "type"])
-        kept = stored.select("chunk_id", F.col("content_hash").alias("__old"))
-        old = self.table("vectors").join(kept, "chunk_id").select("chunk_id", "__old", F.col("v").alias("__v"))
-        same = (F.col("__old") == F.col("content_hash")) & F.col("__v").isNotNull()
-        vectors = fresh.join(old, "chunk_id", "left").select("project", "chunk_id", F.when(same, F.col("__v")).otherwise(self.embed(F.col("index_text"))).alias("v"))
+        actions = saved(index.plan(fresh, stored, meta=["tags", "type", "note_id", "section_hash"]))
         counts = actions.groupBy("action").agg(F.count("*").alias("n")).collect()
-        self._put("vectors", vectors)
-        self._put("chunks", fresh)
+        gone = stored.join(actions.where("action = 'delete'"), "chunk_id", "left_semi").select("project", "chunk_id")
+        changed = saved(fresh.join(actions.where("action in ('embed', 'meta')"), "chunk_id").select("action", *self._columns("chunks")))
+        new = changed.where("action = 'embed'").select("project", "chunk_id", self.embed(F.col("index_text")).alias("v"))
+        if not self.tables.exists("chunks") or any(r.action != "noop" for r in counts):
+            self._change("vectors", ["project", "chunk_id"], new, gone)
+            self._change("chunks", ["project", "chunk_id"], changed, gone)
         return self.spark.createDataFrame([(r.action, r.n) for r in counts], "action string, n bigint")
 
     def note_lookup(self, queries: DataFrame, k: int = retrieve.DEFAULT_K, tags: Sequence[str] = (), labels: Sequence[str] = (), weight: float = 0.3, alias_labels: Sequence[str] = ("summary", "asks"), alias_weight: float = 1.0, mode: str = "section") -> DataFrame:
@@ -186,7 +194,6 @@ class Engine:
         """Take in symbols; each project, file they hold replaces what was there."""
         old = self.table("symbols")
         files = symbols.select("project", "file").distinct()
-        kept = old.join(files, ["project", "file"], "left_anti")
         given = set(symbols.columns)
         wanted = [f.split(" ", 1) for f in SYMBOL.split(", ")]
         new = symbols.select(*(F.col(c) if c in given else F.lit(None).cast(kind).alias(c) for c, kind in wanted))
@@ -197,10 +204,11 @@ class Engine:
         new = new.withColumn("name_terms", F.coalesce("name_terms", T.name_terms(F.col("name"), F.col("fqn"))))
         described = old.select("project", "symbol_ref", F.col("content_hash").alias("__hash"), F.col("description").alias("__d"))
         new = new.join(described, ["project", "symbol_ref"], "left").withColumn("description", F.coalesce("description", F.when(F.col("__hash") == F.col("content_hash"), F.col("__d")))).drop("__hash", "__d")
-        everything = kept.unionByName(new.select(*old.columns))
-        self._put("symbols", everything)
-        live = self.table("symbols").where(F.coalesce("description", F.lit("")) != "")
-        self._put("symbol_vectors", live.select("project", "symbol_ref", self.embed(F.concat_ws("\n", "fqn", "description")).alias("v")))
+        new = saved(new.select(*self._columns("symbols")))
+        gone = saved(old.join(files, ["project", "file"], "left_semi").select("project", "symbol_ref"))
+        self._change("symbols", ["project", "file"], new)
+        live = new.where(F.coalesce("description", F.lit("")) != "")
+        self._change("symbol_vectors", ["project", "symbol_ref"], live.select("project", "symbol_ref", self.embed(F.concat_ws("\n", "fqn", "description")).alias("v")), gone)
 
     def code_convert(self, apply: bool = False) -> DataFrame:
         """Re-key symbols by what their file, nesting and name say: ``filename target status``; written only if asked."""
@@ -261,7 +269,7 @@ class Engine:
         old = notes.select("project", "symbol_ref", F.col("relpath").alias("__rel"), F.col("body").alias("__body"), F.col("symbol_was").alias("__was"))
         new = rows.join(symbols.select("project", "symbol_ref", "file", "content_hash", "signature"), ["project", "symbol_ref"]).join(old, ["project", "symbol_ref"], "left")
         new = new.select("project", F.coalesce("__rel", F.concat(S.ref_slug(F.col("symbol_ref")), F.lit(".md"))).alias("relpath"), "symbol_ref", F.coalesce("__was", F.array().cast("array<string>")).alias("symbol_was"), "file", "content_hash", "signature", learnings.dated_entry(F.col("__body"), day, F.col("text")).alias("body"))
-        self._put("learnings", notes.join(new.select("project", "relpath"), ["project", "relpath"], "left_anti").unionByName(new))
+        self._change("learnings", ["project", "relpath"], new)
 
     def learning_edit(self, rows: DataFrame) -> None:
         """Replace bodies (``project symbol_ref new_content``)."""
@@ -269,7 +277,7 @@ class Engine:
         self._put("learnings", out.withColumn("body", F.coalesce("__new", "body")))
 
     def learning_forget(self, rows: DataFrame) -> None:
-        self._put("learnings", self.table("learnings").join(rows.select("project", "symbol_ref"), ["project", "symbol_ref"], "left_anti"))
+        self._change("learnings", ["project", "symbol_ref"], gone=rows)
 
     def learning_read(self, rows: DataFrame) -> DataFrame:
         return self.table("learnings").join(rows.select("project", "symbol_ref"), ["project", "symbol_ref"], "left_semi")
