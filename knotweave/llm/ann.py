@@ -6,11 +6,16 @@ query does not only visit its own bucket: given the cosine that neighbours are
 expected to have, every bucket has a probability to hold one, and buckets are
 visited from the most probable on until the table has gathered its share of
 the success asked for. The tables' candidates are merged and ranked by exact
-cosine. A query that gathers fewer than it asks for is compared with all vectors
-of its length.
+cosine.
+
+A first round expects the cosine that a bounded sample of queries tells. A query
+whose own kth cosine turns out lower goes on to a second round at that cosine:
+its true kth neighbour is as near or nearer, so the success asked for holds for
+every query at its own distance. A query that gathers fewer than it asks for, or
+would visit too many buckets, is compared with all vectors of its length.
 
 Hashes grow with the logarithm of the number of rows, so that buckets keep
-their size; the cosine to expect is measured on a bounded sample of queries.
+their size.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ SAMPLE_QUERIES, AIM_QUANTILE = 64, 0.25
 #: worth so many bits; and so few that a query visits at most ``PROBES`` buckets
 #: on average, by the sample.
 BUCKET_ROWS, HASH_BITS, LEAST_HASHES, MOST_HASHES, PROBES = 256, 1.5, 4, 15, 2048
+#: A second round expects no cosine below this; where a table's buckets pass ``PROBES``, this stands for them.
+LEAST_AIM, TOO_MANY = 0.05, -1
 #: Vectors in one block of a bucket, queries in one block of a bucket's visitors.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
 #: Projections beyond this many cells from the origin share the outermost cell.
@@ -120,7 +127,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
     once; rows of one key with different vectors rank each, and as queries share
     one list. Fewer than ``k`` candidates are all returned: queries whose buckets
     hold fewer than ``k`` see all vectors of their length. Vectors meet queries
-    of their length only; empty tables give no row.
+    of their length only; empty tables give no row. With ``aim_cosine`` given
+    there is one round, at that cosine.
 
     All rows are indexed, but of equal vectors those of the ``k + 1`` smallest
     keys stand for the rest, which can't be in a result. ``hashes`` and
@@ -131,7 +139,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
     queries that visit it meet them block by block, so that a bucket with a
     third of all rows spreads over many tasks and no candidate pair is a row.
     """
-    share = 1 - (1 - aim_found) ** (1 / tables)
+    share, given = 1 - (1 - aim_found) ** (1 / tables), aim_cosine is not None
     rows = saved(small_batches(entries(vectors, k + 1)).withColumn("rid", F.monotonically_increasing_id()))
     asked = saved(queries.distinct().withColumn("q", F.monotonically_increasing_id()))
     if aim_cosine is None or hashes is None:
@@ -158,17 +166,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
         made: dict[int, Tables] = {}
         for batch, dim in _by_length(batches):
             hashed = made.setdefault(dim, Tables(dim, tables, hashes, width, seed))
-            for q, unit in zip(batch.column("q").to_pylist(), unit_rows(rows_of(batch.column("v"), dim)), strict=True):
+            own = batch.column("aim").to_pylist() if "aim" in batch.schema.names else [None] * batch.num_rows
+            for q, unit, aim in zip(batch.column("q").to_pylist(), unit_rows(rows_of(batch.column("v"), dim)), own, strict=True):
                 for t in range(tables):
-                    seen = hashed.probes(unit, t, aim_cosine, share)
+                    seen = hashed.probes(unit, t, aim_cosine if aim is None else min(max(aim, LEAST_AIM), 0.98), share)
+                    if aim is not None and len(seen) > PROBES:
+                        seen = np.array([TOO_MANY], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), x), y) for x, y in ((dim, pa.int32()), (t, pa.int32()))] + [pa.array(seen), pa.array(np.full(len(seen), q))], ["dim", "table", "bucket", "q"])
 
-    found = saved(_best(_meet(rows.mapInArrow(index, _STORED), asked.mapInArrow(probe, "dim int, table int, bucket bigint, q bigint"), asked, k), k))
+    visits = "dim int, table int, bucket bigint, q bigint"
+    found = saved(_best(_meet(rows.mapInArrow(index, _STORED), asked.mapInArrow(probe, visits), asked, k), k))
+    kth = found.where(F.col("rank") == k).select("q", F.col("score").alias("aim"))
     # Buckets hold a share of all rows: where a query's hold too few, all rows
     # of its length are one bucket of a table of their own, in blocks as others are.
-    enough = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = saved(asked.join(enough, "q", "left_anti"))
-    out = found if short.isEmpty() else _best(found.drop("rank").union(_against_all(rows, short, k)), k)
+    short = asked.join(kth, "q", "left_anti")
+    if not given:
+        loose = saved(asked.join(kth.where(F.col("aim") < aim_cosine), "q"))
+        if not loose.isEmpty():
+            again = saved(loose.mapInArrow(probe, visits))
+            wide = again.where(F.col("bucket") == TOO_MANY).select("q").distinct()
+            more = _meet(rows.mapInArrow(index, _STORED), again.join(wide, "q", "left_anti"), asked, k)
+            found = saved(_best(found.drop("rank").unionByName(more), k))
+            short = short.unionByName(asked.join(wide, "q", "left_semi"))
+    short = saved(short)
+    out = found if short.isEmpty() else _best(found.drop("rank").unionByName(_against_all(rows, short, k)), k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -150,3 +150,21 @@ def test_hashes_grow_with_the_rows():
     near = 0.7 * unit + math.sqrt(1 - 0.49) * other / np.linalg.norm(other, axis=1, keepdims=True)
     inside = np.isin(made.buckets(near, 2), made.probes(unit, 2, 0.7, 0.6)).mean()
     assert 0.55 < inside < 0.72
+
+
+def test_recall_of_loose_queries_among_clusters(spark):
+    rng = np.random.default_rng(7)
+    n = 12000
+    x = np.repeat(rng.normal(size=(n // 8, 64)) / 8, 8, 0) + 0.06 * rng.normal(size=(n, 64))
+    loose = rng.random(n) < 0.23
+    x[loose] = rng.normal(size=(int(loose.sum()), 64))
+    good = ann.usable_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), "embedding", "vec_id")
+    found: dict[int, set] = {}
+    for r in ann.nearest(good, good.where("key % 50 = 0"), 5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    units, hit = x / np.linalg.norm(x, axis=1, keepdims=True), {}
+    for q in range(0, n, 50):
+        score = units @ units[q]
+        score[q] = -2
+        hit[q] = len(found[q] & set(np.argsort(-score)[:5].tolist())) / 5
+    assert np.mean(list(hit.values())) >= 0.9 and np.mean([h for q, h in hit.items() if loose[q]]) >= 0.9
