@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, string_buffers, worker_cache
+from .common import small_batches, string_buffers, unused, worker_cache
 from .words import chunks
 
-#: The sample that a language is learned from: so many whole documents of at
-#: most so many bytes. Beyond ``SAMPLE_LANGUAGES`` languages the documents are
-#: fewer, so that the automata of all together stay as large.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LANGUAGES = 32, 1024, 8
+#: The sample that a language is learned from: whole documents of so many bytes
+#: together, out of so many that are looked at. Beyond ``SAMPLE_LANGUAGES``
+#: languages each has less, so that the automata of all together stay as large.
+SAMPLE_BYTES, SAMPLE_DOCS, SAMPLE_LANGUAGES = 32768, 256, 8
 #: Texts are parsed in stretches of so many bytes, side by side; how many bytes
 #: of a stretch are looked at first when its beginning turns out different.
 STRETCH, GLANCE = 256, 64
@@ -161,25 +161,40 @@ class CrossParser:
         return self.phrases(at, raw) * self.weight[:, None] / np.maximum(np.diff(at), 1)
 
 
-def learn(docs: DataFrame, may_learn: Column, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+def learn(docs: DataFrame, may_learn: Column, sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """A bounded sample of every language's texts.
 
     Of each non-null ``lang``, the ``sample_docs`` rows that ``may_learn``, have
-    a letter and at most ``sample_bytes`` bytes, and whose doc_id hashes lowest;
-    their texts are taken whole. Where there are too few, the shortest longer
-    rows follow with their first ``sample_bytes`` bytes. The sample is bounded
-    by these numbers; a window keeps the lowest before anything is shuffled.
+    a letter, and whose doc_id hashes lowest are looked at in that order; those
+    whose whole texts still fit into ``sample_bytes`` together are the sample.
+    No text is cut: what doesn't fit is left out, and if nothing fits, the
+    shortest text is the sample. Equal texts count once. Sizes are ranked
+    first; only the texts chosen are shuffled and read.
     """
     usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    size = F.octet_length("text")
-    # Long texts stay behind: only what the sample may take is ranked and shuffled.
-    parts = usable.select("lang", "doc_id", F.when(size > sample_bytes, size).otherwise(0).alias("over"), F.substring(F.col("text").cast("binary"), F.lit(1), F.lit(sample_bytes)).alias("part"), F.xxhash64("text").alias("tie"))
+    size = F.octet_length("text").cast("long")
+    sized = usable.select("lang", "doc_id", size.alias("size"), F.when(size > sample_bytes, size).otherwise(0).alias("over"), F.xxhash64("text").alias("tie"))
     order = Window.partitionBy("lang").orderBy("over", F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "tie")
-    picked = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("lang", "rank", "part").collect()
-    most = max(1, sample_docs * SAMPLE_LANGUAGES // max(SAMPLE_LANGUAGES, len({r.lang for r in picked})))
+    picked = sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("lang", "rank", "size", "tie").collect()
+    room = sample_bytes * SAMPLE_LANGUAGES // max(SAMPLE_LANGUAGES, len({r.lang for r in picked}))
+    chosen: dict[str, dict[int, int]] = {}
+    left: dict[str, int] = {}
+    for row in sorted(picked, key=lambda r: (r.lang, r["rank"])):
+        own = chosen.setdefault(row.lang, {})
+        if row.tie not in own and row.size <= left.setdefault(row.lang, room):
+            left[row.lang] -= row.size
+            own[row.tie] = row["rank"]
+    for lang, own in chosen.items():
+        if not own:
+            own[min((r.size, r["rank"], r.tie) for r in picked if r.lang == lang)[2]] = 1
+    keys = [(lang, tie, rank) for lang, own in chosen.items() for tie, rank in own.items()]
+    if not keys:
+        return {}
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(keys, "lang string, tie bigint, rank int"))  # at most sample_docs of a language
+    texts = usable.select("lang", "text", F.xxhash64("text").alias("tie")).join(wanted, ["lang", "tie"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
     out: dict[str, bytes] = {}
-    for row in sorted((r for r in picked if r["rank"] <= most), key=lambda r: (r.lang, r["rank"])):
-        out[row.lang] = out.get(row.lang, b"") + bytes(row.part) + b"\n"
+    for row in sorted(texts, key=lambda r: (r.lang, r["rank"])):
+        out[row.lang] = out.get(row.lang, b"") + row.text.encode("utf-8") + b"\n"
     return out
 
 
@@ -201,13 +216,14 @@ def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") ->
     key = hashlib.sha1(json.dumps({k: v.hex() for k, v in samples.items()}, sort_keys=True).encode()).hexdigest()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
     names = docs.columns
+    letter = unused("letter", names)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = worker_cache(f"cross_parser:{key}", lambda: CrossParser(samples))
         for batch in batches:
             for part in chunks(batch, text):
                 at, raw, _ = string_buffers(part.column(text))
-                known = np.asarray(part.column("__letter").fill_null(False)) & bool(samples)
+                known = np.asarray(part.column(letter).fill_null(False)) & bool(samples)
                 pred, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
                 if known.any():
                     rate = parser.rates(at, raw)
@@ -218,4 +234,4 @@ def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text") ->
                     score = np.where(known, margin, score)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in range(len(names))), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return docs.withColumn("__letter", has_letter(F.col(text))).mapInArrow(predict, schema)
+    return docs.withColumn(letter, has_letter(F.col(text))).mapInArrow(predict, schema)

@@ -23,8 +23,6 @@ from .words import Words, chunks, sliding_argmin
 
 #: Where a null doc_id stands in the order of documents.
 NULL_ID = -(1 << 63)
-#: Columns that the levels work with; a caller's own of these names stand aside.
-KEYS = ("row", "doc")
 #: Tasks that the copies of one text are dealt to.
 SALTS = 32
 #: Rows that a task gathers before it tells repeats from first places: a passage
@@ -224,25 +222,27 @@ def remove_repeats(docs: DataFrame, window: int = 20, start: int | None = None,
     """
     require_whole_ids(docs)
     docs = small_batches(docs).drop("n_words", "n_removed")
-    keyed = docs.withColumnsRenamed({n: f"__{n}" for n in KEYS}).withColumn("doc", _key("doc_id")).withColumn("row", F.xxhash64("doc", "text"))
+    # a caller's columns go by number meanwhile: no name of theirs can be one of the levels'
+    names = docs.columns
+    inner = [f"own{n}" for n in range(len(names))]
+    keyed = docs.select(*(F.col(f"`{n}`").alias(own) for n, own in zip(names, inner, strict=True)), _key("doc_id").alias("doc"), "text", F.xxhash64(_key("doc_id"), "text").alias("row"))
     texts = keyed.select("row", "doc", "text")
     removed = repeated_windows(texts, window, start)
     if docs.columns == ["doc_id", "text"]:  # this shuffle then is the levels' own
         whole = texts.repartition("row").withColumn("doc_id", F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType))
+        whole = whole.withColumnsRenamed({"doc_id": inner[0], "text": inner[1]})
     else:
-        whole = keyed.repartition("row")
+        whole = keyed.select(*inner, "row").repartition("row")
     whole = whole.join(removed.hint("shuffle_hash"), "row", "left")
     kept = [f for f in docs.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_words bigint, n_removed bigint"
-    names = [f.name for f in kept]
-    inner = [f"__{n}" if n in KEYS else n for n in names]
     text_at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, 512):
                 batch = whole_batch.slice(at, 512)
-                texts, places, whole_copy = (batch.column(c).to_pylist() for c in ("text", "places", "all"))
+                texts, places, whole_copy = (batch.column(c).to_pylist() for c in (inner[text_at], "places", "all"))
                 out, count, gone = [], [], []
                 for text, runs, copy in zip(texts, places, whole_copy, strict=True):
                     words = text.encode("utf-8").split() if text else []

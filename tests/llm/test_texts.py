@@ -141,7 +141,13 @@ def test_op9_by_brute_force(spark, tmp_path):
     for d, t, lang in sorted((r for r in rows if r[0] is not None), key=lambda r: (hashed[r[0]], r[0])):
         if mod(d) != 1 and lang is not None and letter(t):
             learned.setdefault(lang, []).append(t.encode())
-    learned = {k: x[: langid.SAMPLE_DOCS] for k, x in learned.items()}
+    for k, texts in learned.items():  # whole texts that fit, in order, each once
+        kept, room = [], langid.SAMPLE_BYTES
+        for t in texts[: langid.SAMPLE_DOCS]:
+            if t not in kept and len(t) <= room:
+                kept.append(t)
+                room -= len(t)
+        learned[k] = kept
     lower = lambda b: bytes(c + 32 if 65 <= c <= 90 else c for c in b)
     samples = {k: lower(b"".join(t + b"\n" for t in x)) for k, x in learned.items()}
     want = []
@@ -159,9 +165,11 @@ def test_op9_by_brute_force(spark, tmp_path):
 def test_sample_of_a_language_of_long_texts_only(spark):
     from pyspark.sql import functions as F
 
-    rows = [(i, "mot " * (1000 + i), "fr") for i in range(3)] + [(10 + i, "word " * 9, f"l{i}") for i in range(20)] + [(50, "word", "en")] * 2
+    rows = [(i, "mot " * (10000 + i), "fr") for i in range(3)] + [(10 + i, "word " * 9, f"l{i}") for i in range(20)] + [(50, "word", "en")] * 2
     samples = langid.learn(spark.createDataFrame(rows, "doc_id int, text string, lang string"), F.lit(True), sample_docs=2)
-    assert len(samples) == 22 and len(samples["fr"]) == langid.SAMPLE_BYTES + 1 and samples["en"] == b"word\n"
+    assert len(samples) == 22 and samples["fr"] == b"mot " * 10000 + b"\n" and samples["en"] == b"word\n"  # the shortest, whole; copies once
+    some = langid.learn(spark.createDataFrame([(i, f"{i} " + "mot " * 1000, "fr") for i in range(30)], "doc_id int, text string, lang string"), F.lit(True), sample_bytes=9000)
+    assert len(some["fr"].split(b"\n")) == 3 and all(len(t) in (0, 4002, 4003) for t in some["fr"].split(b"\n"))
 
 
 def test_language_edges(spark):
