@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from .tokens import byte_letters
 #: Events in one row, and bytes of results that a task holds before it passes them on.
 BLOCK_EVENTS, OUT_BYTES = 4096, 4 << 20
 #: A worker forgets its words beyond this many, and words longer than this at once.
-CACHE_WORDS, LONG_WORD = 200_000, 256
+CACHE_WORDS, LONG_WORD = 400_000, 256
 SPACE = "▁"
 
 
@@ -41,17 +42,15 @@ class Known(dict):
     None for words whose tokens' bytes are not theirs.
     """
 
-    def __init__(self, spell):
+    def __init__(self, side: Side):
         super().__init__()
-        self.spell = spell
+        self.side = side
 
     def __missing__(self, word: str) -> bytes | None:
-        ids, spelt = self.spell(word)
-        right = b"".join(spelt) == word.encode("utf-8") and all(spelt)
-        size = [len(s) for s in spelt]
-        if max(ids, default=0) >= 1 << 24 or max(size, default=0) >= 1 << 8:
-            raise ValueError("ids beyond 24 bits or tokens beyond 255 bytes")
-        told = (np.array(ids, "<u4") | np.array(size, "<u4") << np.uint32(24)).tobytes() if right else None
+        side = self.side
+        ids = side.ids(word)
+        right = ids is not None and b"".join([side.spelt[i] for i in ids]) == word.encode("utf-8")
+        told = struct.pack(f"<{len(ids)}I", *[side.codes[i] for i in ids]) if right else None
         if len(word) <= LONG_WORD:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -59,50 +58,28 @@ class Known(dict):
         return told
 
 
-class Runs(dict):
-    """The tokens of a space and what stands up to the next one, joined from the side's words."""
-
-    def __init__(self, side: Side):
-        super().__init__()
-        self.side = side
-
-    def __missing__(self, run: str) -> bytes | None:
-        known = self.side.known
-        told = [known[w] for w in self.side.words(" " + run)]
-        out = None if None in told else b"".join(told)
-        if len(run) <= LONG_WORD:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[run] = out
-        return out
-
-
 class Side:
-    """One tokenizer: texts are cut into words that it encodes independently, each distinct word once."""
+    """One tokenizer: texts are cut into words that it encodes independently, each distinct word once.
 
-    def __init__(self):
-        self.known = Known(self.spell)
-        #: What lies between two spaces, told by its words.
-        self.runs = Runs(self)
-        #: Whether the tokenizer has an end before every single space.
-        self.simple = True
+    ``spelt``: the bytes of each id.
+    """
+
+    def __init__(self, spelt: list[bytes]):
+        if len(spelt) > 1 << 24 or max(map(len, spelt)) > 255:
+            raise ValueError("ids beyond 24 bits or tokens beyond 255 bytes")
+        self.spelt, self.codes = spelt, [i | len(s) << 24 for i, s in enumerate(spelt)]
+        self.known = Known(self)
 
     def words(self, text: str) -> list[str]:
         raise NotImplementedError
 
-    def spell(self, word: str) -> tuple[list[int], list[bytes]]:
-        """Ids of a word, and the bytes of each."""
+    def ids(self, word: str) -> list[int] | None:
+        """Ids of a word; None for what can't be one."""
         raise NotImplementedError
 
     def encode(self, text: str) -> np.ndarray | None:
-        """The tokens of a space and ``text``; None where the tokens' bytes are not the text's.
-
-        Where no two spaces meet, both tokenizers have an end before every
-        space, so runs between spaces are looked up as a whole.
-        """
+        """The tokens of a space and ``text``; None where the tokens' bytes are not the text's."""
         try:
-            if self.simple and "  " not in text and not text.startswith(" ") and SPACE not in text:
-                return np.frombuffer(b"".join(map(self.runs.__getitem__, text.split(" "))), "<u4")
             return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(" " + text))), "<u4")
         except TypeError:  # a None among the joined
             return None
@@ -114,13 +91,16 @@ class ByteSide(Side):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.normalizer is not None:
             raise ValueError("a tokenizer with a normalizer does not keep the text's bytes")
         self.letters = byte_letters()
         self.bytes_of = {ord(c): b for b, c in self.letters.items()}
+        spelt = [b""] * self.tokenizer.get_vocab_size()
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            spelt[i] = token.translate(self.bytes_of).encode("latin-1")
+        super().__init__(spelt)
 
     def words(self, text: str) -> list[str]:
         if _PLAIN.search(text) is None:
@@ -128,9 +108,8 @@ class ByteSide(Side):
         cuts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         return [spelt.translate(self.bytes_of).encode("latin-1").decode("utf-8") for spelt, _ in cuts]
 
-    def spell(self, word: str) -> tuple[list[int], list[bytes]]:
-        tokens = self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))
-        return [t.id for t in tokens], [t.value.translate(self.bytes_of).encode("latin-1") for t in tokens]
+    def ids(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))]
 
 
 class PieceSide(Side):
@@ -144,27 +123,24 @@ class PieceSide(Side):
     def __init__(self, path: str):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         many = range(self.model.get_piece_size())
         pieces = [self.model.id_to_piece(i) for i in many]
-        self.spelt = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode("utf-8") for i, p in zip(many, pieces, strict=True)]
+        spelt = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode("utf-8") for i, p in zip(many, pieces, strict=True)]
+        super().__init__(spelt)
         kept = self.model.encode("  a  b ", out_type=str)
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces) and "".join(kept) == f"{SPACE * 3}a{SPACE * 2}b{SPACE}"
-        self.simple = self.cuts
         self.cut = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 
     def words(self, text: str) -> list[str]:
         return self.cut.findall(text) if self.cuts else [text]
 
-    def spell(self, word: str) -> tuple[list[int], list[bytes]]:
+    def ids(self, word: str) -> list[int] | None:
         if not word.startswith(" "):
-            return [], [b""]  # it begins with the mark of a space, which is spelt as one: bytes differ
+            return None  # it begins with the mark of a space, which is spelt as one: bytes differ
         if word == " ":  # an empty text gets no space: tell it after a letter
-            ids = self.model.encode("a ")[len(self.model.encode("a")) :]
-        else:
-            ids = self.model.encode(word[1:])
-        return ids, [self.spelt[i] for i in ids]
+            return self.model.encode("a ")[len(self.model.encode("a")) :]
+        return self.model.encode(word[1:])
 
 
 def sides(path_a: str, path_b: str) -> tuple[ByteSide, PieceSide]:
