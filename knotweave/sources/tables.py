@@ -19,6 +19,8 @@ from knotweave import storage
 
 #: Deltas on one base, the share of the base's rows that they may come to, and the rows they may have anyway.
 MAX_DELTAS, MAX_SHARE, FREE_ROWS = 6, 0.25, 1000
+#: Bytes of a base up to which a change writes the next base instead: one small file, and a plain scan to read.
+WHOLE_BYTES = 1 << 20
 #: Where a row lies.
 PLACE = ("__version", "__file", "__pos")
 GONE = "__version int, __file string, __pos bigint"
@@ -167,6 +169,10 @@ class Tables:
             if rows is not None:
                 self.write(name, rows)
             return
+        if self._tiny(name):
+            keys = reduce(DataFrame.unionByName, [df.select(*key) for df in (rows, gone) if df is not None])
+            kept = self.read(name).join(keys.distinct(), [*key], "left_anti")
+            return self.write(name, kept if rows is None else kept.unionByName(rows))
         last = self.versions(name)[-1]
         number, by = last + 1, [c for c in TABLES.get(name, ()) if rows is not None and c in rows.columns]
         fresh = self._fresh(name, number)
@@ -189,7 +195,7 @@ class Tables:
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """The next version has just ``rows``; what equal rows the table has stays where it is."""
-        if not self.exists(name):
+        if not self.exists(name) or self._tiny(name):
             return self.write(name, rows)
         last = self.versions(name)[-1]
         number, by = last + 1, [c for c in TABLES.get(name, ()) if c in rows.columns]
@@ -204,6 +210,10 @@ class Tables:
         self._delta(name, number, went, True)
         storage.forget(stay)
 
+    def _tiny(self, name: str) -> bool:
+        """Whether the last base has at most ``WHOLE_BYTES`` of files."""
+        return self._fs().getContentSummary(self._path(name, self._chain(name)[0])).getLength() <= WHOLE_BYTES
+
     def _fresh(self, name: str, number: int) -> str:
         """The folder of a version to come, without what a failed write left in it."""
         self._fs().delete(self._path(name, number), True)

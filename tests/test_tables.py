@@ -13,6 +13,11 @@ NOTE = "project string, store string, relpath string, body string, tags array<st
 KEY = ["project", "store", "relpath"]
 
 
+@pytest.fixture(autouse=True)
+def no_table_is_tiny(monkeypatch):
+    monkeypatch.setattr(S, "WHOLE_BYTES", 0)
+
+
 def shown(df):
     return sorted(((r.project, r.store, r.relpath, r.body, r.tags) for r in df.collect()), key=repr)
 
@@ -83,3 +88,11 @@ def test_changes_from_the_table_itself_and_odd_rows(spark, tmp_path, monkeypatch
     assert "z" not in {r.relpath for r in tables.read("notes").collect()}
     with pytest.raises(ValueError, match="no version"):
         tables.read("notes", 99)
+
+
+def test_a_tiny_table_is_written_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "WHOLE_BYTES", 1 << 20)
+    tables = S.Tables(spark, f"file://{tmp_path}/t")
+    tables.write("notes", spark.createDataFrame([("p", "notes", "a", "1", None), ("p", "notes", None, "2", None)], NOTE))
+    tables.change("notes", KEY, spark.createDataFrame([("p", "notes", "a", "3", None)], NOTE), spark.createDataFrame([("p", "notes", None)], "project string, store string, relpath string"))
+    assert sorted(r.body for r in tables.read("notes").collect()) == ["2", "3"] and tables._chain("notes") == (2, {})
