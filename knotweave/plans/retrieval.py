@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotweave.functions import text as T
 from knotweave.functions import vectors as V
 from knotweave.operators import chunking, embedding, evaluate, fusion, lexical, retrieve
-from knotweave.storage import broadcast_if_small, saved, spread
+from knotweave.sources.postings import PostingIndex
+from knotweave.sources.tables import Tables
+from knotweave.storage import broadcast_if_small, saved, shared_dir, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +46,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def stored_postings_topk(spark, sf_dir):
+    """BM25 from a stored index: built without one source, which an update brings; the hundred best of each query."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = PostingIndex(Tables(spark, f"{shared_dir(spark)}/knotweave/{uuid.uuid4().hex}"), ["doc_id"], F.col("text"))
+    late = F.coalesce(F.col("source") == "src1", F.lit(False))
+    index.build(docs.where(~late))
+    index.update(docs.where(late))
+    return index.top(_queries(spark, sf_dir), 100).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def tf_postings(spark, sf_dir):
     return _postings(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -279,7 +293,7 @@ def eval_lift(spark, sf_dir):
     return out.select("need_id", "query_id", "before", "after", F.round("gain", 6).alias("gain"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, tf_postings, corpus_stats, coverage_gate, token_functions, word_windows, chunk_identity, section_split, section_lines, hash_embedding, knn_topk, knn_filtered, hybrid_fusion, near_duplicate_probe, gated_fusion, convex_sweep, bm25f, rrf_fuse, range_matched_rerank, dedupe_section, dedupe_file, alias_max_merge, tag_overlap, store_scope, maxsim, authority_prior, eval_ranks, eval_mrr_recall, eval_robustness, eval_grouping_sets, eval_lift)}
+QUERIES = {f.__name__: f for f in (bm25_topk, stored_postings_topk, tf_postings, corpus_stats, coverage_gate, token_functions, word_windows, chunk_identity, section_split, section_lines, hash_embedding, knn_topk, knn_filtered, hybrid_fusion, near_duplicate_probe, gated_fusion, convex_sweep, bm25f, rrf_fuse, range_matched_rerank, dedupe_section, dedupe_file, alias_max_merge, tag_overlap, store_scope, maxsim, authority_prior, eval_ranks, eval_mrr_recall, eval_robustness, eval_grouping_sets, eval_lift)}
 
 
 def _tok(column: str) -> str:
@@ -330,6 +344,7 @@ _STRIP = "regexp_replace(regexp_replace({}, '^[ \\t\\n\\r\\f\\v]+', ''), '[ \\t\
 
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_BM} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 10",
+    "stored_postings_topk": f"WITH {_BM} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 100",
     "tf_postings": f"WITH {_POST} SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term",
     "corpus_stats": f"WITH {_POST}, {_LEN} SELECT n, round(avgdl, 6) AS avgdl FROM tot",
     "coverage_gate": f"WITH {_POST}, {_COV} SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM cov",

@@ -21,6 +21,8 @@ from knotweave import storage
 MAX_DELTAS, MAX_SHARE, FREE_ROWS = 6, 0.25, 1000
 #: Bytes of a base up to which a change writes the next base instead: one small file, and a plain scan to read.
 WHOLE_BYTES = 1 << 20
+#: Values of a partition column up to which a change names each.
+MAX_PARTS = 200
 #: Where a row lies.
 PLACE = ("__version", "__file", "__pos")
 GONE = "__version int, __file string, __pos bigint"
@@ -37,25 +39,13 @@ TABLES = {
     "deps": ("project",),
     "sources": ("project",),
     "versions": ("project",),
+    "postings": ("bucket",),
+    "terms": ("bucket",),
+    "forward": ("bucket",),
 }
 
 
 
-#: Tables and what partitions them.
-TABLES = {
-    "notes": ("project", "store"),
-    "chunks": ("project", "store"),
-    "vectors": ("project",),
-    "enrichment": ("label",),
-    "symbols": ("project",),
-    "learnings": ("project",),
-    "nodes": ("project",),
-    "deps": ("project",),
-    "sources": ("project",),
-    "versions": ("project",),
-}
-
-
 class Tables:
     """Named tables under a root that Spark reads and writes. One writer at a time, any number of readers.
 
@@ -162,8 +152,8 @@ class Tables:
         Both may be computed from the table itself. All rows of a key go, and all
         of ``rows`` come, repeated ones too; a null in a key equals nothing, so
         such rows come and never go. Only key columns of the table are read, of
-        the partitions from the least to the greatest of the keys'; what is written is
-        ``rows`` and the places of what went.
+        the keys' partitions (of those from the least to the greatest, where they
+        are over ``MAX_PARTS``); what is written is ``rows`` and the places of what went.
         """
         if not self.exists(name):
             if rows is not None:
@@ -187,6 +177,9 @@ class Tables:
         where = None
         for column, low, high in zip(parts, ends[::2], ends[1::2], strict=True):
             named = F.col(column).between(low, high) if low is not None else F.lit(False)
+            values = [r[0] for r in wanted.select(column).distinct().limit(MAX_PARTS + 1).collect()]
+            if low is not None and len(values) <= MAX_PARTS:
+                named = F.col(column).isin([v for v in values if v is not None])
             where = named if where is None else where & named
         few = n <= storage.SMALL_ROWS and (total or 0) <= storage.SMALL_BYTES
         went = self._placed(name, last, where).select(*PLACE, *key).join(F.broadcast(wanted) if few else wanted, [*key], "left_semi")
@@ -250,5 +243,11 @@ class Tables:
             if number < min(first, base):
                 self._fs().delete(self._path(name, number), True)
 
+    def rollback(self, name: str, version: int) -> None:
+        """Versions after ``version`` go."""
+        for number in self.versions(name):
+            if number > version:
+                self._fs().delete(self._path(name, number), True)
+
     def count(self, name: str) -> int:
         return self.read(name).agg(F.count("*")).first()[0] if self.exists(name) else 0
