@@ -26,8 +26,8 @@ from knotweave.operators.lexical import B, K1
 
 from .tables import Tables
 
-#: Buckets of terms and of documents, and levels of impact.
-BUCKETS, LEVELS = 64, 16
+#: Postings of a bucket at the first build, the least and the most buckets, and levels of impact.
+BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS, LEVELS = 20_000_000, 8, 4096, 16
 #: Rows for each of ``k`` that the best blocks give before a threshold is known.
 SEED_ROWS = 4
 #: What unread blocks may add to a score, as a share of the threshold.
@@ -36,8 +36,8 @@ UNREAD_SHARE = 0.5
 MAX_LISTED = 1000
 
 
-def bucket_of(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int").alias("bucket")
+def bucket_of(buckets: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def _listed(rows: DataFrame, keys: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,28 +70,28 @@ class PostingIndex:
     def _read(self, name: str, head) -> DataFrame:
         return self.tables.read(name, head[name])
 
-    def _commit(self, ref: float) -> None:
+    def _commit(self, ref: float, buckets: int) -> None:
         last = {name: self.tables.versions(name)[-1] for name in ("postings", "terms", "forward")}
-        row = [(*last.values(), ref)]
-        self.tables.write("head", self.tables.spark.createDataFrame(row, "postings int, terms int, forward int, ref double").coalesce(1))
+        row = [(*last.values(), ref, buckets)]
+        self.tables.write("head", self.tables.spark.createDataFrame(row, "postings int, terms int, forward int, ref double, buckets int").coalesce(1))
         for name in (*last, "head"):
             self.tables.expire(name, 8)
 
     def _forward(self, docs: DataFrame) -> DataFrame:
-        """``bucket key... len terms``: one row a document, texts shuffled once."""
+        """``key... len terms``: one row a document, texts shuffled once."""
         words = F.concat(T.tokenize(self.text), T.subtokens(self.text)) if self.code else T.tokenize(self.text)
         named = docs.where(" and ".join(f"`{c}` is not null" for c in self.key))
         each = named.repartition(*self.key).select(*self.key, F.explode_outer(words).alias("term"))
         counted = each.groupBy(*self.key, "term").agg(F.count("term").cast("double").alias("tf"))
         entry = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-        return counted.groupBy(*self.key).agg(F.sum("tf").alias("len"), F.collect_list(entry).alias("terms")).select(bucket_of(*self.key), *self.key, "len", "terms")
+        return counted.groupBy(*self.key).agg(F.sum("tf").alias("len"), F.collect_list(entry).alias("terms"))
 
-    def _postings(self, forward: DataFrame, ref: float) -> DataFrame:
+    def _postings(self, forward: DataFrame, ref: float, buckets: int) -> DataFrame:
         """``bucket term level key... tf len impact`` of forward rows."""
         each = forward.select(*self.key, "len", F.explode("terms").alias("t")).select(*self.key, "len", "t.term", "t.tf")
         impact = F.col("tf") / (F.col("tf") + F.lit(K1) * (1 - B + B * F.col("len") / F.lit(ref)))
         level = F.least(F.floor(F.col("impact") * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("level")
-        return each.withColumn("impact", impact).select(bucket_of("term"), "term", level, *self.key, "tf", "len", "impact")
+        return each.withColumn("impact", impact).select(bucket_of(buckets, "term"), "term", level, *self.key, "tf", "len", "impact")
 
     def _blocks_of(self, post: DataFrame) -> DataFrame:
         return post.groupBy("bucket", *self.corpus, "term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("best"))
@@ -105,14 +105,16 @@ class PostingIndex:
 
     def build(self, docs: DataFrame) -> None:
         """Index ``docs`` alone; what the index held before is gone."""
-        self.tables.write("forward", self._forward(docs))
-        forward = self.tables.read("forward")
-        ref = forward.agg(F.avg("len")).first()[0] or 1.0
-        post = storage.saved(self._postings(forward, ref))
-        self.tables.write("postings", self._laid(post))
-        self.tables.write("terms", self._blocks_of(post).repartition("bucket").sortWithinPartitions("bucket", "term"))
-        storage.forget(post)
-        self._commit(ref)
+        forward = storage.saved(self._forward(docs))
+        mean, rows = forward.agg(F.avg("len"), F.sum(F.size("terms"))).first()
+        ref, buckets = mean or 1.0, min(MAX_BUCKETS, max(MIN_BUCKETS, (rows or 0) // BUCKET_ROWS))
+        post = storage.saved(self._postings(forward, ref, buckets))
+        self.tables.write("forward", forward.withColumn("bucket", bucket_of(buckets, *self.key)))
+        self.tables.write("postings", post.drop("impact"))
+        self.tables.write("terms", storage.saved(self._blocks_of(post)))
+        for rows in (forward, post):
+            storage.forget(rows)
+        self._commit(ref, buckets)
 
     def update(self, docs: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """Index ``docs`` anew and take back the documents whose keys are in ``gone``.
@@ -126,14 +128,15 @@ class PostingIndex:
             self.tables.rollback(name, head[name])  # what an update left that didn't end
         place = ["bucket", *self.key]
         forward = self._read("forward", head)
-        new = storage.saved(self._forward(docs) if docs is not None else forward.limit(0))
+        named = bucket_of(head.buckets, *self.key)
+        new = storage.saved(self._forward(docs).withColumn("bucket", named) if docs is not None else forward.limit(0))
         keys = new.select(*place)
         if gone is not None:
-            keys = keys.unionByName(gone.select(bucket_of(*self.key), *self.key))
+            keys = keys.unionByName(gone.select(named, *self.key))
         keys = storage.saved(keys.distinct())
         small = storage.is_small(keys)
         old = storage.saved(_listed(forward, keys, ["bucket"]).join(F.broadcast(keys) if small else keys, place, "left_semi"))
-        was, now = self._postings(old, head.ref), self._postings(new, head.ref)
+        was, now = self._postings(old, head.ref, head.buckets), self._postings(new, head.ref, head.buckets)
         same = ["bucket", "term", "level", *self.key, "tf", "len"]
         came = storage.saved(now.join(was, same, "left_anti"))
         went = storage.saved(was.join(now, same, "left_anti"))
@@ -146,7 +149,7 @@ class PostingIndex:
         kept = moved.join(stored, block, "left").select(*block, (F.coalesce("n", F.lit(0)) + F.col("d")).alias("n"), F.greatest(F.coalesce("best", F.lit(0.0)), "more").alias("best"))
         self.tables.change("terms", block, storage.saved(kept.where("n > 0")), moved)
         self.tables.change("forward", place, new, keys)
-        self._commit(head.ref)
+        self._commit(head.ref, head.buckets)
         for rows in (new, keys, old, came, went, moved):
             storage.forget(rows)
 
@@ -159,7 +162,7 @@ class PostingIndex:
         block can add to a score.
         """
         head, by = self._head(), self.corpus
-        asked = storage.saved(lexical.query_terms(queries, [*query_key, *by], text, self.code).withColumn("bucket", bucket_of("term")))
+        asked = storage.saved(lexical.query_terms(queries, [*query_key, *by], text, self.code).withColumn("bucket", bucket_of(head.buckets, "term")))
         stored = _listed(self._read("terms", head), asked, ["bucket", "term"])
         found = storage.saved(stored.join(storage.broadcast_if_small(asked.select("bucket", *by, "term").distinct()), ["bucket", *by, "term"], "left_semi"))
         totals = lexical.corpus_totals(self._read("forward", head).select(*by, "len"), by)
@@ -183,7 +186,8 @@ class PostingIndex:
 
     def _whole(self, pairs: DataFrame, blocks: DataFrame, query_key: Sequence[str]) -> DataFrame:
         """The pairs' exact scores, from the documents' own terms."""
-        forward = _listed(self._read("forward", self._head()), pairs.select(bucket_of(*self.key)), ["bucket"])
+        head = self._head()
+        forward = _listed(self._read("forward", head), pairs.select(bucket_of(head.buckets, *self.key)), ["bucket"])
         terms = blocks.select(*query_key, *self.corpus, "term", "weight", "avgdl").distinct()
         rows = forward.join(storage.broadcast_if_small(pairs.select(*query_key, *self.key)), self.key)
         each = rows.select(*query_key, *self.key, "len", F.explode("terms").alias("t")).select(*query_key, *self.key, "len", "t.term", "t.tf")

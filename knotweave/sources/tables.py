@@ -43,6 +43,8 @@ TABLES = {
     "terms": ("bucket",),
     "forward": ("bucket",),
 }
+#: Tables whose bases lie in ranges of these columns, sorted by them: few files, and scans that skip.
+ORDER = {"postings": ("bucket", "term", "level"), "terms": ("bucket", "term"), "forward": ("bucket",)}
 
 
 
@@ -144,7 +146,11 @@ class Tables:
         fs = self._fs()
         if fs.exists(self._path(name, number)):  # what a write left that didn't end
             fs.delete(self._path(name, number), True)
+        if order := ORDER.get(name):  # rows of one value, if they are many, go to several files
+            rows = rows.repartitionByRange(*order, F.xxhash64(*rows.columns)).sortWithinPartitions(*order)
         rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}/{number}")
+        if by and all(f.isFile() for f in fs.listStatus(self._path(name, number))):  # no rows, so no folder holds the schema
+            self.spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{self.root}/{name}/{number}")
 
     def change(self, name: str, key: Sequence[str], rows: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """Rows of the keys in ``rows`` or ``gone`` go, then ``rows`` come, in one step.

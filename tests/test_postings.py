@@ -18,7 +18,6 @@ DOC = "project string, doc_id bigint, text string"
 @pytest.fixture(autouse=True)
 def no_table_is_tiny(monkeypatch):
     monkeypatch.setattr(S, "WHOLE_BYTES", 0)
-    monkeypatch.setattr(P, "BUCKETS", 8)
 
 
 def written(rng):
@@ -54,7 +53,7 @@ def test_edits_equal_a_scan(spark, tmp_path):
         state |= came
     assert shown(index.top(queries, 4)) == shown(scanned(spark, state, queries, 4))
     head = index._head()
-    stored = index._blocks_of(index._postings(index._read("forward", head), head.ref))
+    stored = index._blocks_of(index._postings(index._read("forward", head), head.ref, head.buckets))
     block = ["bucket", "term", "level", "n"]
     assert sorted(map(tuple, index._read("terms", head).select(*block).collect())) == sorted(map(tuple, stored.select(*block).collect()))
 
@@ -71,7 +70,7 @@ def test_an_edit_touches_only_its_terms_buckets(spark, tmp_path):
     told = tables._commit("postings", last)
     assert told["rows"] == 1 and sum(told["gone"].values()) == 1  # alpha stays where it is
     folder = tmp_path / "i" / "postings" / str(last) / "rows"
-    gamma = spark.sql("select 'gamma' as term").select(P.bucket_of("term")).first()[0]
+    gamma = spark.sql("select 'gamma' as term").select(P.bucket_of(index._head().buckets, "term")).first()[0]
     assert [p.name for p in folder.iterdir() if p.is_dir()] == [f"bucket={gamma}"]
 
 
@@ -104,7 +103,7 @@ def test_a_failed_update_leaves_the_old_state_and_the_next_one_is_right(spark, t
     index.build(spark.createDataFrame([(*key, text) for key, text in state.items()], DOC))
     queries = spark.createDataFrame([(1, "w0 w9 lost found")], "query_id int, query string")
     with monkeypatch.context() as m:
-        m.setattr(P.PostingIndex, "_commit", lambda self, ref: 1 / 0)
+        m.setattr(P.PostingIndex, "_commit", lambda self, ref, buckets: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             index.update(spark.createDataFrame([("p", 1, "lost")], DOC))
     assert shown(index.top(queries, 5)) == shown(scanned(spark, state, queries, 5))
