@@ -49,6 +49,13 @@ def enrich(base: DataFrame, key: Sequence[str], terms: DataFrame, weight: float)
     return base.unionByName(more).groupBy(*key, "term").agg(F.sum("tf").alias("tf"))
 
 
+def enriched_lengths(lengths: DataFrame, key: Sequence[str], terms: DataFrame, weight: float) -> DataFrame:
+    """``key... len``: lengths with what :func:`enrich` adds to them."""
+    words = F.aggregate("terms", F.lit(0), lambda n, phrase: n + F.coalesce(F.size(T.tokenize(phrase)), F.lit(0)))
+    more = terms.groupBy(*key).agg(F.sum(words * F.lit(float(weight))).alias("__more"))
+    return lengths.join(more, [*key], "left").select(*key, (F.col("len") + F.coalesce("__more", F.lit(0.0))).alias("len"))
+
+
 def document_lengths(post: DataFrame, key: Sequence[str], docs: DataFrame | None = None) -> DataFrame:
     """``key... len``: each document's sum of tf; ``docs`` (their keys) adds those without terms."""
     lengths = post.groupBy(*key).agg(F.sum("tf").alias("len"))

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from knotweave.functions import symbols as S
 from knotweave.functions import text as T
 from knotweave.functions import vectors as V
+from knotweave.storage import SMALL_BYTES, SMALL_ROWS, is_small, saved
 
 from . import fusion, lexical
 
 MAX_K, DEFAULT_K, MAX_DEPTH = 200, 8, 25
 SNIPPET = 280
+#: Tasks at least among which one (project, store) is dealt where its queries are too many to travel.
+SALTS = 64
 
 
 def check_arguments(k: int, query: str | None = None, depth: int = 0) -> None:
@@ -61,17 +64,35 @@ def narrow(entries: DataFrame, path: str = "", scope: str = "", lang: str = "")
     return out.where(S.scope_matches(F.col("scope"), F.lit(scope))) if scope else out
 
 
+def _travel(asked: DataFrame) -> bool:
+    """Whether a batch of queries may be broadcast.
+
+    All vectors of a batch have one length, which its first row tells, so rows
+    are counted without computing their vectors.
+    """
+    first = asked.where("__q is not null").select(F.size("__q").alias("n")).first()
+    wide = 8 * first.n + 64 if first else 64
+    return is_small(asked.drop("__q"), min(SMALL_ROWS, SMALL_BYTES // wide))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, key: Sequence[str], query_key: Sequence[str] = ("query_id",), on: Sequence[str] = (), vector: str = "v", exclude_self: Column | None = None) -> DataFrame:
     """``query_key... key... cosine rank``: exact nearest unit vectors.
 
     ``on`` names columns that both sides share and must agree in (project,
-    store): it makes the pairing an equi-join. ``exclude_self`` is a condition
-    for pairs to leave out. Each task keeps its ``k`` best of a query before
-    anything is shuffled.
+    store). ``exclude_self`` is a condition for pairs to leave out. Each task
+    keeps its ``k`` best of a query before anything is shuffled. Few queries
+    travel to the rows where they lie. Many are sent to each of ``SALTS`` shares
+    of the rows, so that no task gets all rows of one project and store.
     """
     asked = queries.select(*query_key, *(c for c in on if c not in query_key), F.col(vector).alias("__q"))
     rows = corpus.select(*key, *(c for c in on if c not in key), F.col(vector).alias("__v"))
-    met = asked.join(rows, [*on]) if on else asked.crossJoin(rows)
+    if _travel(asked):
+        sent = F.broadcast(asked)
+        met = rows.join(sent, [*on]) if on else rows.crossJoin(sent)
+    else:
+        shares = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+        met = dealt.join(asked.withColumn("__share", shares), [*on, "__share"])
     if exclude_self is not None:
         met = met.where(~exclude_self)
     scored = met.select(*query_key, *key, V.dot(F.col("__q"), F.col("__v")).alias("cosine"))
@@ -131,17 +152,25 @@ def lookup(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = D
     rows = chunks.join(vectors, "chunk_id")
     dense = knn(asked, rows, n, ["chunk_id"], on=scope).select("query_id", "chunk_id", "cosine")
     if hybrid:
-        post = lexical.postings(chunks, [*scope, "chunk_id"], T.lexical_text(F.col("heading_path"), F.col("document")))
-        if terms is not None:
-            post = lexical.enrich(post, [*scope, "chunk_id"], chunks.select(*scope, "chunk_id", "section_hash").join(terms, "section_hash"), term_weight)
-        sparse = lexical.bm25(queries, post, [*scope, "chunk_id"], chunks, corpus=scope).select("query_id", "chunk_id", F.col("score").alias("sparse"))
+        own, text = [*scope, "chunk_id"], T.lexical_text(F.col("heading_path"), F.col("document"))
+        # Only postings of the batch's terms leave the texts; lengths are counted where the texts lie.
+        post = lexical.postings(chunks, own, text, terms=lexical.query_terms(queries, ["query_id", *scope]))
+        lengths = chunks.select(*own, F.size(T.tokenize(text)).cast("double").alias("len"))
+        if terms is not None and term_weight > 0:
+            more = chunks.select(*own, "section_hash").join(terms, "section_hash")
+            post = lexical.enrich(post, own, more, term_weight)
+            lengths = lexical.enriched_lengths(lengths, own, more, term_weight)
+        sparse = saved(lexical.bm25(queries, post, own, corpus=scope, lengths=lengths).select("query_id", "chunk_id", F.col("score").alias("sparse")))
         alias = None
         if aliases is not None:
             by_section = aliases.join(chunks.select(*scope, "section_hash").distinct(), "section_hash")
             near = asked.select("query_id", *scope, F.col("v").alias("q")).join(by_section, scope).select("query_id", F.col("section_hash").alias("section"), V.dot(F.col("q"), F.col("v")).alias("cosine"))
             alias = fusion.alias_merge(near, chunks.select(F.col("section_hash").alias("section"), "chunk_id", "window_idx"), alias_weight)
-        body = chunks.select(*scope, "chunk_id", embed(F.col("document")).alias("b"))
-        back = sparse.join(asked.select("query_id", "v"), "query_id").join(body, "chunk_id").select("query_id", "chunk_id", V.dot(F.col("v"), F.col("b")).alias("cosine"))
+        # Only members of the pool take a cosine from their body: no other text is embedded.
+        members = saved(lexical.top(sparse.where("sparse > 0"), n, score="sparse", ties=["chunk_id"]).select("query_id", "chunk_id"))
+        found = chunks.select("chunk_id", "document").join(members.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        body = found.select("chunk_id", embed(F.col("document")).alias("b"))
+        back = members.join(asked.select("query_id", "v"), "query_id").join(body, "chunk_id").select("query_id", "chunk_id", V.dot(F.col("v"), F.col("b")).alias("cosine"))
         hits = fusion.fuse(dense, sparse, ["chunk_id"], n, beta, back, alias=alias)
     else:
         hits = dense.withColumns({"score": F.round("cosine", 4), "rank": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id"))})
@@ -163,8 +192,10 @@ def code_lookup(queries: DataFrame, symbols: DataFrame, vectors: DataFrame, k: i
     asked = queries.withColumn("v", embed(F.col("query")))
     dense = knn(asked, symbols.join(vectors, "symbol_ref"), fusion.CODE_POOL, key, on=["project"]).select("query_id", *key, "cosine")
     field = F.concat_ws(" ", "name", "fqn", F.array_join(F.coalesce("name_terms", F.array().cast("array<string>")), " "), F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "))
-    post = lexical.postings(symbols, ["project", *key], field, code=True)
-    sparse = lexical.bm25(queries, post, ["project", *key], symbols, corpus=["project"], code=True).select("query_id", *key, F.col("score").alias("sparse"))
+    own = ["project", *key]
+    post = saved(lexical.postings(symbols, own, field, code=True, terms=lexical.query_terms(queries, ["query_id", "project"], code=True)))
+    lengths = symbols.select(*own, (F.size(T.tokenize(field)) + F.size(T.subtokens(field))).cast("double").alias("len"))
+    sparse = lexical.bm25(queries, post, own, corpus=["project"], code=True, lengths=lengths).select("query_id", *key, F.col("score").alias("sparse"))
     share = lexical.coverage(queries, post, key, code=True)
     hits = fusion.fuse_code(dense, sparse, share, vectors, key).join(symbols, key).join(queries.select("query_id", "query"), "query_id")
     if scorer is not None:

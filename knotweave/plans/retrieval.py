@@ -161,6 +161,16 @@ def near_duplicate_probe(spark, sf_dir):
     return _fused(spark, sf_dir).where(F.col("score") >= 0.85).select("query_id", "doc_id", "score")
 
 
+def lookup_batch(spark, sf_dir):
+    """The library's whole lookup: a chunk a document, a section for each source and language."""
+    docs = table(spark, sf_dir, "documents")
+    vectors = saved(embedding.dense(embedding.sparse(docs, ["doc_id"], "text", 64), ["doc_id"], 64)).withColumnRenamed("doc_id", "chunk_id")
+    place = [F.lit("p").alias("project"), F.lit("notes").alias("store")]
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), *place, F.col("source").alias("relpath"), F.col("lang").alias("heading_path"), F.lit(1).alias("occurrence"), F.col("text").alias("document"), F.array("lang").alias("tags"), F.lit("note").alias("type"))
+    hits = retrieve.lookup(_queries(spark, sf_dir).select("*", *place), chunks, vectors, 8, embed=lambda text: V.hash_embedding(text, 64))
+    return hits.select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank", "snippet")
+
+
 def gated_fusion(spark, sf_dir):
     docs, asked = _vectors(spark, sf_dir)
     post = _asked_postings(spark, sf_dir)
@@ -293,7 +303,7 @@ def eval_lift(spark, sf_dir):
     return out.select("need_id", "query_id", "before", "after", F.round("gain", 6).alias("gain"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, stored_postings_topk, tf_postings, corpus_stats, coverage_gate, token_functions, word_windows, chunk_identity, section_split, section_lines, hash_embedding, knn_topk, knn_filtered, hybrid_fusion, near_duplicate_probe, gated_fusion, convex_sweep, bm25f, rrf_fuse, range_matched_rerank, dedupe_section, dedupe_file, alias_max_merge, tag_overlap, store_scope, maxsim, authority_prior, eval_ranks, eval_mrr_recall, eval_robustness, eval_grouping_sets, eval_lift)}
+QUERIES = {f.__name__: f for f in (bm25_topk, stored_postings_topk, tf_postings, corpus_stats, coverage_gate, token_functions, word_windows, chunk_identity, section_split, section_lines, hash_embedding, knn_topk, knn_filtered, hybrid_fusion, lookup_batch, near_duplicate_probe, gated_fusion, convex_sweep, bm25f, rrf_fuse, range_matched_rerank, dedupe_section, dedupe_file, alias_max_merge, tag_overlap, store_scope, maxsim, authority_prior, eval_ranks, eval_mrr_recall, eval_robustness, eval_grouping_sets, eval_lift)}
 
 
 def _tok(column: str) -> str:
@@ -365,6 +375,9 @@ SELECT conv_id, role || CASE WHEN occ > 1 THEN '#' || occ ELSE '' END AS section
     "knn_topk": f"WITH {_CENT} {_KNN.format('true')}",
     "knn_filtered": f"WITH {_CENT} {_KNN.format('e.label = c.query_id')}",
     "hybrid_fusion": f"WITH {_HYBRID} SELECT query_id, doc_id, round(cosine, 4) AS cosine, score, rank FROM fused WHERE rank <= 8",
+    "lookup_batch": f"""WITH lex AS (SELECT doc_id, concat(lang, chr(10), text) AS text FROM documents), {_HYBRID.replace(_BM, _BM.replace("FROM documents", "FROM lex"))},
+f AS (SELECT query_id, doc_id, score, fused.rank AS r, d.text, row_number() OVER (PARTITION BY query_id, d.source, d.lang ORDER BY fused.rank) AS n FROM fused JOIN documents d USING (doc_id) WHERE score > 0)
+SELECT query_id, doc_id, score, rank, snippet FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank, substr(text, 1, 280) AS snippet FROM f WHERE n = 1) WHERE rank <= 8""",
     "near_duplicate_probe": f"WITH {_HYBRID} SELECT query_id, doc_id, score FROM fused WHERE score >= 0.85",
     "gated_fusion": f"""WITH {_BM}, {_COV}, {_DENSE.replace('dense AS', 'dense0 AS')}, dense AS (SELECT query_id, doc_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, doc_id) AS r FROM dense0) WHERE r <= 50),
 sp AS (SELECT query_id, doc_id, score * coverage AS sparse FROM bm JOIN cov USING (query_id, doc_id) WHERE score * coverage > 0), {_fuse(50, 1.0)} SELECT query_id, doc_id, score, rank FROM fused WHERE rank <= 8""",

@@ -82,6 +82,42 @@ def test_lookup_pipeline(spark):
         retrieve.check_arguments(0)
 
 
+def test_neighbours_of_many_queries(spark, monkeypatch):
+    """Dealt by shares or sent to the rows, one hot project or none: the same neighbours as by brute force."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    unit = lambda v: [float(x) for x in v / math.sqrt(float(v @ v))]
+    rows = [(i, "hot" if i % 3 else f"p{i % 7}", unit(rng.normal(size=6))) for i in range(90)]
+    asked = [(i, "hot" if i % 2 else "p0", unit(rng.normal(size=6))) for i in range(12)]
+    corpus, queries = spark.createDataFrame(rows, "id int, project string, v array<double>"), spark.createDataFrame(asked, "query_id int, project string, v array<double>")
+    for on in ([], ["project"]):
+        want = set()
+        for q, p, v in asked:
+            near = sorted(((-round(float(np.dot(v, w)), 9), i) for i, r, w in rows if not on or r == p))[:4]
+            want |= {(q, i, rank + 1) for rank, (_, i) in enumerate(near)}
+        for travel in (True, False):
+            monkeypatch.setattr(retrieve, "_travel", lambda _, t=travel: t)
+            found = retrieve.knn(queries, corpus, 4, ["id"], on=on)
+            assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == want
+    monkeypatch.undo()
+    wide = queries.select("query_id", F.col("v").alias("__q"))
+    assert retrieve._travel(wide) and retrieve._travel(wide.limit(0))
+    monkeypatch.setattr(retrieve, "SMALL_BYTES", 500)
+    assert not retrieve._travel(wide)
+
+
+def test_lengths_with_enrichment(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "c")], "id int, text string")
+    more = spark.createDataFrame([(1, ["b c", "d"]), (1, ["e"]), (2, ["a", None])], "id int, terms array<string>")
+    whole = lexical.enrich(lexical.postings(docs, ["id"], F.col("text")), ["id"], more, 0.5)
+    want = {r.id: r.len for r in lexical.document_lengths(whole, ["id"], docs).collect()}
+    own = docs.select("id", F.size(F.expr("filter(split(text, ' '), x -> x <> '')")).cast("double").alias("len"))
+    assert {r.id: r.len for r in lexical.enriched_lengths(own, ["id"], more, 0.5).collect()} == want == {1: 5.0, 2: 0.5, 3: 1.0}
+
+
 def test_code_index_gates(spark):
     s = "file string, container array<string>, name string, content_hash string, description string, file_hash string"
     prior = spark.createDataFrame([("a.py", [], "f", "1", "about f", "h0"), ("a.py", [], "gone", "2", "about gone", "h0"), ("b.py", [], "kept", "3", "d", "h1"), ("c.py", [], "lost", "4", "d", "same")], s)
