@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from knotweave.functions import text as T
 
 WINDOW_WORDS, WINDOW_OVERLAP = 320, 64
+#: Each size of the blocks that spans are cut into is 2 to this power times the one before.
+BLOCK_BITS = 3
 
 _FENCE_OR_HEADING = re.compile(r"^[^\S\n]*(?P<fence>```|~~~).*(?:\n(?![^\S\n]*(?P=fence)).*)*(?:\n.*)?|^(?P<level>#{1,6})[^\S\n]+(?P<title>.*)$", re.MULTILINE)
 _FRONT = re.compile(r"[^\S\n]*---[^\S\n]*\n(?:.*\n)*?[^\S\n]*---[^\S\n]*(?:\n|\Z)")
@@ -162,12 +164,26 @@ def enclosing(points: DataFrame, spans: DataFrame, file: str, line: str) -> Data
     """The innermost span over each point: ``name`` of the shortest, null if none.
 
     ``points`` have ``file`` and ``line``; ``spans`` have ``file start_line
-    end_line name``. Spans meet points by file and by blocks of lines, so that a
-    long file is no nested loop; ties go to the later start, then the name.
+    end_line name``. Ties go to the later start, then the name. A span is cut
+    into aligned blocks of 1, 8, 64... lines, at most 14 of each size, and of all
+    spans a block keeps the innermost. A point lies in one block of each size: so
+    rows grow with the logarithm of the longest span, not with its length.
     """
-    block = 256
-    cut = spans.select(F.col("file").alias("__f"), "start_line", "end_line", "name", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))).alias("__b"))
-    numbered = points.withColumn("__id", F.monotonically_increasing_id())
-    met = numbered.join(cut, (F.col(file) == F.col("__f")) & (F.floor(F.col(line) / block) == F.col("__b")) & F.col(line).between(F.col("start_line"), F.col("end_line")), "left")
-    inner = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), (-F.col("start_line")).alias("s"), F.col("name").alias("name")))
-    return met.groupBy("__id", *points.columns).agg(inner.alias("__in")).select(*points.columns, F.col("__in.name").alias("enclosing"))
+    spans = spans.where("start_line <= end_line").select(F.col("file").alias("__f"), F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("b"), "name")
+    longest = spans.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0
+    levels = range((longest + 1).bit_length() // BLOCK_BITS + 1)
+    low = lambda n: F.shiftright(F.col("a") + ((1 << n * BLOCK_BITS) - 1), n * BLOCK_BITS)
+    high = lambda n: F.shiftright(F.col("b") + 1, n * BLOCK_BITS)
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def blocks(n: int):
+        whole = low(n + 1) < high(n + 1)  # some larger block fits between
+        ends = F.concat(run(low(n), low(n + 1) * (1 << BLOCK_BITS)), run(high(n + 1) * (1 << BLOCK_BITS), high(n)))
+        return F.transform(F.when(whole, ends).otherwise(run(low(n), high(n))), lambda k: F.struct(F.lit(n).alias("__n"), k.alias("__k")))
+
+    inner = F.struct((F.col("b") - F.col("a")).alias("n"), (-F.col("a")).alias("s"), F.col("name").alias("name"))
+    cut = spans.select("__f", inner.alias("__in"), F.explode(F.concat(*map(blocks, levels))).alias("x")).groupBy("__f", "x.__n", "x.__k").agg(F.min("__in").alias("__in"))
+    asked = points.select(F.col(file).alias("__f"), F.col(line).alias("__l")).where("__f is not null and __l is not null").distinct()
+    placed = asked.select("__f", "__l", F.explode(F.array(*(F.struct(F.lit(n).alias("__n"), F.shiftright(F.col("__l").cast("long"), n * BLOCK_BITS).alias("__k")) for n in levels))).alias("x")).select("__f", "__l", "x.*")
+    found = placed.join(cut, ["__f", "__n", "__k"]).groupBy("__f", "__l").agg(F.min("__in").alias("__in"))
+    return points.join(found, (F.col(file) == F.col("__f")) & (F.col(line) == F.col("__l")), "left").select(*points.columns, F.col("__in.name").alias("enclosing"))
