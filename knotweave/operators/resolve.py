@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.functions import symbols as S
+from knotweave.storage import is_small
 
 DOSSIER_CAP = 20
 STRONG_TIERS = ("ref", "was", "exact")
@@ -17,7 +18,9 @@ def matches(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     ``queries``: query_id project query. ``symbols``: project symbol_ref file
     container name lang symbol_was. A trailing run ends with the name, so the
     pairing is an equi-join on the last segment; names that hold a separator and
-    recorded spellings join by what they are.
+    recorded spellings join by what they are. Few queries travel to the symbols;
+    symbols never do, since their keys and paths are many times the files' bytes
+    by which a broadcast would be planned.
     """
     canon = S.canonical(F.col("file"), F.col("container"), F.col("name"), F.col("lang"))
     was = F.coalesce("symbol_was", F.array().cast("array<string>"))
@@ -25,7 +28,7 @@ def matches(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     keyed = symbols.withColumn("__canon", canon).withColumn("__key", F.explode(keys))
     typed = F.array_distinct(F.array(F.col("query"), S.query_leaf(F.col("query")), F.regexp_replace("query", "^[^#]*#", "")))
     asked = queries.withColumn("__key", F.explode(typed))
-    met = asked.join(keyed, ["project", "__key"])
+    met = keyed.join(F.broadcast(asked) if is_small(asked) else asked.hint("merge"), ["project", "__key"])
     tiered = met.withColumn("tier", S.match_tier(F.col("__canon"), F.col("name"), F.col("symbol_was"), F.col("query"))).where("tier is not null")
     return tiered.select("query_id", "project", "query", "symbol_ref", "tier").distinct()
 
