@@ -372,7 +372,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     Copies meet by digest and go on as one text. Texts that share a band are a
     bucket. First all texts of a bucket are compared with its first one; what
     links connect so needs no other comparison. Then those that are in another
-    class than the first are compared with all of their bucket. So no link
+    class than most of their bucket are compared with one of these, and those
+    that still are with all of the bucket. So no link
     between candidates is lost, and a large group of near copies costs little
     more than its size. Comparisons come in blocks of bounded bytes.
 
@@ -411,6 +412,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     links = saved(_linked_to_firsts(stars, whole, weights, similar))
     classes = saved(connected(links))
     apart = _apart(members, classes)
+    if not apart.isEmpty():  # a first text may be unlike the others of its bucket
+        links = links.unionByName(saved(_linked_to_firsts(apart.select(F.col("lead").alias("left"), "n", "size").distinct(), whole, weights, similar)))
+        classes = saved(connected(links))
+        apart = _apart(members, classes)
     if not apart.isEmpty():
         links = links.unionByName(_linked_apart(members, apart, whole, weights, similar))
         classes = connected(links)
@@ -453,14 +458,15 @@ def _linked_to_firsts(stars: DataFrame, whole: DataFrame, weights: Weights, simi
 
 
 def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``key n size``: texts in another class than the first text of their bucket."""
-    root = lambda n: classes.select(F.col("node").alias(n), F.col("root").alias(f"of_{n}"))
-    named = members.join(root("n"), "n", "left")
-    firsts = members.select("first").distinct().join(root("first"), "first", "left").select("first", F.coalesce("of_first", "first").alias("of_first"))
-    # a first text stands before all texts of its buckets: the large ones are few
-    many = members.groupBy("first").agg(F.count("*").alias("w"))
-    met = join_counted(named, firsts.join(many, "first"), ["first"], members.count())
-    return saved(met.where(F.coalesce("of_n", "n") != F.col("of_first")).select("key", "n", "size"))
+    """``key n size lead``: texts in another class than most texts of their bucket; ``lead`` is one of these.
+
+    Of two texts of a bucket in different classes one at least is among them.
+    """
+    named = members.join(classes.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("w"), F.min("n").alias("lead"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("w", "root", "lead")).alias("most"), F.sum("w").alias("w"))
+    met = join_counted(named, most, ["key"], members.count())
+    return saved(met.where(F.col("root") != F.col("most.root")).select("key", "n", "size", "most.lead"))
 
 
 def _linked_apart(members: DataFrame, apart: DataFrame, whole: DataFrame, weights: Weights, similar: float) -> DataFrame:

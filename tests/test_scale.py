@@ -37,3 +37,12 @@ def test_symbols_never_travel(spark, monkeypatch, few):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert ("BuildRight" in plan and "BroadcastHashJoin" in plan) if few else ("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan)
     assert {(r.query_id, r.symbol_ref, r.tier) for r in found.collect()} == {(n, f"f.py#n{n}", "name") for n in range(50)}
+
+
+def test_a_poor_first_text_costs_one_row(spark):
+    """A bucket whose first text is unlike the others: it alone is compared with all of them."""
+    from knotweave.llm import neardup
+
+    members = spark.range(40).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("n"), F.lit(9).alias("size"), F.lit(0).cast("long").alias("first"))
+    classes = spark.range(1, 40).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("root"))
+    assert [(r.key, r.n) for r in neardup._apart(members, classes).collect()] == [(1, 0)]
