@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotweave.functions import symbols as S
 from knotweave.functions import text as T
-from knotweave.operators import chunking, decisions, evaluate, fusion, graph, index, learnings, lexical, resolve, retrieve, usage
+from knotweave.operators import chunking, decisions, evaluate, fusion, graph, index, learnings, resolve, retrieve, usage
 
 from . import retrieval, structure
 from .retrieval import table
@@ -327,7 +327,7 @@ def project_fan_out(spark, sf_dir):
 
 
 def ranker_route(spark, sf_dir):
-    share = lexical.coverage(retrieval._queries(spark, sf_dir), retrieval._asked_postings(spark, sf_dir), ["doc_id"])
+    share = retrieval._terms(spark, sf_dir).coverage(1)
     best = share.groupBy("query_id").agg(F.max("coverage").alias("coverage"))
     return fusion.route(best).select("query_id", "route")
 

@@ -46,3 +46,40 @@ def test_a_poor_first_text_costs_one_row(spark):
     members = spark.range(40).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("n"), F.lit(9).alias("size"), F.lit(0).cast("long").alias("first"))
     classes = spark.range(1, 40).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("root"))
     assert [(r.key, r.n) for r in neardup._apart(members, classes).collect()] == [(1, 0)]
+
+
+@pytest.mark.parametrize("block", [1, 1 << 21])
+def test_batches_match_the_joins(spark, monkeypatch, block):
+    from knotweave.operators import batch, embedding, lexical
+
+    monkeypatch.setattr(batch, "BLOCK", block)
+    rng = random.Random(3)
+    words = [*"abcdefgh", "the", "server", "restart", "éa", "x_1"]
+    docs = spark.createDataFrame([(f"d{n}", " ".join(rng.choices(words, k=rng.randrange(12)))) for n in range(60)] + [("null", None), ("none", "")], "id string, text string").repartition(3)
+    asked = spark.createDataFrame([(n, " ".join(rng.choices(words, k=4))) for n in range(7)] + [(7, "the the"), (8, "unknown"), (9, "")], "query_id bigint, query string")
+    post = lexical.postings(docs, ["id"], F.col("text"))
+    told = lambda rows, *c: {(r.query_id, r.id): tuple(round(r[x], 9) for x in c) for r in rows.collect()}
+    scored, share = lexical.bm25(asked, post, ["id"], docs), lexical.coverage(asked, post, ["id"])
+    both = scored.join(share, ["query_id", "id"]).select("query_id", "id", (F.col("score") * F.col("coverage")).alias("score"))
+    terms = batch.Terms(asked, docs, ["id"], F.col("text"))
+    assert told(terms.coverage(), "coverage") == told(share, "coverage")
+    assert told(terms.best(3), "score", "rank") == told(lexical.top(scored, 3, ties=["id"]), "score", "rank")
+    assert told(terms.best(3, covered=True), "score", "rank") == told(lexical.top(both, 3, ties=["id"]), "score", "rank")
+    some = scored.where("query_id % 2 = 0 and id > 'd3'")
+    assert told(terms.scores(some.select("query_id", "id")), "score") == told(some, "score")
+    vectors, queries = (batch.hashed(rows, [key], text, 16) for rows, key, text in ((docs, "id", "text"), (asked, "query_id", "query")))
+    old = embedding.dense(embedding.sparse(docs, ["id"], "text", 16), ["id"], 16)
+    assert {r.id: [round(x, 12) for x in r.v] for r in vectors.collect()} == {r.id: [round(x, 12) for x in r.v] for r in old.collect()}
+    from knotweave.functions import vectors as V
+
+    queries = queries.withColumnRenamed("v", "q")
+    cosines = queries.crossJoin(vectors).select("query_id", "id", V.dot(F.col("q"), F.col("v")).alias("cosine"))
+    assert told(batch.nearest(queries, vectors, ["id"], 4), "cosine", "rank") == told(lexical.top(cosines, 4, score="cosine", ties=["id"]), "cosine", "rank")
+
+
+def test_pairs_are_never_shuffled(spark):
+    """Each task lets go all but the best of its documents before a shuffle."""
+    from knotweave.plans import retrieval
+
+    plan = retrieval.bm25_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "HashAggregate" not in plan
