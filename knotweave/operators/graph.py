@@ -7,8 +7,10 @@ folder, so that plans stay short and lost executors cost one step.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from knotweave.functions import symbols as S
 from knotweave.storage import saved
 
 MAX_DEPTH, MAX_NODES = 25, 5000
+#: Rows of small projects that are ordered in one call, on average.
+BUCKET_ROWS = 20_000
 
 
 def direction(edges: DataFrame, which: str) -> DataFrame:
@@ -246,41 +250,54 @@ def topological(nodes: DataFrame, edges: DataFrame, by: str = "project") -> Data
     """Add ``position``: dependencies first, the least (rank, title, node) of the ready ones next.
 
     ``nodes``: by node rank title; ``edges``: by src dst, src after dst. The
-    order is sequential within a project, so each project is one group; what is
-    caught in a cycle comes last, by (rank, title).
+    order is sequential within a project, so a project is never split; what is
+    caught in a cycle comes last, by (rank, title). Projects go to Python by the
+    bucket, about ``BUCKET_ROWS`` rows at a time: a call for each small project
+    costs many times its work.
     """
     deps = edges.groupBy(by, F.col("src").alias("node")).agg(F.collect_set("dst").alias("__deps"))
-    joined = nodes.join(deps, [by, "node"], "left")
+    buckets = max(1, -(-nodes.count() // BUCKET_ROWS))
+    joined = nodes.join(deps, [by, "node"], "left").withColumn("__bucket", F.pmod(F.xxhash64(by), F.lit(buckets)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
 
-    def order(table):
-        import heapq
-
-        ids = table["node"].tolist()
-        names = {n: (r or "", t or "", n) for n, r, t in zip(ids, table["rank"], table["title"], strict=True)}
-        waits = {n: {d for d in (own if own is not None else ()) if d in names and d != n} for n, own in zip(ids, table["__deps"], strict=True)}
-        loops = {n for n, own in zip(ids, table["__deps"], strict=True) if own is not None and n in set(own)}
-        frees = defaultdict(list)
-        for n, own in waits.items():
-            for d in own:
-                frees[d].append(n)
-        ready = [names[n] for n, own in waits.items() if not own and n not in loops]
-        heapq.heapify(ready)
-        place = {}
-        while ready:
-            n = heapq.heappop(ready)[2]
-            place[n] = len(place)
-            for other in frees[n]:
-                waits[other].discard(n)
-                if not waits[other] and other not in loops:
-                    heapq.heappush(ready, names[other])
-        for key in sorted(names[n] for n in names if n not in place):
-            place[key[2]] = len(place)
-        out = table.drop(columns="__deps")
-        out["position"] = [place[n] for n in ids]
-        return out
-
-    return joined.groupBy(by).applyInPandas(order, kinds + ", position int")
+    def order(table: pa.Table) -> pa.Table:
+        members = defaultdict(list)
+        for at, project in enumerate(table[by].to_pylist()):
+            members[project].append(at)
+        rows = list(zip(*(table[c].to_pylist() for c in ("node", "rank", "title", "__deps")), strict=True))
+        position = [0] * len(rows)
+        for own in members.values():
+            place = _ordered([rows[at] for at in own])
+            for at in own:
+                position[at] = place[rows[at][0]]
+        return table.select(names).append_column("position", pa.array(position, pa.int32()))
+
+    names = nodes.columns
+    return joined.groupBy("__bucket").applyInArrow(order, kinds + ", position int")
+
+
+def _ordered(rows: list[tuple]) -> dict:
+    """The place of each node of one project's (node, rank, title, deps)."""
+    names = {n: (r or "", t or "", n) for n, r, t, _ in rows}
+    waits = {n: {d for d in own or () if d in names and d != n} for n, _, _, own in rows}
+    loops = {n for n, _, _, own in rows if own and n in own}
+    frees = defaultdict(list)
+    for n, own in waits.items():
+        for d in own:
+            frees[d].append(n)
+    ready = [names[n] for n, own in waits.items() if not own and n not in loops]
+    heapq.heapify(ready)
+    place: dict = {}
+    while ready:
+        n = heapq.heappop(ready)[2]
+        place[n] = len(place)
+        for other in frees[n]:
+            waits[other].discard(n)
+            if not waits[other] and other not in loops:
+                heapq.heappush(ready, names[other])
+    for key in sorted(names[n] for n in names if n not in place):
+        place[key[2]] = len(place)
+    return place
 
 
 def facet_graph(nodes: DataFrame, deps: DataFrame, sources: DataFrame | None, kind: str) -> tuple[DataFrame, DataFrame]:

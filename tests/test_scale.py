@@ -83,3 +83,32 @@ def test_pairs_are_never_shuffled(spark):
 
     plan = retrieval.bm25_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "HashAggregate" not in plan
+
+
+def test_projects_are_ordered_together(spark, monkeypatch):
+    """Small projects share a call; their numbers stay exact next to a null one."""
+    from knotweave.operators import graph
+
+    monkeypatch.setattr(graph, "BUCKET_ROWS", 1000, raising=False)
+    big = 2**60
+    nodes = spark.createDataFrame([(p, n, "m", str(n)) for p in (big, big + 1, None) for n in range(5)], "project bigint, node int, rank string, title string")
+    edges = spark.createDataFrame([(p, 0, 4) for p in (big, big + 1)] + [(big, 4, 3), (big, 3, 4)], "project bigint, src int, dst int")
+    rows = graph.topological(nodes, edges)
+    got = {p: [r.node for r in sorted(rows.collect(), key=lambda r: r.position) if r.project == p] for p in (big, big + 1, None)}
+    assert got == {big: [1, 2, 0, 3, 4], big + 1: [1, 2, 3, 4, 0], None: [0, 1, 2, 3, 4]}
+    assert "__bucket" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spread_writes_about_the_edges(spark, monkeypatch):
+    """A chain of taint: edges to what is tainted already are not read again."""
+    from knotweave.operators import decisions
+
+    written = []
+    keep = decisions.saved
+    monkeypatch.setattr(decisions, "saved", lambda rows: written.append(keep(rows)) or written[-1])
+    nodes = spark.range(40).select(F.lit(1).alias("project"), F.col("id").cast("string").alias("id"), F.lit("active").alias("status"))
+    deps = spark.range(1, 40).select(F.lit(1).alias("project"), F.col("id").cast("string").alias("id"), F.when(F.col("id") < 37, "0").otherwise((F.col("id") - 1).cast("string")).alias("dep"))
+    marked = decisions.tainted(nodes, deps, nodes.where("id = '0'"))
+    assert marked.count() == 40
+    edges = [w.count() for w in written if "from" in w.columns]
+    assert edges == [39, 3, 2, 1, 0]
