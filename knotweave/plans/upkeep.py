@@ -207,7 +207,7 @@ def missing_deps(spark, sf_dir):
 
 def _marked(spark, sf_dir):
     nodes, deps, cited, sections = structure._facets(spark, sf_dir)
-    causes = decisions.direct_causes(nodes, deps, cited, sections)
+    causes = structure._causes(nodes, deps, cited, sections)
     return nodes, deps, causes, decisions.tainted(nodes, deps, causes)
 
 
