@@ -296,11 +296,17 @@ def join_counted(rows: DataFrame, keys: DataFrame, by: list[str], total: int) ->
     """``rows`` joined with ``keys``, one row for each key; ``w`` says how many of ``rows`` have it.
 
     Keys that hold over a thousandth of ``total``, the number of all rows, are
-    fewer than a thousand: these are broadcast, and no task gets all their rows.
+    fewer than a thousand: these are named in a filter and their rows meet a
+    broadcast, so that no task gets all of one's rows. Keys of several columns
+    are told apart by a join instead.
     """
     hot = F.col("w") * 1000 > total
-    often = F.broadcast(keys.where(hot))
-    return rows.join(often, by).unionByName(rows.join(often.select(*by), by, "left_anti").join(keys.where(~hot), by)).drop("w")
+    often = saved(keys.where(hot))
+    values = [r[0] for r in often.select(*by).collect()]
+    if not values:
+        return rows.join(keys, by).drop("w")
+    rest = rows.where(~F.col(by[0]).isin(values)) if len(by) == 1 else rows.join(F.broadcast(often.select(*by)), by, "left_anti")
+    return rows.join(F.broadcast(often), by).unionByName(rest.join(keys.where(~hot), by)).drop("w")
 
 
 def compare(texts_a: pa.Array, texts_b: pa.Array | None, weights: Weights, similar: float) -> tuple[np.ndarray, np.ndarray]:

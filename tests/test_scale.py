@@ -112,3 +112,14 @@ def test_spread_writes_about_the_edges(spark, monkeypatch):
     assert marked.count() == 40
     edges = [w.count() for w in written if "from" in w.columns]
     assert edges == [39, 3, 2, 1, 0]
+
+
+def test_hot_keys_are_named_not_joined(spark):
+    """Rows of frequent keys leave the rest by a filter: the rest is joined once."""
+    from knotweave.llm import neardup
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).cast("long").alias("key"), "id")
+    keys = rows.groupBy("key").agg(F.count("*").alias("w"), F.min("id").alias("first"))
+    out = neardup.join_counted(rows, keys, ["key"], 3000)
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(1, n, 0) for n in range(2000)] + [(n, n, n) for n in range(2000, 3000)]
