@@ -12,6 +12,10 @@ documents need counts, a bounded number. A group of copies, be it thousands,
 keeps full weights, and what a large part of the corpus shares says less. With
 a floor of 0 every shingle weighs by its own exact df: all shingles are shuffled
 to be counted, and the counts come back to the texts.
+
+With ``by_class`` every shingle weighs by its exact df too, but df counts classes
+of near copies as unweighted shingles tell them, not documents: what copies share
+then says no less than their edits do, and what unlike texts share says less.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ MAX_STEPS = 50
 #: Links that are counted to be no more than this are connected in one task (4 MB of numbers).
 SMALL_LINKS = 1 << 18
 
+#: Shingles (16 bytes each) that a task packs before it sends them on, and that a bucket of them is to hold.
+PACKED, BUCKET_SHINGLES, MIN_BUCKETS, MAX_BUCKETS = 1 << 20, 1 << 21, 256, 1 << 15
+
 _BITS = 12
 
 
@@ -223,6 +230,78 @@ def own_counts(hashed: DataFrame) -> DataFrame:
     return rows.join(lists, "digest", "left").withColumn("often", F.coalesce("often", none))
 
 
+def _packed(by: np.ndarray, buckets: int, names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
+    """``bucket`` and, of its rows, each column's numbers as bytes; rows are dealt by the hashes ``by``."""
+    at = (mix64(by) % np.uint64(buckets)).astype(np.uint16)
+    order = np.argsort(at, kind="stable")
+    cut = np.searchsorted(at[order], np.arange(buckets + 1)) * 8
+    some = np.flatnonzero(np.diff(cut))
+    ends = pa.py_buffer(cut[np.r_[some, buckets]].astype(np.int32)) if len(some) else pa.py_buffer(np.zeros(1, np.int32))
+    blobs = [pa.Array.from_buffers(pa.binary(), len(some), [None, ends, pa.py_buffer(c[order])]) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *blobs], ["bucket", *names])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def class_counts(rooted: DataFrame, buckets: int) -> DataFrame:
+    """``id often``: each text's shingles (h, w) that several classes have, and how many have them.
+
+    ``rooted`` has ``text id root``: ``id`` is a number of the text, alike for
+    copies, ``root`` one of its class. All shingles of all texts travel once, with
+    these numbers, packed in arrays by buckets of shingles; those of several
+    classes travel back by buckets of texts. Nothing is left out.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            h, root, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            # mostly a text is its class: zeros pack well
+            return _packed(h, buckets, ["h", "root", "own"], [h, root, np.where(own == root, 0, own)])
+
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                text, h, _ = shingles(Words(part.column("text")))
+                held.append((h, *(part.column(c).to_numpy()[text] for c in ("root", "id"))))
+                n += len(h)
+                if n >= PACKED:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def count(table: pa.Table) -> pa.Table:
+        h, root, own = _unpacked(table["h"], np.uint64), _unpacked(table["root"], np.int64), _unpacked(table["own"], np.int64)
+        order = np.argsort(h)
+        new = np.r_[True, h[order][1:] != h[order][:-1]]
+        met = order[~new | np.r_[~new[1:], False]]  # shingles that stand alone are in one class
+        h, root, own = h[met], root[met], np.where(own[met] == 0, root[met], own[met])
+        order = np.lexsort((own, root, h))
+        h, root, own = h[order], root[order], own[order]
+        first = np.r_[True, h[1:] != h[:-1]][: len(h)]
+        other = first | np.r_[True, root[1:] != root[:-1]][: len(h)]
+        group = np.cumsum(first) - 1
+        classes = np.bincount(group, other, group[-1] + 1 if len(group) else 0).astype(np.int64)[group]
+        kept = (classes > 1) & (other | np.r_[True, own[1:] != own[:-1]][: len(h)])
+        return pa.Table.from_batches([_packed(own[kept].view(np.uint64), buckets, ["h", "w", "id"], [h[kept], classes[kept], own[kept]])])
+
+    def listed(table: pa.Table) -> pa.Table:
+        own, h, w = (_unpacked(table[c], np.int64) for c in ("id", "h", "w"))
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(own)], pa.int32()), pa.StructArray.from_arrays([pa.array(h[order]), pa.array(w[order])], ["h", "w"]))
+        return pa.table({"id": own[new], "often": lists})
+
+    packed = rooted.select("text", "id", "root").mapInArrow(scan, "bucket int, h binary, root binary, own binary")
+    several = packed.groupBy("bucket").applyInArrow(count, "bucket int, h binary, w binary, id binary")
+    return several.groupBy("bucket").applyInArrow(listed, "id bigint, often array<struct<h:bigint,w:bigint>>")
+
+
 def _banded(weights: Weights, bands: int, rows: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +443,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple]:
     return out
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, df_floor: float = DF_FLOOR) -> DataFrame:
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, df_floor: float = DF_FLOOR, by_class: bool = False) -> DataFrame:
     """``doc_id class_id class_size digest leads``: one row for each row of ``docs``.
 
     Documents are linked if their texts are equal, or are candidates whose
@@ -385,34 +464,81 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
 
     ``df_floor`` says from which share of the documents on a shingle weighs by
     its own count; 0 gives every shingle its exact idf, for a shuffle of all
-    shingles.
+    shingles. ``by_class`` does so too (there is no floor then), and counts classes:
+    idf is ln(1 + C / df), C the number of classes that equal weights give, df how
+    many of them have the shingle. It takes two rounds, one for these classes.
     """
     require_whole_ids(docs)
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = docs.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    held = hashed.where("digest is not null")
     lists = None
-    if df_floor > 0:
+    if by_class:
+        weights, lists = _class_weights(hashed, bands, rows, similar)
+    elif df_floor > 0:
         weights = common_shingles(docs.where("text is not null"), df_floor)
     else:
-        held = hashed.where("digest is not null")
         weights, lists = Weights(held.count(), {}, 0.0), saved(own_counts(held))
-        hashed = join_counted(held, lists, ["digest"], weights.docs).unionByName(hashed.where("digest is null"), allowMissingColumns=True)
+    drawn, texts, classes = _classes(hashed, weights, lists, bands, rows, similar)
+    total = drawn.count()
+    member = texts.select("digest", "n", "lead", "w").join(classes.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    named = member.groupBy("root").agg(F.min("lead").alias("class_id"), F.sum("w").alias("class_size"), F.min(F.struct(F.col("lead").isNull().alias("unnamed"), "lead", "digest")).alias("first"), F.count("*").alias("texts"))
+    told = join_counted(member.withColumnRenamed("w", "copies"), named.withColumnRenamed("texts", "w"), ["root"], total).select("digest", "class_id", "class_size", (F.col("first.digest") == F.col("digest")).alias("leads"), F.col("copies").alias("w"))
+    found = join_counted(drawn.where("digest is not null").select("doc_id", "digest"), saved(told), ["digest"], total).select("doc_id", "class_id", "class_size", "digest", "leads")
+    alone = drawn.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "digest", F.lit(True).alias("leads"))
+    out = saved(found.union(alone))
+    for table in (drawn, texts, classes, *([] if lists is None else [lists])):
+        forget(table)
+    return out
+
+
+def _class_weights(hashed: DataFrame, bands: int, rows: int, similar: float) -> tuple[Weights, DataFrame]:
+    """Weights by classes, and ``digest w often`` of all different texts, as :func:`own_counts` has them."""
+    drawn, texts, classes = _classes(hashed, Weights(1, {}, 1.0), None, bands, rows, similar)
+    linked, roots, bytes_ = classes.count(), classes.select("root").distinct().count(), drawn.agg(F.sum("size")).first()[0] or 0
+    number = texts.count() - linked + roots
+    # texts that no link joins go by a number of their own, below 0; nodes and roots are not
+    own = -F.xxhash64("digest").bitwiseAND(F.lit((1 << 63) - 1)) - 1
+    joined = texts.select("digest", "n").join(classes.withColumnRenamed("node", "n"), "n").select("digest", "root")
+    held = hashed.where("digest is not null").select("text", "digest", own.alias("id"))
+    rooted = held.join(broadcast_if_small(joined), "digest", "left").withColumn("root", F.coalesce("root", "id"))
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, bytes_ // 6 // BUCKET_SHINGLES))
+    found = class_counts(rooted, buckets)
+    lists = texts.select("digest", "w", own.alias("id")).join(found, "id", "left")
+    out = saved(lists.select("digest", "w", F.coalesce("often", F.array().cast("array<struct<h:bigint,w:bigint>>")).alias("often")))
+    for table in (drawn, texts, classes):
+        forget(table)
+    return Weights(number, {}, 0.0), out
+
+
+def _classes(hashed: DataFrame, weights: Weights, lists: DataFrame | None, bands: int, rows: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their bands, different texts ``digest lead w bands size n``, ``node root`` of linked texts), all saved.
+
+    ``lists`` (``digest w often``) brings the texts' counts of shingles, where they have their own.
+    """
+    counted = hashed
+    if lists is not None:
+        held = hashed.where("digest is not null")
+        counted = join_counted(held, lists, ["digest"], weights.docs).unionByName(hashed.where("digest is null"), allowMissingColumns=True)
     counts = [] if lists is None else ["often"]
     schema = "doc_id bigint, digest binary, bands array<bigint>, size int"
-    drawn = saved(hashed.select("doc_id", "digest", "text", *counts).mapInArrow(_banded(weights, bands, rows), schema))
+    drawn = saved(counted.select("doc_id", "digest", "text", *counts).mapInArrow(_banded(weights, bands, rows), schema))
     total = drawn.count()
     texts = saved(drawn.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("w"), F.first("bands").alias("bands"), F.first("size").alias("size")).withColumn("n", F.monotonically_increasing_id()))
 
     # Buckets of several texts; of those with the same texts, one.
     placed = texts.where("bands is not null").select("n", "size", F.explode("bands").alias("key"))
     full = placed.groupBy("key").agg(F.min("n").alias("first"), F.bit_xor(F.xxhash64("n")).alias("mark"), F.count("*").alias("w")).where("w > 1")
-    once = full.groupBy("first", "mark", "w").agg(F.min("key").alias("key")).select("key", "first", "w")
+    once = saved(full.groupBy("first", "mark", "w").agg(F.min("key").alias("key")).select("key", "first", "w"))
     members = saved(join_counted(placed, once, ["key"], total * bands))
     # The first copy of each candidate text brings it.
     wanted = members.select("n").distinct().join(texts.select("n", "digest", F.col("lead").alias("doc_id")), "n")
     doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
-    brought = hashed.where("text is not null").select(doc, "digest", "text", *counts).join(broadcast_if_small(wanted.select(doc, "digest", "n")), ["doc", "digest"])
-    whole = saved(brought.groupBy("n").agg(*(F.first(c).alias(c) for c in ("text", *counts))))
+    brought = hashed.where("text is not null").select(doc, "digest", "text").join(broadcast_if_small(wanted.select(doc, "digest", "n")), ["doc", "digest"])
+    whole = brought.groupBy("n").agg(F.first("text").alias("text"))
+    if lists is not None:
+        whole = whole.join(wanted.select("n", "digest").join(lists.select("digest", "often"), "digest").select("n", "often"), "n")
+    whole = saved(whole)
 
     stars = members.where("n <> first").select(F.col("first").alias("left"), "n", "size").distinct()
     links = saved(_linked_to_firsts(stars, whole, weights, similar))
@@ -424,16 +550,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
         apart = _apart(members, classes)
     if not apart.isEmpty():
         links = links.unionByName(_linked_apart(members, apart, whole, weights, similar))
-        classes = connected(links)
-    member = texts.select("digest", "n", "lead", "w").join(classes.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
-    named = member.groupBy("root").agg(F.min("lead").alias("class_id"), F.sum("w").alias("class_size"), F.min(F.struct(F.col("lead").isNull().alias("unnamed"), "lead", "digest")).alias("first"), F.count("*").alias("texts"))
-    told = join_counted(member.withColumnRenamed("w", "copies"), named.withColumnRenamed("texts", "w"), ["root"], total).select("digest", "class_id", "class_size", (F.col("first.digest") == F.col("digest")).alias("leads"), F.col("copies").alias("w"))
-    found = join_counted(drawn.where("digest is not null").select("doc_id", "digest"), saved(told), ["digest"], total).select("doc_id", "class_id", "class_size", "digest", "leads")
-    alone = drawn.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "digest", F.lit(True).alias("leads"))
-    out = saved(found.union(alone))
-    for table in (drawn, texts, members, whole, *([] if lists is None else [lists])):
+        classes = saved(connected(links))
+    for table in (once, members, whole):
         forget(table)
-    return out
+    return drawn, texts, classes
 
 
 def _blocks(sizes: DataFrame, by: list[str]) -> DataFrame:

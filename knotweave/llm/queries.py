@@ -42,7 +42,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), by_class=True).select("doc_id", "class_id", "class_size")
 
 
 def op7_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -388,6 +388,66 @@ def test_exact_counts_of_all_shingles(spark):
     assert got == Counter((rows[i][0], *named[i]) for i in range(len(rows)))
 
 
+def classes_by_class_counts(rows, similar=0.8):
+    """Classes of (doc_id, text) by exact idf over the classes that equal weights give, of all pairs."""
+    sets = []
+    for _, t in rows:
+        w = t.encode().split() if t else []
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+        sets.append(Counter(grams))
+
+    def classes(weight):
+        root = list(range(len(rows)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                low = sum(weight(k) * min(v, b[k]) for k, v in a.items() if k in b)
+                high = sum(weight(k) * v for s in (a, b) for k, v in s.items()) - low
+                if rows[i][1] is not None and rows[i][1] == rows[j][1] or high and low / high >= similar:
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        return root
+
+    plain = classes(lambda k: 1.0)
+    df = Counter(k for _, k in {(plain[i], k) for i, s in enumerate(sets) for k in s})
+    texts = {plain[i] for i, (_, t) in enumerate(rows) if t is not None}
+    root = classes(lambda k: math.log1p(len(texts) / df[k]))
+    members = {c: [i for i, r in enumerate(root) if r == c] for c in root}
+    ids = {c: [rows[i][0] for i in own if rows[i][0] is not None] for c, own in members.items()}
+    return {i: (min(ids[c], default=None), len(members[c])) for i, c in enumerate(root)}
+
+
+def test_exact_counts_of_classes(spark):
+    """What unlike texts share weighs less, in far fewer than a tenth of them too; what copies share does not."""
+    rng = random.Random(35)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [[word() for _ in range(80)] for _ in range(4)]
+    rows = []
+    for g in range(24):
+        base = [word() for _ in range(20)] + shared[g % 4] if g < 12 else [word() for _ in range(100)]
+        rows += [(len(rows) + i, " ".join(near_copy(rng, base, rng.choice([0, 0, 1, 2, 3])))) for i in range(rng.choice([1, 2, 6, 16]))]
+    # two texts that are alike by plain shingles, through a passage that many have
+    for n in range(30):
+        rows.append((5000 + n, " ".join(shared[0] + [word() for _ in range(6 if n < 2 else 60)])))
+    rows += [(9001, None), (9002, ""), (9003, "few words"), (None, rows[3][1]), (9004, rows[3][1]), (9004, rows[3][1])]
+    want = classes_by_class_counts(rows)
+    assert want != classes_by_hand(rows)[0] and want != classes_by_hand(rows, floor=0)[0]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(docs, by_class=True).collect())
+    assert got == Counter((rows[i][0], *want[i]) for i in range(len(rows)))
+    assert neardup.near_duplicates(docs.limit(0), by_class=True).count() == 0
+
+
+def test_op6_weighs_by_class_counts(spark):
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    texts = spark.createDataFrame([(i, i, t) for i, (_, t) in enumerate(rows)], "id bigint, root bigint, text string")
+    told = {(r.id, x.h): x.w for r in neardup.class_counts(texts, 7).collect() for x in r.often}
+    h = [set(neardup.shingles(neardup.Words(pa.array([t])))[1].view("int64").tolist()) for _, t in rows]
+    df = Counter(k for s in h for k in s)
+    assert told == {(i, k): df[k] for i, s in enumerate(h) for k in s if df[k] > 1} and len(told) > 1000
+    named = classes_by_class_counts(rows)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in Q.op6_weighted_near_dedup(spark, SF).collect()}
+    assert got == {rows[i][0]: named[i] for i in range(len(rows))}
+
+
 def test_recall_of_near_copies(spark):
     """Pairs of a plain shingle similarity of 0.8 and more are found, rare and common words alike."""
     rng = random.Random(21)
