@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null doc_id stays only where its class has no other; of rows that share
     doc_id and text any one stays. Null texts all stay, empty ones are copies.
     """
-    return neardup.keep_one(docs, neardup.near_duplicates(docs))
+    return neardup.keep_one(docs, neardup.near_duplicates(docs, by_class=True))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,17 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {1, 3, 4, 7}
 
 
+def test_near_copies_weigh_by_exact_counts(spark):
+    """Two texts that only a passage makes alike, which a fourteenth of all texts have, both stay."""
+    words = lambda name, n: " ".join(f"{name}x{i}" for i in range(n))
+    passage = words("shared", 80)
+    texts = [f"{passage} {words(f'own{n}', 6 if n < 2 else 60)}" for n in range(30)] + [words(f"alone{n}", 10) for n in range(400)]
+    copy = words("copy", 150)
+    rows = [*enumerate(texts), (900, copy), (901, copy + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()} == {*range(430), 900}
+
+
 def test_nothing_learned_rejects_no_text(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "la mer", None), (3, "123", None), (4, None, None)], "doc_id bigint, text string, lang string")
     out = P.identify_language(spark, docs, "")
