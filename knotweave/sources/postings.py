@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from knotweave import storage
 from knotweave.functions import text as T
-from knotweave.operators import lexical
+from knotweave.operators import batch, lexical
 from knotweave.operators.lexical import B, K1
 
 from .tables import Tables
@@ -32,6 +32,8 @@ BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS, LEVELS = 20_000_000, 8, 4096, 16
 SEED_ROWS = 4
 #: What unread blocks may add to a score, as a share of the threshold.
 UNREAD_SHARE = 0.5
+#: Postings of a batch's blocks, each as often as queries ask for it, from which documents are read instead (if they are fewer).
+SCAN_ROWS = 1_000_000
 #: Different terms, or buckets, up to which they are filters of a scan.
 MAX_LISTED = 1000
 
@@ -220,8 +222,16 @@ class PostingIndex:
 
         Equal to :func:`lexical.bm25` over all postings; ties by key. Queries without known
         terms have no rows. ``queries`` has the corpus columns, if there are any.
+
+        A batch whose blocks hold more postings than there are documents makes pairs of
+        most queries and documents: these are scored where the documents' own terms
+        lie, and a task lets go all but the best. Otherwise blocks stay unread.
         """
         blocks = storage.saved(self.blocks(queries, query_key, text))
+        if not self.corpus:
+            met, *_ = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
+            if met > SCAN_ROWS and met > self._read("forward", self._head()).count() and storage.is_small(blocks):
+                return self._scanned(blocks, k, query_key)
         told = storage.saved(self.split(blocks, k, query_key))
         limits = told.groupBy(*query_key).agg(F.max("floor").alias("floor"), F.max("rest").alias("rest"))
         partial = self._partial(told.where("read"), query_key).join(storage.broadcast_if_small(limits), [*query_key])
@@ -230,3 +240,13 @@ class PostingIndex:
         done = can.where("rest = 0").select(*query_key, *self.key, "score")
         other = can.where("rest > 0").select(*query_key, *self.key)
         return lexical.top(done.unionByName(self._whole(other, blocks, query_key)), k, query_key, ties=self.key)
+
+    def _scanned(self, blocks: DataFrame, k: int, query_key: Sequence[str]) -> DataFrame:
+        """``query_key... key... score rank`` from all documents' own terms; nothing but each task's best is shuffled."""
+        number = "__query"
+        named = storage.saved(blocks.select(*query_key).distinct().coalesce(1).withColumn(number, F.monotonically_increasing_id()))
+        same = [blocks[c].eqNullSafe(named[c]) for c in query_key]
+        asked = blocks.join(F.broadcast(named), same).select(number, "term", "weight").distinct()
+        mean = blocks.agg(F.max("avgdl")).first()[0]  # one for all, without corpora
+        best = batch.Terms.weighed(asked, self._read("forward", self._head()), self.key, mean, number).best(k)
+        return best.join(F.broadcast(named), number).select(*query_key, *self.key, "score", "rank")

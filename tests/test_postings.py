@@ -124,3 +124,20 @@ def test_corpora_have_their_own_counts_and_may_be_empty(spark, tmp_path):
     assert none.top(queries, 6).count() == 0
     none.update(spark.createDataFrame([("b", 1, "w0")], DOC))
     assert [(r.query_id, r.doc_id) for r in none.top(queries, 6).collect()] == [(2, 1)]
+
+
+def test_dense_batches_are_scored_where_documents_lie(spark, tmp_path, monkeypatch):
+    """Blocks that hold more postings than there are documents make no pairs: the same rows from the documents."""
+    rng = random.Random(6)
+    state = {("p" if i % 2 else "q", i): written(rng) + " w1" * (i % 3) for i in range(120)} | {("p", 900): None, ("p", 901): ""}
+    index = P.PostingIndex(S.Tables(spark, f"file://{tmp_path}/i"), ["project", "doc_id"], F.col("text"), code=True)
+    index.build(spark.createDataFrame([(*key, text) for key, text in state.items()], DOC))
+    index.update(spark.createDataFrame([("p", 1, "w7 w8 w9"), ("q", 1000, "w1 w1")], DOC), spark.createDataFrame([("q", 2)], "project string, doc_id bigint"))
+    queries = spark.createDataFrame([(1, "a", "w0 w30"), (2, "a", "w1 w1 w45 w2"), (2, None, "w1"), (3, "b", "unknown"), (4, "b", ""), (6, "b", "w50 w51 w52 w53")], "query_id int, asker string, query string")
+    one = queries.where("asker is not null").drop("asker")
+    unread = shown(index.top(one, 4))
+    monkeypatch.setattr(P, "SCAN_ROWS", 0)
+    monkeypatch.setattr(P.PostingIndex, "split", None)
+    assert unread == shown(index.top(one, 4)) and len(unread) > 10
+    both = shown(index.top(queries, 4, ["query_id", "asker"]))
+    assert len(both) == len(unread) + 4
