@@ -16,6 +16,7 @@ to be counted, and the counts come back to the texts.
 With ``by_class`` every shingle weighs by its exact df too, but df counts classes
 of near copies as unweighted shingles tell them, not documents: what copies share
 then says no less than their edits do, and what unlike texts share says less.
+Texts that these counts show to be alone are not looked at again.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotweave.storage import broadcast_if_small
+from knotweave.storage import broadcast_if_small, is_small
 
 from .common import forget, mix64, require_whole_ids, saved, small_batches, string_buffers, unused
 from .words import Words, chunks
@@ -47,8 +48,13 @@ MAX_STEPS = 50
 #: Links that are counted to be no more than this are connected in one task (4 MB of numbers).
 SMALL_LINKS = 1 << 18
 
-#: Shingles (16 bytes each) that a task packs before it sends them on, and that a bucket of them is to hold.
+#: Shingles (11 bytes each) that a task packs before it sends them on, and that a bucket of them is to hold.
 PACKED, BUCKET_SHINGLES, MIN_BUCKETS, MAX_BUCKETS = 1 << 20, 1 << 21, 256, 1 << 15
+#: Bits of the number of a text or class: of two classes with a shingle one goes
+#: uncounted with probability 2**-40, and texts of one number share their lists.
+NUMBER_BITS = 40
+#: Rows of one number up to which they are broadcast (64 MB).
+SMALL_KEYS = 1 << 22
 
 _BITS = 12
 
@@ -68,8 +74,8 @@ _INVERSE_R = (1 / _R).astype(np.float32)
 _LN_C = np.log(_gamma2(1 << 20)).astype(np.float32)
 
 
-def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, how often) of each text's different shingles, in order.
+def all_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of every place of a shingle, in no order.
 
     A text of fewer words than a shingle has all its words as its one shingle.
     """
@@ -79,7 +85,15 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(short):
         a = words.begin[short]
         own, h = np.r_[own, short], np.r_[h, words.runs(a, a + words.count[short])]
-    order = np.lexsort((h, own))
+    return own, h
+
+
+def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, how often) of each text's different shingles, in order."""
+    own, h = all_shingles(words)
+    order = np.argsort(h)
+    # numbers of 16 bits are sorted by their digits
+    order = order[np.argsort(own[order].astype(np.uint16) if len(words.count) < 1 << 16 else own[order], kind="stable")]
     own, h = own[order], h[order]
     new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
     return own[new], h[new], np.diff(np.r_[new, len(h)])
@@ -93,7 +107,7 @@ class Weights:
         self._set(docs, h, np.fromiter(counts.values(), np.float64, len(counts)), floor)
 
     def _set(self, docs: int, h: np.ndarray, df: np.ndarray, floor: float) -> None:
-        self.docs, self.floor = max(docs, 1), floor
+        self.docs, self.floor, self.equal = max(docs, 1), floor, floor >= 1
         self.common, first = np.unique(h, return_index=True)
         self.idf = np.log1p(self.docs / np.maximum(df[first], floor * self.docs))
         self.most = math.log1p(1 / max(floor, 1 / self.docs))
@@ -139,6 +153,24 @@ def samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, count: int) -
     return out
 
 
+def minima(h: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """[set, k]: the least of each of ``count`` hashes of a set's elements; sets begin at ``starts``.
+
+    Two sets draw the same with the probability of their Jaccard similarity, as
+    with ``samples`` of equal weights, for a fraction of the work.
+    """
+    out = np.zeros((len(starts), count), np.uint64)
+    factor = mix64(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    z, high = np.empty_like(h), np.empty_like(h)
+    for k in range(count):
+        np.multiply(h, factor[k], out=z)
+        np.right_shift(z, np.uint64(32), out=high)
+        np.bitwise_xor(z, high, out=z)
+        np.multiply(z, np.uint64(0xD6E8FEB86659FD93), out=z)
+        out[:, k] = np.minimum.reduceat(z, starts)
+    return out
+
+
 def band_keys(sample: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """[set, band]: one number for the samples of each band."""
     key = np.zeros((len(sample), bands), np.uint64)
@@ -230,28 +262,41 @@ def own_counts(hashed: DataFrame) -> DataFrame:
     return rows.join(lists, "digest", "left").withColumn("often", F.coalesce("often", none))
 
 
-def _packed(by: np.ndarray, buckets: int, names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
-    """``bucket`` and, of its rows, each column's numbers as bytes; rows are dealt by the hashes ``by``."""
-    at = (mix64(by) % np.uint64(buckets)).astype(np.uint16)
-    order = np.argsort(at, kind="stable")
-    cut = np.searchsorted(at[order], np.arange(buckets + 1)) * 8
+def _packed(at: np.ndarray, buckets: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """``bucket`` and, of its rows, each column's bytes [row, byte]; ``at`` says the rows' buckets, in order."""
+    cut = np.searchsorted(at, np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(cut))
-    ends = pa.py_buffer(cut[np.r_[some, buckets]].astype(np.int32)) if len(some) else pa.py_buffer(np.zeros(1, np.int32))
-    blobs = [pa.Array.from_buffers(pa.binary(), len(some), [None, ends, pa.py_buffer(c[order])]) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *blobs], ["bucket", *names])
+    ends = cut[np.r_[some, buckets]] if len(some) else np.zeros(1, np.int64)
+    blobs = [pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends * c.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *blobs], ["bucket", *columns])
+
+
+def _bytes(x: np.ndarray, first: int, last: int) -> np.ndarray:
+    """[number, byte]: bytes of whole numbers, from the lowest one."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, first:last]
 
 
-def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _unpacked(table: pa.Table, widths: dict[str, int]) -> np.ndarray:
+    """Numbers whose bytes lie in several columns, the lowest first."""
+    held, at = [], 0
+    for name, width in widths.items():
+        held.append((at, np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(-1, width)))
+        at += width
+    out = np.zeros((len(held[0][1]), 8), np.uint8)
+    for at, part in held:
+        out[:, at : at + part.shape[1]] = part
+    return out.reshape(-1).view(np.uint64)
 
 
-def class_counts(rooted: DataFrame, buckets: int) -> DataFrame:
+def class_counts(rooted: DataFrame, buckets: int, asked: DataFrame | None = None) -> DataFrame:
     """``id often``: each text's shingles (h, w) that several classes have, and how many have them.
 
     ``rooted`` has ``text id root``: ``id`` is a number of the text, alike for
-    copies, ``root`` one of its class. All shingles of all texts travel once, with
-    these numbers, packed in arrays by buckets of shingles; those of several
-    classes travel back by buckets of texts. Nothing is left out.
+    copies, ``root`` one of its class, both of ``NUMBER_BITS``. All shingles of
+    all texts travel once, with these numbers, packed in arrays by buckets of
+    shingles, as steps from one to the next; those of several classes travel back
+    by buckets of texts. Nothing is left out, but where ``asked`` (id, least) says
+    how many such shingles a text needs at least, texts of fewer don't return.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +305,21 @@ def class_counts(rooted: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             h, root, own = (np.concatenate(x) for x in zip(*held, strict=True))
-            # mostly a text is its class: zeros pack well
-            return _packed(h, buckets, ["h", "root", "own"], [h, root, np.where(own == root, 0, own)])
+            order = np.argsort(h)
+            h, root, own = h[order], root[order], own[order]
+            # shingles that a text repeats need to go once; those that lie apart are told later
+            new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])]
+            h, root, own = h[new], root[new], own[new]
+            at = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            step = h - np.where(np.r_[True, at[1:] != at[:-1]], np.uint64(0), np.r_[np.uint64(0), h[:-1]])
+            other = own ^ root  # mostly a text is its class: zeros pack well
+            return _packed(at, buckets, {"h": _bytes(step, 0, 4), "h4": _bytes(step, 4, 6), "h6": _bytes(step, 6, 8), "root": _bytes(root, 0, 5), "other": _bytes(other, 0, 5)})
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                text, h, _ = shingles(Words(part.column("text")))
-                held.append((h, *(part.column(c).to_numpy()[text] for c in ("root", "id"))))
+                text, h = all_shingles(Words(part.column("text")))
+                if len(h):
+                    held.append((h, *(part.column(c).to_numpy()[text] for c in ("root", "id"))))
                 n += len(h)
                 if n >= PACKED:
                     yield flush()
@@ -275,31 +328,53 @@ def class_counts(rooted: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
-        h, root, own = _unpacked(table["h"], np.uint64), _unpacked(table["root"], np.int64), _unpacked(table["own"], np.int64)
+        step = _unpacked(table, {"h": 4, "h4": 2, "h6": 2})
+        size = np.array([len(x) // 4 for x in table["h"].to_pylist()])
+        start = np.cumsum(size) - size
+        h = np.cumsum(step)
+        h -= np.repeat(h[start] - step[start], size)
+        root, other = _unpacked(table, {"root": 5}), _unpacked(table, {"other": 5})
         order = np.argsort(h)
         new = np.r_[True, h[order][1:] != h[order][:-1]]
         met = order[~new | np.r_[~new[1:], False]]  # shingles that stand alone are in one class
-        h, root, own = h[met], root[met], np.where(own[met] == 0, root[met], own[met])
+        h, root, own = h[met], root[met], root[met] ^ other[met]
         order = np.lexsort((own, root, h))
         h, root, own = h[order], root[order], own[order]
         first = np.r_[True, h[1:] != h[:-1]][: len(h)]
-        other = first | np.r_[True, root[1:] != root[:-1]][: len(h)]
+        new = first | np.r_[True, root[1:] != root[:-1]][: len(h)]
         group = np.cumsum(first) - 1
-        classes = np.bincount(group, other, group[-1] + 1 if len(group) else 0).astype(np.int64)[group]
-        kept = (classes > 1) & (other | np.r_[True, own[1:] != own[:-1]][: len(h)])
-        return pa.Table.from_batches([_packed(own[kept].view(np.uint64), buckets, ["h", "w", "id"], [h[kept], classes[kept], own[kept]])])
-
-    def listed(table: pa.Table) -> pa.Table:
-        own, h, w = (_unpacked(table[c], np.int64) for c in ("id", "h", "w"))
+        classes = np.bincount(group, new, group[-1] + 1 if len(group) else 0).astype(np.int64)[group]
+        kept = (classes > 1) & (new | np.r_[True, own[1:] != own[:-1]][: len(h)])
+        h, classes, own = h[kept], classes[kept], own[kept]
+        at = own % np.uint64(buckets)
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        h, classes, own = h[order], classes[order], own[order]
+        return pa.Table.from_batches([_packed(at[order], buckets, {"h": _bytes(h, 0, 8), "w": _bytes(classes, 0, 1), "w1": _bytes(classes, 1, 8), "id": _bytes(own, 0, 5)})])
+
+    def listed(table: pa.Table, least: pa.Table | None = None) -> pa.Table:
+        own, h, w = _unpacked(table, {"id": 5}).view(np.int64), _unpacked(table, {"h": 8}).view(np.int64), _unpacked(table, {"w": 1, "w1": 7}).view(np.int64)
         order = np.argsort(own, kind="stable")
         own = own[order]
         new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(own)], pa.int32()), pa.StructArray.from_arrays([pa.array(h[order]), pa.array(w[order])], ["h", "w"]))
-        return pa.table({"id": own[new], "often": lists})
-
-    packed = rooted.select("text", "id", "root").mapInArrow(scan, "bucket int, h binary, root binary, own binary")
-    several = packed.groupBy("bucket").applyInArrow(count, "bucket int, h binary, w binary, id binary")
-    return several.groupBy("bucket").applyInArrow(listed, "id bigint, often array<struct<h:bigint,w:bigint>>")
+        out = pa.table({"id": own[new], "often": lists})
+        if least is None:
+            return out
+        told, back = np.unique(least["id"].to_numpy(), return_inverse=True)
+        need = np.full(len(told), np.iinfo(np.int64).max)
+        np.minimum.at(need, back, least["least"].to_numpy())
+        at = np.searchsorted(told, own[new])
+        place = np.minimum(at, max(len(told) - 1, 0))
+        enough = (told[place] == own[new]) & (np.diff(np.r_[new, len(own)]) >= need[place]) if len(told) else np.zeros(len(new), bool)
+        return out.filter(pa.array(enough))
+
+    packed = rooted.select("text", "id", "root").mapInArrow(scan, "bucket int, h binary, h4 binary, h6 binary, root binary, other binary")
+    several = packed.groupBy("bucket").applyInArrow(count, "bucket int, h binary, w binary, w1 binary, id binary")
+    schema = "id bigint, often array<struct<h:bigint,w:bigint>>"
+    if asked is None:
+        return several.groupBy("bucket").applyInArrow(lambda table: listed(table), schema)
+    needs = asked.select("id", "least", (F.col("id") % buckets).cast("int").alias("bucket"))
+    return several.groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(lambda table, least: listed(table, least), schema)
 
 
 def _banded(weights: Weights, bands: int, rows: int):
@@ -309,7 +384,23 @@ def _banded(weights: Weights, bands: int, rows: int):
                 own, h, tf = shingles(Words(part.column("text")))
                 starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
                 keys: list = [None] * part.num_rows
-                if len(own):
+                n_shingles = np.bincount(own, tf, part.num_rows).astype(np.int32)
+                repeats = n_shingles - np.bincount(own, minlength=part.num_rows).astype(np.int32)
+                if len(own) and weights.equal:
+                    if len(again := np.repeat(np.arange(len(h)), tf - 1)):  # of a shingle's places each is an element
+                        level = np.arange(len(again)) - np.searchsorted(again, again) + 1
+                        more = mix64(h[again] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        element = np.insert(h, again + 1, more)
+                        begin = starts + np.searchsorted(again, starts)
+                    else:
+                        element, begin = h, starts
+                    drawn = np.zeros((len(starts), bands * rows), np.uint64)
+                    cut = np.searchsorted(begin, np.arange(0, len(element) + 32768, 32768))
+                    for a, b in zip(cut[:-1], cut[1:], strict=True):
+                        if a < b:
+                            s, e = begin[a], begin[b] if b < len(begin) else len(element)
+                            drawn[a:b] = minima(element[s:e], begin[a:b] - s, bands * rows)
+                elif len(own):
                     drawn = np.zeros((len(starts), bands * rows), np.uint64)
                     weight = weights.told(part)(h, tf)
                     # a few texts at a time: their arrays stay in the cache
@@ -318,10 +409,11 @@ def _banded(weights: Weights, bands: int, rows: int):
                         if a < b:
                             s, e = starts[a], starts[b] if b < len(starts) else len(h)
                             drawn[a:b] = samples(h[s:e], weight[s:e], starts[a:b] - s, bands * rows)
+                if len(own):
                     for text, key in zip(own[starts].tolist(), band_keys(drawn, bands, rows), strict=True):
                         keys[text] = key
                 size = np.diff(string_buffers(part.column("text"))[0]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(keys, pa.list_(pa.int64())), pa.array(size)], ["doc_id", "digest", "bands", "size"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(keys, pa.list_(pa.int64())), pa.array(size), pa.array(n_shingles), pa.array(repeats)], ["doc_id", "digest", "bands", "size", "shingles", "repeats"])
 
     return scan
 
@@ -473,14 +565,21 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     hashed = docs.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     held = hashed.where("digest is not null")
     lists = None
+    counted = hashed
     if by_class:
-        weights, lists = _class_weights(hashed, bands, rows, similar)
+        weights = Weights(1, {}, 1.0)
     elif df_floor > 0:
         weights = common_shingles(docs.where("text is not null"), df_floor)
     else:
         weights, lists = Weights(held.count(), {}, 0.0), saved(own_counts(held))
-    drawn, texts, classes = _classes(hashed, weights, lists, bands, rows, similar)
+        counted = join_counted(held, lists, ["digest"], weights.docs).unionByName(hashed.where("digest is null"), allowMissingColumns=True)
+    drawn = _drawn(counted, weights, bands, rows)
     total = drawn.count()
+    texts = saved(drawn.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("w"), *(F.first(c).alias(c) for c in ("bands", "size", "shingles", "repeats"))).withColumn("n", F.monotonically_increasing_id()))
+    classes = _classes(hashed, texts, weights, lists, total * bands, similar)
+    if by_class:
+        plain, classes = classes, _weighted_classes(hashed, texts, classes, drawn, bands, rows, similar)
+        forget(plain)
     member = texts.select("digest", "n", "lead", "w").join(classes.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     named = member.groupBy("root").agg(F.min("lead").alias("class_id"), F.sum("w").alias("class_size"), F.min(F.struct(F.col("lead").isNull().alias("unnamed"), "lead", "digest")).alias("first"), F.count("*").alias("texts"))
     told = join_counted(member.withColumnRenamed("w", "copies"), named.withColumnRenamed("texts", "w"), ["root"], total).select("digest", "class_id", "class_size", (F.col("first.digest") == F.col("digest")).alias("leads"), F.col("copies").alias("w"))
@@ -492,68 +591,99 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     return out
 
 
-def _class_weights(hashed: DataFrame, bands: int, rows: int, similar: float) -> tuple[Weights, DataFrame]:
-    """Weights by classes, and ``digest w often`` of all different texts, as :func:`own_counts` has them."""
-    drawn, texts, classes = _classes(hashed, Weights(1, {}, 1.0), None, bands, rows, similar)
+def _weighted_classes(hashed: DataFrame, texts: DataFrame, classes: DataFrame, drawn: DataFrame, bands: int, rows: int, similar: float) -> DataFrame:
+    """``node root`` of linked texts by weights that count ``classes``, those of equal weights.
+
+    What texts of two classes share, several classes have. So a text that is
+    alone in its class is linked only if such shingles are at least ``similar``
+    of its weight. They weigh no more than the others: then they are at least
+    that part of its shingles too. All other texts stay alone and need no weights.
+    """
     linked, roots, bytes_ = classes.count(), classes.select("root").distinct().count(), drawn.agg(F.sum("size")).first()[0] or 0
     number = texts.count() - linked + roots
-    # texts that no link joins go by a number of their own, below 0; nodes and roots are not
-    own = -F.xxhash64("digest").bitwiseAND(F.lit((1 << 63) - 1)) - 1
-    joined = texts.select("digest", "n").join(classes.withColumnRenamed("node", "n"), "n").select("digest", "root")
-    held = hashed.where("digest is not null").select("text", "digest", own.alias("id"))
-    rooted = held.join(broadcast_if_small(joined), "digest", "left").withColumn("root", F.coalesce("root", "id"))
+    short = lambda *of: F.xxhash64(*of).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+    joined = texts.select("digest", "n").join(classes.withColumnRenamed("node", "n"), "n").select(F.xxhash64("digest").alias("key"), short("root").alias("root"))
+    held = hashed.where("digest is not null").select("text", F.xxhash64("digest").alias("key"), short("digest").alias("id"))
+    rooted = held.join(broadcast_if_small(joined, SMALL_KEYS), "key", "left").withColumn("root", F.coalesce("root", "id"))
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, bytes_ // 6 // BUCKET_SHINGLES))
-    found = class_counts(rooted, buckets)
-    lists = texts.select("digest", "w", own.alias("id")).join(found, "id", "left")
-    out = saved(lists.select("digest", "w", F.coalesce("often", F.array().cast("array<struct<h:bigint,w:bigint>>")).alias("often")))
-    for table in (drawn, texts, classes):
+    named = texts.select("digest", "lead", "n", "shingles", "repeats", short("digest").alias("id")).join(classes.select(F.col("node").alias("n"), F.lit(True).alias("linked")), "n", "left")
+    least = F.when(F.col("linked"), 0).otherwise(F.ceil((similar - 1e-5) * F.col("shingles") - F.col("repeats")))
+    found = class_counts(rooted, buckets, named.where("shingles > 0").select("id", least.cast("long").alias("least")))
+    none = F.array().cast("array<struct<h:bigint,w:bigint>>")
+    lists = named.join(found, "id", "left").where("linked or often is not null").select("digest", "lead", "n", F.coalesce("often", none).alias("often"))
+    lists = saved(lists)
+    brought = _brought(hashed, lists).join(lists.select("n", "often"), "n")
+    whole = saved(brought.withColumn("doc_id", F.lit(None).cast("long")))
+    weights = Weights(number, {}, 0.0)
+    drawn = _drawn(whole, weights, bands, rows)
+    again = saved(texts.drop("bands").join(drawn.select("digest", "bands"), "digest"))
+    out = _classes(whole, again, weights, lists, again.count() * bands, similar, whole)
+    for table in (lists, whole, drawn, again):
         forget(table)
-    return Weights(number, {}, 0.0), out
+    return out
+
+
+def _drawn(rows: DataFrame, weights: Weights, bands: int, each: int) -> DataFrame:
+    """Rows with their bands, saved; ``often`` brings the texts' counts of shingles, where they have their own."""
+    counts = [c for c in rows.columns if c == "often"]
+    schema = "doc_id bigint, digest binary, bands array<bigint>, size int, shingles int, repeats int"
+    return saved(rows.select("doc_id", "digest", "text", *counts).mapInArrow(_banded(weights, bands, each), schema))
 
 
-def _classes(hashed: DataFrame, weights: Weights, lists: DataFrame | None, bands: int, rows: int, similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with their bands, different texts ``digest lead w bands size n``, ``node root`` of linked texts), all saved.
+def _brought(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``n digest text`` of the texts ``wanted`` (digest lead n): the first copy of each brings it.
 
-    ``lists`` (``digest w often``) brings the texts' counts of shingles, where they have their own.
+    Texts that are not wanted are dropped where they lie, be the wanted ones too
+    many to travel whole: a number each tells which.
     """
-    counted = hashed
-    if lists is not None:
-        held = hashed.where("digest is not null")
-        counted = join_counted(held, lists, ["digest"], weights.docs).unionByName(hashed.where("digest is null"), allowMissingColumns=True)
-    counts = [] if lists is None else ["often"]
-    schema = "doc_id bigint, digest binary, bands array<bigint>, size int"
-    drawn = saved(counted.select("doc_id", "digest", "text", *counts).mapInArrow(_banded(weights, bands, rows), schema))
-    total = drawn.count()
-    texts = saved(drawn.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("w"), F.first("bands").alias("bands"), F.first("size").alias("size")).withColumn("n", F.monotonically_increasing_id()))
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
+    rows = hashed.where("text is not null").select(doc, "digest", "text")
+    asked = wanted.select(F.coalesce("lead", F.lit(-(1 << 63))).alias("doc"), "digest", "n")
+    if is_small(asked):
+        asked = F.broadcast(asked)
+    else:
+        place = F.xxhash64("doc", "digest").alias("place")
+        rows = rows.withColumn("place", place).join(broadcast_if_small(asked.select(place), SMALL_KEYS), "place", "left_semi").drop("place")
+    return rows.join(asked, ["doc", "digest"]).groupBy("n").agg(F.first("digest").alias("digest"), F.first("text").alias("text"))
 
+
+def _classes(hashed: DataFrame, texts: DataFrame, weights: Weights, lists: DataFrame | None, total: int, similar: float, whole: DataFrame | None = None) -> DataFrame:
+    """``node root`` of linked texts, saved, of ``texts`` (digest lead bands size n); ``total`` is the number of their bands at most.
+
+    ``lists`` (``digest often``) brings the texts' counts of shingles, where they
+    have their own; ``whole`` has ``n text often`` of all texts, where that is written.
+    """
     # Buckets of several texts; of those with the same texts, one.
     placed = texts.where("bands is not null").select("n", "size", F.explode("bands").alias("key"))
     full = placed.groupBy("key").agg(F.min("n").alias("first"), F.bit_xor(F.xxhash64("n")).alias("mark"), F.count("*").alias("w")).where("w > 1")
-    once = saved(full.groupBy("first", "mark", "w").agg(F.min("key").alias("key")).select("key", "first", "w"))
-    members = saved(join_counted(placed, once, ["key"], total * bands))
-    # The first copy of each candidate text brings it.
-    wanted = members.select("n").distinct().join(texts.select("n", "digest", F.col("lead").alias("doc_id")), "n")
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
-    brought = hashed.where("text is not null").select(doc, "digest", "text").join(broadcast_if_small(wanted.select(doc, "digest", "n")), ["doc", "digest"])
-    whole = brought.groupBy("n").agg(F.first("text").alias("text"))
-    if lists is not None:
-        whole = whole.join(wanted.select("n", "digest").join(lists.select("digest", "often"), "digest").select("n", "often"), "n")
-    whole = saved(whole)
+    once = saved(full.groupBy("first", "mark", "w").agg(F.min("key").alias("key")).select("key", "first", "w", F.col("w").alias("texts")))
+    members = saved(join_counted(placed, once, ["key"], total))
+    wanted = members.select("n").distinct().join(texts.select("n", "digest", "lead"), "n")
+    written = whole is not None
+    if not written:
+        whole = _brought(hashed, wanted).drop("digest")
+        if lists is not None:
+            whole = whole.join(wanted.select("n", "digest").join(lists.select("digest", "often"), "digest").select("n", "often"), "n")
+        whole = saved(whole)
+    whole = whole.drop("digest", "doc_id")
 
     stars = members.where("n <> first").select(F.col("first").alias("left"), "n", "size").distinct()
     links = saved(_linked_to_firsts(stars, whole, weights, similar))
     classes = saved(connected(links))
     apart = _apart(members, classes)
-    if not apart.isEmpty():  # a first text may be unlike the others of its bucket
-        links = links.unionByName(saved(_linked_to_firsts(apart.select(F.col("lead").alias("left"), "n", "size").distinct(), whole, weights, similar)))
+    met = (F.col("n") == F.col("first")) | (F.col("lead") == F.col("first"))
+    others = apart.where(~met)  # all were compared with the first
+    if not others.isEmpty():  # a first text may be unlike the others of its bucket
+        links = links.unionByName(saved(_linked_to_firsts(others.select(F.col("lead").alias("left"), "n", "size").distinct(), whole, weights, similar)))
         classes = saved(connected(links))
         apart = _apart(members, classes)
+    apart = apart.where("texts > 2")  # two texts were compared
     if not apart.isEmpty():
         links = links.unionByName(_linked_apart(members, apart, whole, weights, similar))
         classes = saved(connected(links))
-    for table in (once, members, whole):
+    for table in (once, members, *([] if written else [whole])):
         forget(table)
-    return drawn, texts, classes
+    return classes
 
 
 def _blocks(sizes: DataFrame, by: list[str]) -> DataFrame:
@@ -587,12 +717,13 @@ def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
     """``key n size lead``: texts in another class than most texts of their bucket; ``lead`` is one of these.
 
     Of two texts of a bucket in different classes one at least is among them.
+    What else ``members`` tells of the bucket (its ``first``, ``texts``) is told.
     """
     named = members.join(classes.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("w"), F.min("n").alias("lead"))
     most = sizes.groupBy("key").agg(F.max(F.struct("w", "root", "lead")).alias("most"), F.sum("w").alias("w"))
     met = join_counted(named, most, ["key"], members.count())
-    return saved(met.where(F.col("root") != F.col("most.root")).select("key", "n", "size", "most.lead"))
+    return saved(met.where(F.col("root") != F.col("most.root")).select("key", "n", "size", "most.lead", *(c for c in members.columns if c in ("first", "texts"))))
 
 
 def _linked_apart(members: DataFrame, apart: DataFrame, whole: DataFrame, weights: Weights, similar: float) -> DataFrame:

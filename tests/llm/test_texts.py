@@ -448,6 +448,22 @@ def test_op6_weighs_by_class_counts(spark):
     assert got == {rows[i][0]: named[i] for i in range(len(rows))}
 
 
+def test_texts_alone_are_not_weighed(spark, monkeypatch):
+    """Weights are drawn only for texts that counts of classes leave a link: the others' shingles don't travel again."""
+    rng = random.Random(37)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(80)]
+    rows = [(n, " ".join([word() for _ in range(60)])) for n in range(30)]
+    rows += [(100 + n, " ".join(shared + [word() for _ in range(4 if n < 2 else 60)])) for n in range(6)]  # two could be alike
+    rows += [(200, rows[0][1] + " end"), (201, None), (202, ""), (203, rows[5][1])]
+    drawn, real = [], neardup._drawn
+    monkeypatch.setattr(neardup, "_drawn", lambda held, *args: drawn.append(held.count()) or real(held, *args))
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), by_class=True).collect()}
+    want = classes_by_class_counts(rows)
+    assert got == {rows[i][0]: want[i] for i in range(len(rows))}
+    assert drawn == [len(rows), 4]
+
+
 def test_recall_of_near_copies(spark):
     """Pairs of a plain shingle similarity of 0.8 and more are found, rare and common words alike."""
     rng = random.Random(21)
@@ -484,3 +500,10 @@ def test_weighted_sampling_estimates_similarity():
     a, b = rng.random(300) * 3 + 0.1, rng.random(300) * 3 + 0.1
     same = neardup.samples(h, a, np.array([0]), 2000) == neardup.samples(h, b, np.array([0]), 2000)
     assert abs(same.mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+
+
+def test_minima_estimate_similarity():
+    h = np.random.default_rng(1).integers(0, 2**64, 400, dtype=np.uint64)
+    a, b = h[:300], h[100:]
+    same = neardup.minima(a, np.array([0]), 4000) == neardup.minima(b, np.array([0]), 4000)
+    assert abs(same.mean() - 0.5) < 0.03
