@@ -22,16 +22,17 @@ def hash_embedding(text: Column, dim: int = DIM) -> Column:
     if dim < 1 or dim > 256 or dim & (dim - 1):
         raise ValueError("dim must be a power of two up to 256")
     words = py_words(F.lower(F.coalesce(text, F.lit(""))))
-    placed = F.transform(
-        words,
-        lambda w: F.struct(
-            F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 31, 2), 16, 10).cast("int"), F.lit(dim)).alias("i"),
-            F.when(F.conv(F.substring(F.md5(w.cast("binary")), 30, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0).alias("s"),
-        ),
-    )
-    # One pass per word, not per component: fold the words into the vector.
-    zero = F.array_repeat(F.lit(0.0), dim)
-    total = F.aggregate(placed, zero, lambda v, p: F.transform(v, lambda x, i: F.when(i == p.i, x + p.s).otherwise(x)))
+    # Twice the component, and 1 more if the word counts up: digits 30 to 32 of the digest.
+    code = lambda d: F.pmod(d, F.lit(dim)) * 2 + F.shiftright(d, 8) % 2
+    codes = F.transform(words, lambda w: code(F.conv(F.substring(F.md5(w.cast("binary")), 30, 3), 16, 10).cast("int")))
+    # One sort, not a fold of each word into a vector: in a sorted list with each code added once, a code's
+    # first place tells how many come before it. Lists of one bind what is used for each component.
+    every = F.sequence(F.lit(0), F.lit(2 * dim))
+    first = lambda held: F.transform(every, lambda c: F.array_position(held, c) - c.cast("long"))
+    before = F.transform(F.array(F.sort_array(F.concat(codes, every))), first)
+    less = lambda p, i: p[2 * i + 1] - p[2 * i]
+    more = lambda p, i: p[2 * i + 2] - p[2 * i + 1]
+    total = F.transform(before, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (more(p, i) - less(p, i)).cast("double")))[0]
     return unit(total)
 
 
@@ -47,8 +48,9 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Scaled to length 1; the zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x / F.nullif(n, F.lit(0.0))).otherwise(x))
+    # Lists of one bind the vector and its length to names: what a lambda holds is computed for each element.
+    scaled = lambda u, n: F.transform(u, lambda x: F.when(n > 0, x / F.nullif(n, F.lit(0.0))).otherwise(x))
+    return F.transform(F.array(v), lambda u: F.transform(F.array(norm(u)), lambda n: scaled(u, n))[0])[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

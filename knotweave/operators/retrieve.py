@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from knotweave.functions import symbols as S
 from knotweave.functions import text as T
 from knotweave.functions import vectors as V
-from knotweave.storage import SMALL_BYTES, SMALL_ROWS, is_small, saved
+from knotweave.storage import SMALL_BYTES, SMALL_ROWS, broadcast_if_small, is_small, saved
 
-from . import fusion, lexical
+from . import batch, fusion, lexical
 
 MAX_K, DEFAULT_K, MAX_DEPTH = 200, 8, 25
 SNIPPET = 280
+#: Queries up to which a batch meets the rows as one matrix; more meet them by joins.
+BATCH = 20_000
 #: Tasks at least among which one (project, store) is dealt where its queries are too many to travel.
 SALTS = 64
 
@@ -143,38 +145,54 @@ def lookup(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = D
     the head from the columns ``query`` and ``document``.
 
     Dense pool, sparse pool, fusion, re-ranking, floor and tags (both after the
-    ranking), dedupe, then the first ``k``.
+    ranking), dedupe, then the first ``k``. A batch of at most ``BATCH`` queries
+    meets vectors and texts where they lie (:mod:`.batch`), but for the sparse
+    side of one with ``terms``.
     """
     check_arguments(k)
     n = fusion.pool_size(k, hybrid, mode)
     scope = ["project", "store"]
-    asked = queries.withColumn("v", embed(F.col("query")))
-    rows = chunks.join(vectors, "chunk_id")
-    dense = knn(asked, rows, n, ["chunk_id"], on=scope).select("query_id", "chunk_id", "cosine")
+    asked = saved(queries.withColumn("v", embed(F.col("query"))))
+    rows = chunks.select("chunk_id", *scope).join(vectors.select("chunk_id", "v"), "chunk_id")
+    pair, few = ["query_id", "chunk_id"], is_small(asked, BATCH)
+    if few:
+        dense = batch.nearest(asked.withColumnRenamed("v", "q"), rows, ["chunk_id"], n, corpus=scope)
+    else:
+        dense = knn(asked, rows, n, ["chunk_id"], on=scope)
+    dense = saved(dense.select(*pair, "cosine"))
     if hybrid:
         own, text = [*scope, "chunk_id"], T.lexical_text(F.col("heading_path"), F.col("document"))
-        # Only postings of the batch's terms leave the texts; lengths are counted where the texts lie.
-        post = lexical.postings(chunks, own, text, terms=lexical.query_terms(queries, ["query_id", *scope]))
-        lengths = chunks.select(*own, F.size(T.tokenize(text)).cast("double").alias("len"))
-        if terms is not None and term_weight > 0:
-            more = chunks.select(*own, "section_hash").join(terms, "section_hash")
-            post = lexical.enrich(post, own, more, term_weight)
-            lengths = lexical.enriched_lengths(lengths, own, more, term_weight)
-        sparse = saved(lexical.bm25(queries, post, own, corpus=scope, lengths=lengths).select("query_id", "chunk_id", F.col("score").alias("sparse")))
         alias = None
         if aliases is not None:
             by_section = aliases.join(chunks.select(*scope, "section_hash").distinct(), "section_hash")
             near = asked.select("query_id", *scope, F.col("v").alias("q")).join(by_section, scope).select("query_id", F.col("section_hash").alias("section"), V.dot(F.col("q"), F.col("v")).alias("cosine"))
-            alias = fusion.alias_merge(near, chunks.select(F.col("section_hash").alias("section"), "chunk_id", "window_idx"), alias_weight)
-        # Only members of the pool take a cosine from their body: no other text is embedded.
-        members = saved(lexical.top(sparse.where("sparse > 0"), n, score="sparse", ties=["chunk_id"]).select("query_id", "chunk_id"))
-        found = chunks.select("chunk_id", "document").join(members.select("chunk_id").distinct(), "chunk_id", "left_semi")
-        body = found.select("chunk_id", embed(F.col("document")).alias("b"))
-        back = members.join(asked.select("query_id", "v"), "query_id").join(body, "chunk_id").select("query_id", "chunk_id", V.dot(F.col("v"), F.col("b")).alias("cosine"))
+            alias = saved(fusion.alias_merge(near, chunks.select(F.col("section_hash").alias("section"), "chunk_id", "window_idx"), alias_weight))
+        if few and (terms is None or term_weight <= 0):
+            met = batch.Terms(queries, chunks, ["chunk_id"], text, corpus=scope)
+            best = saved(met.best(n, score="sparse").drop("rank"))
+            # Of other pairs only those that the pool holds besides have to know their score.
+            others = (dense if alias is None else dense.unionByName(alias)).select(*pair).distinct()
+            others = others.join(broadcast_if_small(best.select(*pair)), pair, "left_anti")
+            sparse = saved(best.unionByName(met.scores(others, score="sparse")))
+        else:
+            # Only postings of the batch's terms leave the texts; lengths are counted where the texts lie.
+            post = lexical.postings(chunks, own, text, terms=lexical.query_terms(queries, ["query_id", *scope]))
+            lengths = chunks.select(*own, F.size(T.tokenize(text)).cast("double").alias("len"))
+            if terms is not None and term_weight > 0:
+                more = chunks.select(*own, "section_hash").join(terms, "section_hash")
+                post = lexical.enrich(post, own, more, term_weight)
+                lengths = lexical.enriched_lengths(lengths, own, more, term_weight)
+            sparse = saved(lexical.bm25(queries, post, own, corpus=scope, lengths=lengths).select(*pair, F.col("score").alias("sparse")))
+        # Only members of the pool that have no cosine yet take it from their body: no other text is embedded.
+        members = lexical.top(sparse.where("sparse > 0"), n, score="sparse", ties=["chunk_id"]).select(*pair)
+        members = saved(members.join(dense.where("cosine is not null").select(*pair), pair, "left_anti"))
+        found = chunks.select("chunk_id", "document").join(broadcast_if_small(members.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        body = saved(found.select("chunk_id", embed(F.col("document")).alias("b")))
+        back = members.join(asked.select("query_id", "v"), "query_id").join(body, "chunk_id").select(*pair, V.dot(F.col("v"), F.col("b")).alias("cosine"))
         hits = fusion.fuse(dense, sparse, ["chunk_id"], n, beta, back, alias=alias)
     else:
         hits = dense.withColumns({"score": F.round("cosine", 4), "rank": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id"))})
-    hits = hits.join(chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    hits = chunks.join(broadcast_if_small(saved(hits)), "chunk_id").join(asked.select("query_id", "query"), "query_id")
     if scorer is not None:
         hits = fusion.rerank(hits, scorer, ties=["chunk_id"])
     hits = dedupe(with_tags(above(hits, floor), tags), mode)
